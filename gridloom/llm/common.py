@@ -9,9 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
+ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 #: Documents that a Python worker holds as objects at once.
 SLICE = 256
 
@@ -54,8 +53,12 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow schema of a DDL string, for what mapInArrow returns."""
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    """The Arrow schema of a flat DDL string, for what mapInArrow returns; works where there is no session."""
+
+    def kind(name: str) -> pa.DataType:
+        return pa.list_(kind(name[6:-1])) if name.startswith("array<") else ARROW[name]
+
+    return pa.schema([pa.field(*(kind(x) if k else x for k, x in enumerate(column.split()))) for column in ddl.split(",")])
 
 
 def by_slices(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema, size: int = SLICE) -> Callable:

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe
+from gridloom.llm import bpe, tokenstore
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,8 +28,13 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digests_only=True)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's byte-level ids, written to shards in id order and read back."""
+    return tokenstore.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe_codec,)}
+    return {f.__name__: f for f in (op5_bpe_codec, op6_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
