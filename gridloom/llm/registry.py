@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, tokenstore
+from gridloom.llm import bpe, langid, tokenstore
+from gridloom.llm.common import remainder
 
 
 def tokenizer_file(name: str) -> str:
@@ -23,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the documents is kept from the training."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, tokenizer_file("piece_bpe_32k.model"), remainder("doc_id", 3) != 1)
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the word-level vocabulary; digests of both."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digests_only=True)
@@ -34,7 +43,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe_codec, op6_token_files)}
+    return {f.__name__: f for f in (op2_language, op5_bpe_codec, op6_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
