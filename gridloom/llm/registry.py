@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, langid, tokenstore
+from gridloom.llm import bpe, langid, mixing, pii, tokenstore
 from gridloom.llm.common import remainder
 
 
@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for the key that a deployment keeps secret.
+KEY = b"gridloom pseudonyms"
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mixture of all sources, weighed by the square root of their sizes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; a third of the documents is kept from the training."""
     docs = table(spark, sf_dir, "documents")
@@ -42,8 +51,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms for personal values, and their number."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op5_bpe_codec, op6_token_files)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op5_bpe_codec, op6_token_files, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
