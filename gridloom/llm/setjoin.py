@@ -34,7 +34,7 @@ from gridloom.llm.common import SLICE, arrow_schema, remove, shared_dir, texts_o
 from gridloom.llm.components import components
 
 #: Cost of a row that is shuffled, of a pair that is verified, and elements that unrelated documents share on average.
-ROW, PAIR, SHARED = 1.0, 20.0, 1.0
+ROW, PAIR, SHARED = 1.0, 20.0, 0.05
 #: Bytes of text per word, to estimate how many sets a band has.
 WORD_BYTES = 6
 CACHED_WORDS = 600_000
@@ -175,7 +175,7 @@ class Signatures:
         out = [self._flag(mix(sums ^ salt[filled]), role)]
         many = np.zeros(segments, np.int64)
         many[filled] = counts
-        partner = len(tokens) if role == 0 else min(band.high, len(tokens) * self.t.whole // self.t.part)
+        partner = min(band.high, len(tokens) * self.t.whole // self.t.part)
         void = int((many[double:] == 0).sum()) + 2 * int((many[:double] <= 1).sum())
         if short := band.single + 2 * double - void <= self.t.differ(len(tokens) + partner):
             out.append(self._flag(mix(salt[many == 0]), role))
