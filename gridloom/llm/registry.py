@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, langid, mixing, pii, setjoin, tokenstore
+from gridloom.llm import bpe, langid, mixing, ngramlm, pii, setjoin, tokenstore
 from gridloom.llm.common import remainder
 
 
@@ -56,13 +56,20 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a trigram model of four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    scored = ngramlm.score(docs, ngramlm.train(docs, remainder("doc_id", 5) != 1))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of four-word runs reach a Jaccard similarity of 0.85."""
     return setjoin.join(table(spark, sf_dir, "documents"), n=4, part=85, whole=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op5_bpe_codec, op6_token_files, op8_pii, op10_set_join)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op5_bpe_codec, op6_token_files, op8_pii, op9_lm_score, op10_set_join)}
 
 
 def oracle_sql() -> dict[str, str]:
