@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 #: Documents that a Python worker holds as objects at once.
@@ -71,3 +72,25 @@ def by_slices(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schem
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return run
+
+
+def with_text(docs: DataFrame, fn: Callable[[list], tuple[list, ...]], added: str, replaces: bool = False, size: int = SLICE) -> DataFrame:
+    """All columns of ``docs``, and those of the DDL string ``added`` that ``fn`` makes from a few texts at a time.
+
+    With ``replaces`` the first list that ``fn`` returns takes the place of ``text``. Input columns named as added ones are dropped.
+    """
+    more = arrow_schema(added) if added else pa.schema([])
+    own = docs.drop(*more.names)
+    schema = StructType([StructField(f.name, StringType(), True) if f.name == "text" else f for f in own.schema.fields] + StructType.fromDDL(added).fields)
+    names, at = own.columns + more.names, own.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, size):
+                batch = whole.slice(k, size)
+                columns, out = [*batch.columns], [*fn(batch.column(at).to_pylist())]
+                if replaces:
+                    columns[at] = pa.array(out.pop(0), pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, f.type) for v, f in zip(out, more, strict=True))], names=names)
+
+    return own.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_schema, by_slices, texts_of
+from gridloom.llm.common import texts_of, with_text
 
 #: Training documents per language (expected; chosen by a hash of the id) and rounds of learning.
 PER_LANG, ROUNDS = 400, 2
@@ -252,17 +252,11 @@ def train(docs: DataFrame, vocabulary: str, use: Column | None = None, per_lang:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score`` for each row's whole text, in the input's partitions.
+    """All columns of ``docs``, and ``lang_pred, score`` of each row's whole text, in the input's partitions.
 
     A null text, or one without a letter, gives ``und`` and 0. Empty tables give none. Repeated rows
     each give a row. lang, source and doc_id take no part. The model that travels has one number per
-    piece and language.
+    piece and language. Input columns named ``lang_pred`` or ``score`` are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
-
-    def rows(batch: dict[str, list]) -> dict[str, list]:
-        langs, scores = shared.value.predict(batch["text"])
-        return {"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores}
-
-    return texts_of(docs).mapInArrow(by_slices(rows, arrow_schema(ddl)), ddl)
+    return with_text(docs, lambda texts: shared.value.predict(texts), "lang_pred string, score double")

@@ -13,14 +13,11 @@ import datetime
 import hashlib
 import math
 import re
-from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gridloom.llm.common import SLICE
+from gridloom.llm.common import with_text
 
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -248,20 +245,10 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     Null and empty texts stay and count 0. An input column ``n_pii`` is replaced. No shuffle. ``key`` (1 to 64
     bytes) decides the permutations; whoever holds it can undo them.
     """
-    spark = docs.sparkSession
-    rows = docs.drop("n_pii") if "n_pii" in docs.columns else docs
-    schema = StructType([StructField(f.name, StringType(), True) if f.name == "text" else f for f in rows.schema] + [StructField("n_pii", LongType())])
-    names = [*rows.columns, "n_pii"]
-    at = names.index("text")
-    shared = spark.sparkContext.broadcast(key)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.value
-        for whole in batches:
-            for k in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(k, SLICE)
-                new = [replaced(t, key) for t in batch.column(at).to_pylist()]
-                columns = [pa.array([t for t, _ in new], pa.string()) if c == at else batch.column(c) for c in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in new], pa.int64())], names=names)
-
-    return rows.mapInArrow(run, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(key)
+
+    def new(texts: list) -> tuple[list, list]:
+        found = [replaced(t, shared.value) for t in texts]
+        return [t for t, _ in found], [n for _, n in found]
+
+    return with_text(docs, new, "n_pii long", replaces=True)

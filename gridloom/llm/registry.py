@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, langid, mixing, ngramlm, pii, setjoin, tokenstore, vectors
-from gridloom.llm.common import remainder
+from gridloom.llm.common import remainder, texts_of
 
 
 def tokenizer_file(name: str) -> str:
@@ -38,7 +38,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; a third of the documents is kept from the training."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, tokenizer_file("piece_bpe_32k.model"), remainder("doc_id", 3) != 1)
-    found = langid.predict(docs, model)
+    found = langid.predict(texts_of(docs), model)
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 

@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.bpe import byte_symbols
 from gridloom.llm.common import arrow_schema, by_slices, shared_dir, texts_of, written
 
 MAGIC = b"GLTOKEN1"
@@ -35,7 +37,9 @@ HEAD = struct.Struct("<8sQBI")
 SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES = 1000, 65536, 16384, 32 << 20
 LEVEL = 3
 #: Entries that the lookup of chunks may hold before it starts anew.
-CACHED = 900_000
+CACHED = 450_000
+#: Marks that are a pre-token of their own between letters and the end or a line. Letters below this have been letters for long.
+MARKS, LATIN = ".,\n", "\u0250"
 
 
 class ChunkEncoder:
@@ -54,10 +58,42 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self._each([*MARKS]), strict=True))
+        self.symbols = {b: c for b, c in enumerate(byte_symbols()) if chr(b) != c}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str, space: str) -> bytes:
+        """Ids of a word of Latin letters, which is one pre-token: the library's merges alone, after its byte symbols."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.symbols)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(space + word)], self.dtype).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Most chunks are a word, a word and a mark, or two of these with a line between; the library takes the others whole."""
+        known, marks, word, others = self.known, self.marks, self._word, []
+        space = self.symbols[32]
+        for chunk in chunks:
+            first, line, second = chunk.partition("\n")
+            bare = first[:-1] if first[-1:] in (".", ",") else first
+            if not (bare.isalpha() and max(bare) < LATIN):
+                others.append(chunk)
+                continue
+            ids = known.get(bare) or word(bare, space)
+            if bare is not first:
+                ids += marks[first[-1]]
+            if line:
+                last = second[:-1] if second[-1:] in (".", ",") else second
+                if not (last.isalpha() and max(last) < LATIN):
+                    others.append(chunk)
+                    continue
+                ids += marks["\n"] + word(last, "")
+                if last is not second:
+                    ids += marks[second[-1]]
+            known[chunk] = ids
+        known.update(zip(others, self._each([" " + c for c in others]), strict=True))
+
     @staticmethod
     def _cut(pieces: list[str]) -> list[str]:
         """Pieces joined again wherever the space between them doesn't begin a pre-token."""
@@ -71,24 +107,22 @@ class ChunkEncoder:
 
     def arrays(self, texts: list[str | None]) -> list[bytes]:
         """The serialized ids of each text."""
-        cut = [t.split(" ") if t else [] for t in texts]
-        rest = [c[1:] for c in cut]
-        missing = set().union(*rest) - self.known.keys()
-        if odd := {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}:
-            cut = [c if not c or (odd.isdisjoint(c) and c[0][-1:].strip()) else self._cut(c) for c in cut]
-        else:
-            cut = [c if not c or c[0][-1:].strip() else self._cut(c) for c in cut]
-        rest = [c[1:] for c in cut]
-        missing = set().union(*rest) - self.known.keys()
-        if len(self.known) + len(missing) > CACHED:
-            self.known.clear()
-            missing = set().union(*rest)
+        cut = [t.split(" ") if t else [""] for t in texts]
+        heads = [c.pop(0) for c in cut]
+        missing = set().union(*cut) - self.known.keys()
+        odd = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
+        again = [k for k, (h, c) in enumerate(zip(heads, cut, strict=True)) if c and (not h or h[-1].isspace() or (odd and not odd.isdisjoint(c)))]
+        for k in again:
+            heads[k], *cut[k] = self._cut([heads[k], *cut[k]])
+        if odd or again:
+            missing = set().union(*cut) - self.known.keys()
+        if len(self.known) + len(missing) > CACHED:  # what came first is what comes often
+            self.known = dict(islice(self.known.items(), CACHED // 2))
+            missing = set().union(*cut) - self.known.keys()
         if missing:
-            missing = [*missing]
-            self.known.update(zip(missing, self._encode([" " + p for p in missing]), strict=True))
+            self._learn(missing)
         known = self.known.__getitem__
-        first = self._encode([c[0] if c else "" for c in cut])
-        return [a + b"".join(map(known, c)) for a, c in zip(first, rest, strict=True)]
+        return [a + b"".join(map(known, c)) for a, c in zip(self._each(heads), cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -155,7 +189,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
     def compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         end = np.array([end_id], own.dtype).tobytes()
-        zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None)
+        given = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
+        zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=given)
 
         def frames(rows: dict[str, list]) -> dict[str, list]:
             if None in rows["doc_id"]:
