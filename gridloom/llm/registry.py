@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, langid, mixing, ngramlm, pii, setjoin, tokenstore, vectors
+from gridloom.llm import bpe, langid, mixing, ngramlm, pii, secrets, setjoin, tokenstore, vectors
 from gridloom.llm.common import remainder, texts_of
 
 
@@ -42,6 +42,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document holds a secret; secrets themselves only as a hash."""
+    forest = secrets.train(spark, secrets.labelled_findings())
+    found = secrets.scan(table(spark, sf_dir, "documents"), forest)
+    return found.select("doc_id", "nth", "start", "n_chars", F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all vectors for every fiftieth one."""
     return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -80,7 +87,7 @@ def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op4_top_k, op5_bpe_codec, op6_token_files, op7_vector_dedup, op8_pii, op9_lm_score, op10_set_join)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_secrets, op4_top_k, op5_bpe_codec, op6_token_files, op7_vector_dedup, op8_pii, op9_lm_score, op10_set_join)}
 
 
 OP4_SQL = """
