@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,16 +18,22 @@ POSITIVE, NEGATIVE, TRUTH = "positive image set", "negative image set", "ground
 ANNOTATION = r"^\(\s*(\d+)\s*,\s*(\d+)\s*\),\(\s*(\d+)\s*,\s*(\d+)\s*\),\s*(\d+)\s*$"
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length`` of all files below a folder. Contents aren't read; names that begin with ``_`` or ``.`` aren't listed."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    return found.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+def _named(spark: SparkSession, root: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """All paths of Spark's file index, and the rows that its scan gives: that leaves out empty files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    paths = [(re.sub("^file:/+", "/", unquote(p)),) for p in found.inputFiles()]  # the index is on the driver anyway
+    return spark.createDataFrame(paths, "path string"), found.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+
+
+def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``path`` of all files below a folder, without opening them; names that begin with ``_`` or ``.`` aren't listed."""
+    return _named(spark, root, pattern)[0]
 
 
 def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path, content``; a file is one row."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    """``path, content``; a file is one row, and an empty one has empty content."""
+    paths, found = _named(spark, root, pattern)
+    return paths.join(found.select("path", "content"), "path", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
 
 
 def is_image(path: Column) -> Column:
@@ -107,8 +116,9 @@ def parsed_labels(lines: DataFrame) -> DataFrame:
     """Label lines with class, centre and size, and ``issues``: everything that is wrong with a line."""
     f = F.split("said", r"\s+")
     five = F.size(f) == 5
-    out = lines.withColumn("class_id", F.when(five, text.integer(F.get(f, F.lit(0)))))
-    out = out.withColumns({c: F.when(five, text.number(F.get(f, F.lit(k)))) for k, c in enumerate(("x_center", "y_center", "width", "height"), 1)})
+    values = [F.when(five, text.integer(F.get(f, F.lit(0)))).alias("class_id")] + [F.when(five, text.number(F.get(f, F.lit(k)))).alias(c) for k, c in enumerate(("x_center", "y_center", "width", "height"), 1)]
+    # the generator keeps the optimiser from copying the parsing into each of the checks below
+    out = lines.select("*", F.explode(F.array(F.struct(*values))).alias("_v")).select(*lines.columns, "_v.*")
     x, y, w, h = (F.col(c) for c in ("x_center", "y_center", "width", "height"))
     numeric = F.col("class_id").isNotNull() & x.isNotNull() & y.isNotNull() & w.isNotNull() & h.isNotNull()
     finite = text.is_finite(x) & text.is_finite(y) & text.is_finite(w) & text.is_finite(h)
