@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,15 +20,17 @@ SLICE = 256
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a temporary folder stands in.
+    Only where that setting is absent (tests, one machine) the context's checkpoint folder or a temporary one stands in.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/gridloom/{uuid.uuid4().hex}"
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+        base = context._jsc.sc().getCheckpointDir().get()
+    at = context._jvm.org.apache.hadoop.fs.Path(base)
+    whole = at.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return f"{re.sub('^file:/+', 'file:///', whole).rstrip('/')}/gridloom/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, root: str | None = None) -> DataFrame:

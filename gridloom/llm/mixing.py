@@ -146,6 +146,6 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     # a source has at most one span per phase, and a phase ends with a source
     spread = ranked.join(F.broadcast(table), (ranked["_k"] == table["_k"]) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end"))).drop(table["_k"])
     turn = F.col("block") - F.col("_first")
-    slot = F.col("_start") + F.floor(turn / F.col("_share")) * F.col("_period") + F.element_at("_offsets", (turn % F.col("_share") + 1).cast("int"))
+    slot = F.col("_start") + F.floor(turn / F.col("_share")) * F.col("_period") + F.get("_offsets", (turn % F.col("_share")).cast("int"))
     out = spread.withColumn("slot", slot.cast("long")).withColumn("position", F.col("slot") * block + F.col("_rank") % block)
     return out.select(*own.columns, "block", "slot", "position")
