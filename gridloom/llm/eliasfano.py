@@ -82,7 +82,13 @@ class EliasFano:
         """Of each key (below the universe): the first index whose value isn't less, and whether it is equal."""
         high, low = (keys >> U(self.bits)).astype(np.int64), keys & U((1 << self.bits) - 1)
         a = np.where(high > 0, self._ones_before_zero(np.maximum(high - 1, 0)), 0)
-        end = self._ones_before_zero(high)
+        # the bucket's ones follow each other up to the next zero, mostly within the word
+        bit = a + high
+        word, off = bit >> 6, (bit & 63).astype(U)
+        left = ~self.high[word] >> off
+        end = a + np.bitwise_count((left & (~left + U(1))) - U(1)).astype(np.int64)
+        if len(over := np.flatnonzero(left == 0)):
+            end[over] = self._ones_before_zero(high[over])
         b = end.copy()
         while len(open_ := np.flatnonzero(a < b)):
             middle = (a[open_] + b[open_]) >> 1

@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SLICE, arrow_schema, shared_dir, texts_of
+from gridloom.llm.common import arrow_schema, shared_dir, texts_of
 from gridloom.llm.eliasfano import EliasFano
 
 #: Steps per decade of quantised probabilities.
@@ -44,7 +45,9 @@ STEPS = 4096
 #: (fixed, relative) weight of shorter contexts, for contexts of one word, of two, and so on.
 SMOOTHING = ((5.0, 2.0), (3.0, 1.0), (3.0, 1.0), (3.0, 1.0))
 #: N-gram occurrences of a shard, those that a task gathers before it writes blocks, and words that it remembers.
-SHARD, GATHERED, CACHED = 2_000_000, 1_500_000, 400_000
+SHARD, GATHERED, CACHED = 3_000_000, 2_000_000, 500_000
+#: Documents that are looked up together: the more, the fewer visits to each shard.
+TOGETHER = 1024
 END = b"\n"  # no word contains it
 MASK = (1 << 64) - 1
 
@@ -231,9 +234,9 @@ class Reader:
         """Ids and counts of all words, one after another."""
         slot = self.slot
         missing = set().union(*documents) - slot.keys()
-        if len(slot) + len(missing) > CACHED:
-            slot.clear()
-            missing = set().union(*documents)
+        if len(slot) + len(missing) > CACHED:  # what came first is what comes often
+            slot = self.slot = dict(islice(slot.items(), CACHED // 2))
+            missing = set().union(*documents) - slot.keys()
         if missing:
             new = [*missing]
             begin, end = len(slot), len(slot) + len(new)
@@ -242,11 +245,11 @@ class Reader:
             self.ids[begin:end], self.counts[begin:end] = self.look_up(new)
             slot.update(zip(new, range(begin, end), strict=True))
         n = sum(map(len, documents))
-        at = np.fromiter((s for d in documents for s in map(slot.__getitem__, d)), np.int64, n)
+        at = np.fromiter(map(slot.__getitem__, chain.from_iterable(documents)), np.int64, n)
         return self.ids[at], self.counts[at]
 
-    def find(self, level: int, context: np.ndarray, child: np.ndarray, inner: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For pairs of context and word: the node's number (-1 if there is none), its share of probability, and what it leaves."""
+    def find(self, level: int, context: np.ndarray, child: np.ndarray, inner: bool | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For pairs of context and word: the node's number (-1 if there is none), its share of probability, and what it leaves; with ``inner`` None only the numbers."""
         node, share, leaves = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
         cut = self.model.levels[level - 2]
         if not len(context) or not cut.nodes:
@@ -265,6 +268,8 @@ class Reader:
             found = np.flatnonzero(same[back])
             at = at[back][found]
             node[rows[found]] = cut.first[k] + at
+            if inner is None:
+                continue
             share[rows[found]] = DECODED[arrays["share"][at]]
             if inner:
                 leaves[rows[found]] = DECODED[arrays["leaves"][at]]
@@ -289,7 +294,7 @@ class Reader:
             last = np.r_[-1, ids[:-1]][: len(ids)]
             valid = np.flatnonzero((earlier >= 0) & (last >= 0))
             context = np.full(len(ids), -1, np.int64)
-            context[valid] = self.find(level, earlier[valid], last[valid], False)[0]
+            context[valid] = self.find(level, earlier[valid], last[valid], None)[0]
             self._previous = context
         return context
 
@@ -341,8 +346,8 @@ def _count_words(docs: DataFrame, bits: int) -> DataFrame:
             return _blocks(shard, h & np.uint64((1 << 64 - bits) - 1), n)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                texts = batch.column(0).slice(k, SLICE).to_pylist()
+            for k in range(0, batch.num_rows, TOGETHER):
+                texts = batch.column(0).slice(k, TOGETHER).to_pylist()
                 for text in texts:
                     counts.update(words_of(text))
                 counts[END] += len(texts)
@@ -365,8 +370,8 @@ def _count_level(docs: DataFrame, model: Model, level: int, cut: Level) -> DataF
             return _blocks(shard, key)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                documents = [[*words_of(t), END] for t in batch.column(0).slice(k, SLICE).to_pylist()]
+            for k in range(0, batch.num_rows, TOGETHER):
+                documents = [[*words_of(t), END] for t in batch.column(0).slice(k, TOGETHER).to_pylist()]
                 ids, _ = own.of_words(documents)
                 sizes = np.fromiter(map(len, documents), np.int64, len(documents))
                 begins = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -444,7 +449,7 @@ def train(docs: DataFrame, use: Column | None = None, order: int = 3, shard: int
     own = texts_of(docs).filter(F.lit(True) if use is None else use)
     spark = docs.sparkSession
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, size / 6 / shard))))
+    bits = max(0, math.ceil(math.log2(max(1, size / 6 / shard / 8))))  # words repeat, so a shard of words may see more occurrences
     model = Model(shared_dir(spark), shard_bits=bits)
     built = {r.shard: r for r in _build(_count_words(own, bits), model, 1, 1 << bits, max(1, shard // 4), None, True)}
     ends = np.cumsum([0, *(built[k].n if k in built else 0 for k in range(1 << bits))]).tolist()
@@ -478,8 +483,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = reader(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
                 documents = [[*words_of(t), END] for t in part.column(1).to_pylist()]
                 ids, counts = own.of_words(documents)
                 sizes = np.fromiter(map(len, documents), np.int64, len(documents))

@@ -32,7 +32,7 @@ NUMBER = re.compile(
     r"|(?<![\w.\-/])(?P<dmy>(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?![\w\-/])"
     r"|(?<![\w\-])(?P<ssn>(?P<area>\d{3})-(?P<group>\d{2})-(?P<serial>\d{4}))(?![\w\-])"
     r"|(?<!\w)(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
-    r"|(?<!\w)(?<!\d\d\d[ \-])(?P<phone>(?P<country>\+\d{1,3}[ .-]?)?(?P<rest>\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|(?<=\+)\d{8,14}))(?!\w)(?![ \-]\d{3})"
+    r"|(?<!\w)(?P<phone>(?P<country>\+\d{1,3}[ .-]?)?(?P<rest>\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<!\d\d\d[ \-])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?![ \-]\d{3})|(?<=\+)\d{8,14}))(?!\w)"
     r"|(?<!\w)(?P<e164>\+\d{8,15})(?!\w)"
 )
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")

@@ -19,16 +19,16 @@ different groups then meet each other, so no link is lost and groups of copies s
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.llm.common import SLICE, arrow_schema, remove, shared_dir, texts_of, written
 from gridloom.llm.components import components
@@ -42,6 +42,10 @@ CACHED_WORDS = 600_000
 REMEMBERED = 1_000_000
 #: Bits of the filter by which only sets with candidates are fetched; beyond its capacity it lets more through.
 FILTER_BITS = 1 << 23
+#: Signatures that a task gathers before it writes blocks, and bytes of text whose signatures make a part.
+GATHERED, PART_BYTES = 1_500_000, 16 << 20
+#: Classes of elements in a sketch.
+SKETCH = 1024
 #: Pairs up to this number (16 bytes each) are broadcast to their sets.
 SMALL = 1 << 18
 
@@ -199,16 +203,44 @@ def identity(tokens: np.ndarray, seed: int) -> tuple[int, int]:
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
-def _signatures(docs: DataFrame, n: int, t: Threshold, bands: list[Band], seed: int) -> DataFrame:
-    """``sig, sid``, each set once per task."""
+def pack_block(sigs: np.ndarray, sids: np.ndarray) -> bytes:
+    """Ascending signatures as differences, and their sets by number: both with bytes of one weight together."""
+    table, number = np.unique(sids, return_inverse=True)
+    gaps = np.diff(sigs, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    numbers = number.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(sigs).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(gaps + numbers + table.astype("<i8").tobytes())
+
+
+def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, raw = int.from_bytes(block[:8], "little"), np.frombuffer(zstandard.ZstdDecompressor().decompress(block[8:]), np.uint8)
+    gaps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
+    number = np.ascontiguousarray(raw[8 * n : 12 * n].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.uint64), raw[12 * n :].view("<i8")[number]
+
+
+def _signatures(docs: DataFrame, n: int, t: Threshold, bands: list[Band], parts: int, seed: int) -> DataFrame:
+    """``part, block``: signatures by range, each set once per task."""
     maker = Signatures(bands, t)
-    schema = arrow_schema("sig long, sid long")
+    ddl = "part int, block binary"
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
+        sigs, sids, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            sig, sid = np.concatenate(sigs), np.concatenate(sids)
+            sigs.clear()
+            sids.clear()
+            order = np.argsort(sig, kind="stable")
+            sig, sid = sig[order], sid[order]
+            part = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1
+            spans = [*zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[ends - 1], pa.int32()), pa.array([pack_block(sig[a:b], sid[a:b]) for a, b in spans])], schema=schema)
+
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
-                sigs, sids = [], []
                 for text in batch.column(0).slice(k, SLICE).to_pylist():
                     tokens = shingle_set(text, n)
                     if not len(tokens):
@@ -221,10 +253,70 @@ def _signatures(docs: DataFrame, n: int, t: Threshold, bands: list[Band], seed:
                     for b, role in maker.roles(len(tokens)):
                         sigs.append(maker.of(tokens, b, role))
                         sids.append(np.full(len(sigs[-1]), sid, np.int64))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(sids))], schema=schema)
+                        held += len(sigs[-1])
+                if held > GATHERED:
+                    yield flush()
+                    held = 0
+        if sigs:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, ddl)
+
+
+def _met(blocks: DataFrame, parts: int) -> DataFrame:
+    """``bucket, a, b, flag``: in each bucket the pivot ``a`` and each other set ``b`` that may link to it.
+
+    An exact content of a larger side is the pivot; without one, an exact content of a smaller side, for left-out contents of larger ones.
+    """
+    ddl = "bucket long, a long, b long, flag int"
+    schema = arrow_schema(ddl)
+
+    def buckets(pieces: list[bytes]) -> pa.RecordBatch:
+        sig, sid = (np.concatenate(x) for x in zip(*map(unpack_block, pieces), strict=True))
+        order = np.lexsort((sid, sig))
+        sig, sid = sig[order], sid[order]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])]
+        sig, sid = sig[new], sid[new]
+        bucket, flag = sig >> np.uint64(2), (sig & np.uint64(3)).astype(np.int32)
+        begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        first = np.repeat(begins, np.diff(np.r_[begins, len(sig)]))
+        pivot, kind = sid[first], flag[first]
+        keep = np.flatnonzero((pivot != sid) & ((kind == 0) | ((kind == 1) & (flag == 2))))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[keep].view(np.int64)), pa.array(pivot[keep]), pa.array(sid[keep]), pa.array(flag[keep])], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "sig long, sid long")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pieces = None, []
+        for batch in batches:
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now and pieces:
+                    yield buckets(pieces)
+                    pieces = []
+                now = part
+                pieces.append(block)
+        if pieces:
+            yield buckets(pieces)
+
+    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, ddl)
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """The set's size, and for each of SKETCH classes of elements whether their number is odd.
+
+    Two sets differ in at least as many elements as their sketches in bits.
+    """
+    odd = np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return len(tokens).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _may_link(t: Threshold, a: bytes, b: bytes) -> bool:
+    m, n = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+    apart = (int.from_bytes(a[8:], "little") ^ int.from_bytes(b[8:], "little")).bit_count()
+    return t.whole * min(m, n) >= t.part * max(m, n) and apart <= t.differ(m + n)
+
+
+def _do_link(t: Threshold, a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    return t.holds(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
 
 
 def _filter_bits(ids: DataFrame) -> np.ndarray:
@@ -238,9 +330,9 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, bits: np.ndarray, seed: int) -> DataFrame:
-    """A row per document: ``doc_id, n, sid, second``, and ``tokens`` where the filter lets its set through, once per task."""
+    """A row per document: ``doc_id, n, sid, second``, and ``tokens`` and their ``sketch`` where the filter lets the set through, once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sid long, second long, tokens binary"
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sid long, second long, tokens binary, sketch binary"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +340,7 @@ def _sets(docs: DataFrame, n: int, bits: np.ndarray, seed: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
-                sizes, sids, seconds, all_tokens = [], [], [], []
+                sizes, sids, seconds, all_tokens, sketches = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     tokens = shingle_set(text, n)
                     sid, second = identity(tokens, seed)
@@ -260,19 +352,20 @@ def _sets(docs: DataFrame, n: int, bits: np.ndarray, seed: int) -> DataFrame:
                     sids.append(sid)
                     seconds.append(second)
                     all_tokens.append(tokens.tobytes() if own else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, f.type) for v, f in zip((sizes, sids, seconds, all_tokens), [*schema][1:], strict=True))], schema=schema)
+                    sketches.append(sketch(tokens) if own else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, f.type) for v, f in zip((sizes, sids, seconds, all_tokens, sketches), [*schema][1:], strict=True))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold, few: bool) -> DataFrame:
-    """The ``a, b`` of ``pairs`` that link. Each cell is a pivot ``a`` with its partners; one pivot's tokens are held at a time."""
+def _passing(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[bytes, bytes], bool], few: bool) -> DataFrame:
+    """The ``a, b`` of ``pairs`` whose contents pass. Each cell is a pivot ``a`` with its partners; one pivot's content is held at a time."""
     wanted = pairs.select(F.col("a").alias("cell"), F.explode(F.array("a", "b")).alias("sid")).distinct()
-    tokens = sets.filter(F.col("tokens").isNotNull()).select("sid", "tokens")
+    content = sets.filter(F.col(column).isNotNull()).select("sid", F.col(column).alias("content"))
     if few:
-        met = tokens.join(F.broadcast(wanted), "sid")  # counted: at most 2 * SMALL rows
+        met = content.join(F.broadcast(wanted), "sid")  # counted: at most 2 * SMALL rows
     else:
-        met = tokens.groupBy("sid").agg(F.first("tokens").alias("tokens")).join(wanted, "sid")
+        met = content.groupBy("sid").agg(F.first("content").alias("content")).join(wanted, "sid")
     # large cells are dealt over several tasks, and the pivot to each of them
     spread = pairs.groupBy(F.col("a").alias("cell")).agg(F.ceil(F.count("*") / 512).alias("parts"))
     met = met.join(F.broadcast(spread) if few else spread, "cell")
@@ -282,15 +375,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold, few: bool) -> Dat
     schema = arrow_schema("a long, b long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, pivot = None, None
+        cell, pivot = None, b""
         for batch in batches:
             a, b = [], []
-            cells, sids, contents = (batch.column(batch.schema.names.index(c)) for c in ("cell", "sid", "tokens"))
-            for k in range(batch.num_rows):
-                c, s, own = cells[k].as_py(), sids[k].as_py(), np.frombuffer(contents[k].as_buffer(), np.uint64)
+            cells, sids, contents = (batch.column(batch.schema.names.index(c)) for c in ("cell", "sid", "content"))
+            for c, s, own in zip(cells.to_pylist(), sids.to_pylist(), contents, strict=True):
                 if c == s:
-                    cell, pivot = c, own.copy()
-                elif cell == c and t.holds(len(np.intersect1d(pivot, own, assume_unique=True)), len(pivot), len(own)):
+                    cell, pivot = c, own.as_py()
+                elif cell == c and test(pivot, own.as_py()):
                     a.append(c)
                     b.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
@@ -298,6 +390,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold, few: bool) -> Dat
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold, root: str, name: str, sift: bool) -> DataFrame:
+    """The ``a, b`` of ``pairs`` that link, written; with ``sift`` sketches first tell most of those that can't."""
+    if sift:
+        pairs = written(_passing(pairs, sets, "sketch", lambda a, b: _may_link(t, a, b), pairs.count() <= SMALL), f"{name}-sifted", root)
+    return written(_passing(pairs, sets, "tokens", lambda a, b: _do_link(t, a, b), pairs.count() <= SMALL), f"{name}-links", root)
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs with the group of each side; a set without links is its own group."""
     for side in ("a", "b"):
@@ -318,27 +417,18 @@ def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: in
     spark = docs.sparkSession
     docs = texts_of(docs)
     root = shared_dir(spark)
-    guess = F.ceil(F.octet_length("text") / WORD_BYTES)
-    longest = docs.agg(F.max(F.octet_length("text"))).first()[0] or 0
-    sizes = limits(t, longest + 1)  # a set has no more elements than its text has bytes
+    size = F.octet_length("text")
+    bins = F.floor(F.log(F.greatest(F.ceil(size / WORD_BYTES), F.lit(1))) / math.log(1.1))  # a histogram of 250 bins at most
+    histogram = docs.filter("text is not null").groupBy(bins.alias("k")).agg(F.count("*").alias("n"), F.max(size).alias("longest"), F.sum(size).alias("bytes")).collect()
+    sizes = limits(t, 1 + max((r.longest for r in histogram), default=0))  # a set has no more elements than its text has bytes
     edges = np.array([low for low, _ in sizes])
-    band_of = F.floor(F.log(F.greatest(guess, F.lit(1))) / math.log(1.1))  # a histogram of 250 bins at most
-    histogram = {int(round(1.1**r.k)): r.n for r in docs.filter("text is not null").groupBy(band_of.alias("k")).agg(F.count("*").alias("n")).collect()}
     sets_in = [0] * len(sizes)
-    for size, count in histogram.items():
-        sets_in[int(np.searchsorted(edges, size, "right")) - 1] += count
+    for r in histogram:
+        sets_in[int(np.searchsorted(edges, int(round(1.1**r.k)), "right")) - 1] += r.n
     bands = [allocate(low, high, max(1, count), t) for (low, high), count in zip(sizes, sets_in, strict=True)]
 
-    rows = _signatures(docs, n, t, bands, seed)
-    bucket = F.shiftrightunsigned("sig", 2)
-    in_bucket = Window.partitionBy("bucket").orderBy("sig", "sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flag = F.col("sig").bitwiseAND(3)
-    met = rows.withColumn("bucket", bucket).select("bucket", "sig", "sid")
-    # an exact content of a larger side is the pivot; without one, an exact content of a smaller side for left-out contents of larger ones
-    met = met.withColumn("larger", F.first(F.when(flag == 0, F.col("sid")), True).over(in_bucket)).withColumn("smaller", F.first(F.when(flag == 1, F.col("sid")), True).over(in_bucket))
-    pivot = F.coalesce("larger", F.when(flag == 2, F.col("smaller")))
-    met = met.select("bucket", pivot.alias("a"), F.col("sid").alias("b"), flag.cast("int").alias("flag")).filter("a is not null and a != b")
-    met = written(met, "met", root)
+    parts = max(1, -(-sum(r.bytes for r in histogram) // PART_BYTES))
+    met = written(_met(_signatures(docs, n, t, bands, parts, seed), parts), "met", root)
 
     # every set meets the pivot with which it shares most buckets
     counted = met.groupBy("a", "b").agg(F.count("*").alias("n"))
@@ -350,15 +440,14 @@ def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: in
     if clash:
         remove(spark, root)
         return join(docs, n, part, whole, seed + 1)
-    links = written(_verified(first, sets, t, first.count() <= SMALL), "links-0", root)
+    links = _verified(first, sets, t, root, "first", False)
     labels = components(links)
 
     # pairs of pivot and member whose groups are still apart
     tested = first
     apart = written(_labelled(counted.select("a", "b"), labels).filter("ga != gb").select("a", "b").join(tested, ["a", "b"], "left_anti"), "apart", root)
-    more = apart.count()
-    if more:
-        links = written(links.unionByName(_verified(apart, sets, t, more <= SMALL)), "links-1", root)
+    if apart.limit(1).count():
+        links = links.unionByName(_verified(apart, sets, t, root, "apart", True))
         labels = components(links)
 
     # members of one bucket that its pivot doesn't hold together
@@ -367,9 +456,8 @@ def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: in
     others = loose.select("bucket", F.col("b").alias("y"), F.col("gb").alias("gy"), F.col("flag").alias("fy"))
     rest = failing.join(others, "bucket").filter("gx != gy and (fx & fy) = 0")
     rest = written(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest", root)
-    more = rest.count()
-    if more:
-        links = written(links.unionByName(_verified(rest, sets, t, more <= SMALL)), "links-2", root)
+    if rest.limit(1).count():
+        links = links.unionByName(_verified(rest, sets, t, root, "rest", True))
         labels = components(links)
 
     members = sets.select("doc_id", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("g", F.coalesce("component", "sid")).select("doc_id", "n", "g")

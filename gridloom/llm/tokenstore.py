@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import byte_symbols
-from gridloom.llm.common import arrow_schema, by_slices, shared_dir, texts_of, written
+from gridloom.llm.common import SLICE, arrow_schema, by_slices, shared_dir, texts_of, written
 
 MAGIC = b"GLTOKEN1"
 HEAD = struct.Struct("<8sQBI")
 #: Documents sampled for the dictionary, its size, and a shard's limits.
-SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES = 1000, 65536, 16384, 32 << 20
+SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES = 1000, 65536, 16384, 4 << 20
 LEVEL = 3
 #: Entries that the lookup of chunks may hold before it starts anew.
-CACHED = 450_000
+CACHED = 400_000
 #: Marks that are a pre-token of their own between letters and the end or a line. Letters below this have been letters for long.
 MARKS, LATIN = ".,\n", "\u0250"
 
@@ -130,6 +130,10 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+#: ``before``: ids of the part before this shard.
+STORE = "part int, seq int, before long, n_docs long, n_tokens long, blob binary"
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from about ``sample_docs`` documents, chosen by a hash of their id; empty if there are too few."""
     total = docs.count()
@@ -203,27 +207,30 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
     frame_ddl = "doc_id long, n_tokens long, frame binary"
     table = written(docs.mapInArrow(compress, frame_ddl), "frames", path)
     parts = max(1, -(-table.count() // SHARD_DOCS))
-    shard_ddl = "part int, seq int, n_docs long, n_tokens long, blob binary"
+    shard_ddl = STORE
     width = encoder(tokenizer).dtype.itemsize
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids, counts, frames, held = [], [], [], 0
 
         def full() -> pa.RecordBatch:
-            row = [[part], [seq], [len(ids)], [sum(counts)], [pack(shared.value, width, ids, counts, frames)]]
+            row = [[part], [seq], [before], [len(ids)], [sum(counts)], [pack(shared.value, width, ids, counts, frames)]]
             schema = arrow_schema(shard_ddl)
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for doc_id, n, frame in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids.append(doc_id)
-                counts.append(n)
-                frames.append(frame)
-                held += len(frame)
-                if len(ids) >= SHARD_DOCS or held >= SHARD_BYTES:
-                    yield full()
-                    ids, counts, frames, held, seq = [], [], [], 0, seq + 1
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(k, SLICE)
+                for doc_id, n, frame in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    ids.append(doc_id)
+                    counts.append(n)
+                    frames.append(frame)
+                    held += len(frame)
+                    if len(ids) >= SHARD_DOCS or held >= SHARD_BYTES:
+                        yield full()
+                        before += sum(counts)
+                        ids, counts, frames, held, seq = [], [], [], 0, seq + 1
         if ids:
             yield full()
 
@@ -237,12 +244,11 @@ def read(spark: SparkSession, path: str, digests_only: bool = False) -> DataFram
 
     Only one total per range of ids (a range per ``SHARD_DOCS`` documents) comes to the driver.
     """
-    store = spark.read.schema("part int, seq int, n_docs long, n_tokens long, blob binary").parquet(f"{path}/shards")
+    store = spark.read.schema(STORE).parquet(f"{path}/shards")
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()[0])
-    totals = store.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n")).orderBy("part", "seq").collect()
     starts, before = {}, 0
-    for row in totals:
-        starts[row.part, row.seq] = before
+    for row in store.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        starts[row.part] = before
         before += row.n
     shared = spark.sparkContext.broadcast((dictionary, starts))
     ddl = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests_only else "ids array<long>")
@@ -251,10 +257,11 @@ def read(spark: SparkSession, path: str, digests_only: bool = False) -> DataFram
         dictionary, starts = shared.value
         schema = arrow_schema(ddl)
         for batch in batches:
-            for part, seq, blob in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+            for k in range(batch.num_rows):
+                part, before, blob = (batch.column(c)[k].as_py() for c in range(3))
                 shard = Shard(blob, dictionary)
                 counts = shard.counts.astype(np.int64)
-                first = starts[part, seq] + np.cumsum(counts) - counts
+                first = starts[part] + before + np.cumsum(counts) - counts
                 for at in range(0, len(counts), 1024):
                     span = range(at, min(at + 1024, len(counts)))
                     arrays = [shard.ids(k).astype("<u4") for k in span]
@@ -262,7 +269,7 @@ def read(spark: SparkSession, path: str, digests_only: bool = False) -> DataFram
                     cut = slice(span.start, span.stop)
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([shard.doc_ids[cut], first[cut], counts[cut], last], schema, strict=True)], schema=schema)
 
-    return store.select("part", "seq", "blob").mapInArrow(documents, ddl)
+    return store.select("part", "before", "blob").mapInArrow(documents, ddl)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0) -> DataFrame:
