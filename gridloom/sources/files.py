@@ -40,13 +40,33 @@ def is_image(path: Column) -> Column:
     return text.suffix(path).isin(*IMAGE_SUFFIXES)
 
 
-def with_ordinal(df: DataFrame, order: list[Column], column: str = "ordinal") -> DataFrame:
-    """Numbers from 0 in a global order: ranges are sorted apart and shifted by the sizes of those before, no task sees all rows."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = spread.withColumn("_m", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per partition
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_p").withColumn(column, F.col("_b") + F.col("_m")).drop("_p", "_m", "_b")
+def _literal(value) -> Column:
+    return F.array(*map(_literal, value)) if isinstance(value, list) else F.lit(value)
+
+
+def with_ordinal(df: DataFrame, order: list[Column], column: str = "ordinal", rows: int = 100_000, most: int = 256) -> DataFrame:
+    """Numbers from 0 in a global order, ranked range by range, so that no task sees all rows.
+
+    Bounds of ranges come from a sample by hash and are literals: a row's range depends on the row alone, however
+    often a part is computed. There are ``most`` ranges at most; large ones are sorted on disk.
+    """
+    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{k}") for k, c in enumerate(order)]))
+    n = keyed.count()
+    ranges = min(most, n // rows + 1)
+    bounds: list[Column] = []
+    if ranges > 1:
+        share = min(1 << 30, int((1 << 30) * 40 * ranges / n) + 1)
+        sample = keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < share).select("_key").orderBy("_key").collect()
+        step = max(1, len(sample) // ranges)
+        bounds = [F.struct(*[_literal(v).alias(f"k{k}") for k, v in enumerate(r._key)]) for r in sample[step::step]]
+    place = F.lit(0)
+    for b in bounds:
+        place = place + (F.col("_key") >= b).cast("int")
+    ranged = keyed.withColumn("_range", place)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per range
+    local = F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1
+    return ranged.withColumn(column, local).join(F.broadcast(before), "_range").withColumn(column, (F.col(column) + F.col("_before")).cast("long")).drop("_key", "_range", "_before")
 
 
 def discover_items(files: DataFrame) -> DataFrame:

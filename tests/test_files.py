@@ -119,3 +119,10 @@ def test_stratified_needs_unique_paths(spark):
         splits.stratified(spark.createDataFrame([("a", [1]), ("a", [1])], "image_path string, targets array<int>"))
     with pytest.raises(ValueError):
         splits.SplitConfig(0.5, 0.5, 0.5)
+
+
+def test_ordinals_over_many_ranges(spark):
+    paths = [(f"/a{k % 7}/b{k % 13}.{k}/c{k}.png",) for k in range(500)]
+    out = sources.with_ordinal(spark.createDataFrame(paths, "path string").repartition(5), [F.split("path", "/")], rows=40).collect()
+    assert [r.path for r in sorted(out, key=lambda r: r.ordinal)] == sorted((p for (p,) in paths), key=lambda p: p.split("/"))
+    assert sorted(r.ordinal for r in out) == [*range(500)]
