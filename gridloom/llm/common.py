@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -46,6 +47,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is already written: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator reads, so that others neither travel nor clash."""
     return docs.select("doc_id", *more, F.col("text").cast("string").alias("text"))

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SLICE, arrow_schema, remove, shared_dir, texts_of, written
+from gridloom.llm.common import SLICE, arrow_schema, release, remove, shared_dir, texts_of, written
 from gridloom.llm.components import components
 
 #: Cost of a row that is shuffled, of a pair that is verified, and elements that unrelated documents share on average.
@@ -44,6 +44,8 @@ REMEMBERED = 1_000_000
 FILTER_BITS = 1 << 23
 #: Signatures that a task gathers before it writes blocks, and bytes of text whose signatures make a part.
 GATHERED, PART_BYTES = 1_500_000, 16 << 20
+#: Sets of one side of a tile.
+TILE = 512
 #: Classes of elements in a sketch.
 SKETCH = 1024
 #: Pairs up to this number (16 bytes each) are broadcast to their sets.
@@ -397,6 +399,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold, root: str, name:
     return written(_passing(pairs, sets, "tokens", lambda a, b: _do_link(t, a, b), pairs.count() <= SMALL), f"{name}-links", root)
 
 
+def _unresolved(met: DataFrame, labels: DataFrame, sets: DataFrame, t: Threshold, nearest: bool) -> DataFrame:
+    """Pairs of sets of different groups that met one pivot and may link by their sketches: all, or for each set the nearest one.
+
+    Sets of one pivot are compared in tiles of block against block; what leaves a tile is only what sketches can't tell apart.
+    """
+    named = _labelled(met, labels)
+    open_ = named.filter("ga != gb").select("a").distinct()
+    members = named.join(open_, "a", "left_semi").select("a", F.col("b").alias("sid"), F.col("gb").alias("g"))
+    sizes = members.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    tile = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("r"), F.greatest(F.col("own"), o).alias("c")))
+    tiles = members.join(sizes, "a").withColumn("own", own).withColumn("tile", F.explode(tile)).select("a", "sid", "g", "own", "tile.r", "tile.c")
+    sketches = sets.filter("sketch is not null").groupBy("sid").agg(F.first("sketch").alias("sketch"))
+    dealt = tiles.join(sketches, "sid").repartition("a", "r", "c").sortWithinPartitions("a", "r", "c", "sid")
+    schema = arrow_schema("a long, b long")
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
+        r, c = rows[0][1:3]
+        sid, group, own = (np.array([x[k] for x in rows], np.int64) for k in (3, 4, 5))
+        words = np.frombuffer(b"".join(x[6] for x in rows), np.uint64).reshape(len(rows), -1)
+        size, bits = words[:, 0].astype(np.int64), words[:, 1:]
+        left = np.flatnonzero(own == r)
+        right = left if r == c else np.flatnonzero(own == c)
+        found: list[np.ndarray] = []
+        best: dict[int, tuple[int, int]] = {}
+        for at in range(0, len(left), 32):
+            x = left[at : at + 32]
+            apart = np.bitwise_count(bits[x][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
+            m, n = size[x][:, None], size[right][None, :]
+            may = (group[x][:, None] != group[right][None, :]) & (apart <= (m + n) * (t.whole - t.part) // (t.whole + t.part)) & (t.whole * np.minimum(m, n) >= t.part * np.maximum(m, n))
+            if r == c and not nearest:
+                may &= right[None, :] > x[:, None]
+            if not nearest:
+                i, j = np.nonzero(may)
+                found.append(np.stack([x[i], right[j]]))
+                continue
+            apart = np.where(may, apart, 1 << 40)
+            for near, ids, others in ((apart.argmin(1), x, right), (apart.argmin(0), right, x)):
+                far = apart[np.arange(len(ids)), near] if ids is x else apart[near, np.arange(len(ids))]
+                for k in np.flatnonzero(far < 1 << 40).tolist():
+                    best[int(ids[k])] = min(best.get(int(ids[k]), (1 << 40, 0)), (int(far[k]), int(others[near[k]])))
+        if nearest:
+            found = [np.array([[k for k in best], [v[1] for v in best.values()]], np.int64).reshape(2, -1)]
+        i, j = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            columns = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("a", "r", "c", "sid", "g", "own", "sketch")]
+            for row in zip(*columns, strict=True):
+                if row[:3] != now:
+                    if len(held) > 1:
+                        yield compare(held)
+                    now, held = row[:3], []
+                held.append(row)
+        if len(held) > 1:
+            yield compare(held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs with the group of each side; a set without links is its own group."""
     for side in ("a", "b"):
@@ -444,21 +509,21 @@ def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: in
     labels = components(links)
 
     # pairs of pivot and member whose groups are still apart
+    release(spark)
     tested = first
     apart = written(_labelled(counted.select("a", "b"), labels).filter("ga != gb").select("a", "b").join(tested, ["a", "b"], "left_anti"), "apart", root)
     if apart.limit(1).count():
         links = links.unionByName(_verified(apart, sets, t, root, "apart", True))
         labels = components(links)
 
-    # members of one bucket that its pivot doesn't hold together
-    loose = _labelled(met, labels)
-    failing = loose.filter("ga != gb").select("bucket", F.col("b").alias("x"), F.col("gb").alias("gx"), F.col("flag").alias("fx"))
-    others = loose.select("bucket", F.col("b").alias("y"), F.col("gb").alias("gy"), F.col("flag").alias("fy"))
-    rest = failing.join(others, "bucket").filter("gx != gy and (fx & fy) = 0")
-    rest = written(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest", root)
-    if rest.limit(1).count():
-        links = links.unionByName(_verified(rest, sets, t, root, "rest", True))
-        labels = components(links)
+    # sets that met one pivot and that it doesn't hold together: first each with its nearest of another group, then what is left
+    for nearest in (True, False):
+        release(spark)
+        name = "nearest" if nearest else "rest"
+        rest = written(_unresolved(counted.select("a", "b"), labels, sets, t, nearest), name, root)
+        if rest.limit(1).count():
+            links = links.unionByName(_verified(rest, sets, t, root, name, False))
+            labels = components(links)
 
     members = sets.select("doc_id", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("g", F.coalesce("component", "sid")).select("doc_id", "n", "g")
     least = members.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("component_id"))
