@@ -40,13 +40,18 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of their place in the mixture of sources."""
+    """All documents, in the order of their place in the mixture of sources. Readers don't keep the order of part files, so ``token_ids`` finds the places again."""
     return mixing.mix(docs, keep=True).orderBy("position").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, in the order in which the documents came."""
-    return bpe.encode_decode(docs, tokenizer_file("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
+    """Token ids of each document and its ``position`` in the mixture of sources, in this order.
+
+    The position follows from ids and sources alone, so it is the one that the stage before sorted by, however its files are read;
+    rows that repeat an id of a source may change places with each other.
+    """
+    placed = mixing.mix(docs, keep=True).orderBy("position")
+    return bpe.encode_decode(placed, tokenizer_file("word_bpe_49k.json"), place="position").select("doc_id", "position", "n_tokens", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

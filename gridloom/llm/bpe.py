@@ -263,25 +263,26 @@ def codec(path: str) -> TextCodec:
     return TextCodec(path)
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, digests_only: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, digests_only: bool = False, place: str | None = None) -> DataFrame:
     """Encode each whole text and decode it again.
 
     Returns ``doc_id, n_tokens, ids (array<int>), decoded`` in the input's partitions, with no
     shuffle; with ``digests_only``, the SHA-256 of the decimal ids and of the decoded text instead
     of those two. A null text counts as empty: no tokens, and an empty string back. Repeated rows
-    each give a row. Other columns are not read. ``tokenizer`` is the vocabulary file's path on
-    every machine.
+    each give a row. Other columns are not read, but the long column ``place``, if named, is returned
+    last. ``tokenizer`` is the vocabulary file's path on every machine.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     extra = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string"
-    schema = f"doc_id {kind}, n_tokens long, {extra}"
+    schema = f"doc_id {kind}, n_tokens long, {extra}" + (f", {place} long" if place else "")
     arrow = arrow_schema(schema)
 
     def encode(rows: dict[str, list]) -> dict[str, list]:
         ids, back = codec(tokenizer).encode_all(rows["text"])
-        out = {"doc_id": rows["doc_id"], "n_tokens": [i.count(" ") + 1 if i else 0 for i in ids]}
+        out = {"doc_id": rows["doc_id"], "n_tokens": [i.count(" ") + 1 if i else 0 for i in ids]} | ({place: rows[place]} if place else {})
         if digests_only:
             return out | {"ids_sha256": [hashlib.sha256(i.encode()).hexdigest() for i in ids], "decoded_sha256": [hashlib.sha256(b.encode()).hexdigest() for b in back]}
         return out | {"ids": [[*map(int, i.split())] for i in ids], "decoded": back}
 
-    return texts_of(docs).mapInArrow(by_slices(encode, arrow), schema)
+    own = texts_of(docs, place) if place else texts_of(docs)
+    return own.mapInArrow(by_slices(encode, arrow), schema)

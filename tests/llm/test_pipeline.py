@@ -3,6 +3,7 @@
 import corpus_pipeline
 from tokenizers import Tokenizer
 
+from gridloom.llm import mixing
 from gridloom.llm.registry import tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,17 @@ def test_hostile_documents(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_mixture_outlives_part_files(spark, tmp_path):
+    rows = [(k, "word " * (1 + 997 * k % 300), "en", f"s{k % 3 if k % 5 else 0}", 5) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    expected = [r.doc_id for r in mixing.mix(docs).orderBy("position").collect()]
+    mixed = f"{tmp_path}/mixed"
+    corpus_pipeline.mixture(spark, docs, SF).write.option("maxRecordsPerFile", 300).parquet(mixed)
+    again = spark.read.parquet(mixed)
+    assert len(again.inputFiles()) > 4
+    out = corpus_pipeline.token_ids(spark, again.orderBy("text").repartition(7), SF)
+    out.write.option("maxRecordsPerFile", 300).parquet(f"{tmp_path}/ids")
+    assert [r.doc_id for r in out.collect()] == expected
+    assert [r.doc_id for r in spark.read.parquet(f"{tmp_path}/ids").orderBy("position").collect()] == expected
