@@ -1,33 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is a task whose share of the output is its weight. Its j-th block is released at
-floor((j - 1) / weight) and due at ceil(j / weight); of the released blocks the one due first
-goes next. With weights that are fractions of one period the schedule repeats, and at
-every moment each source is less than one block from its share. When a source runs
-out, the rest go on with their weights in proportion.
-
-Only one period of each phase is scheduled, on the driver, from the sources' sizes. A block's slot
-then follows from its number by arithmetic, so documents are placed in parallel.
+Each source is a task whose share of the output is its weight. The fluid schedule gives each source its exact
+share at every moment; when a source runs out, the rest go on with their weights in proportion. A source's
+j-th block is released in the slot in which its fluid amount leaves j - 1, and due when it reaches j; of the released
+blocks the one due first goes next. The fluid schedule keeps these windows and never idles, so earliest deadlines first
+does, too: at every moment each source is less than one block from its fluid amount, however long the run and
+however many the sources. Weights are the exact values of the given numbers, and all sums are whole numbers.
+
+The driver orders all blocks, in time and memory that grow with the number of blocks (documents / BLOCK) and not with
+their size. A document's slot is then looked up by its block's number, so documents are placed in parallel.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from array import array
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Documents per block; slots per period (weights are whole multiples of 1 / PERIOD); documents per bucket for ranks.
+#: Documents per block; blocks of a source whose slots travel as one row; documents per bucket for ranks.
 BLOCK, PERIOD, BUCKET = 32, 1000, 4096
-#: Sources that one schedule may have.
-MAX_SOURCES = 1000
+#: Blocks whose slots (8 bytes each), and sources whose names, are broadcast; more are joined.
+SMALL = 1 << 20
 
 
 def whole_shares(weights: list[float], period: int) -> list[int]:
-    """Slots of a period for each source, at least 1, largest remainders first."""
+    """Slots of a period for each source, at least 1, largest remainders first: for a fixed period, which ``mix`` doesn't use."""
     period = max(period, len(weights))
     total = sum(weights)
     exact = [w / total * period for w in weights]
@@ -63,7 +69,7 @@ def one_period(shares: list[int]) -> list[int]:
 
 @dataclass(frozen=True)
 class Span:
-    """A run of whole or partial periods: blocks first.. of a source take slots start + (n // share) * period + offsets[n % share]."""
+    """A source's blocks: first.. of a source take slots start + (n // share) * period + offsets[n % share]."""
 
     source: int
     first: int
@@ -71,40 +77,67 @@ class Span:
     start: int
     share: int
     period: int
-    offsets: tuple[int, ...]
-
-
-def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[Span]:
-    """Spans that together give each block of each source a slot, without gaps."""
-    left, done, slot, out = [*blocks], [0] * len(blocks), 0, []
-    while live := [k for k, n in enumerate(left) if n]:
-        shares = whole_shares([weights[k] for k in live], period)
-        order = one_period(shares)
-        size = len(order)
-        offsets: list[list[int]] = [[] for _ in live]
-        for at, k in enumerate(order):
-            offsets[k].append(at)
-        turns = min(left[k] // a for k, a in zip(live, shares, strict=True))
-        take = [turns * a for a in shares]
-        length = turns * size
-        if turns == 0:  # a source ends within this period
-            for at, k in enumerate(order):
-                if take[k] == left[live[k]]:
-                    break
-                take[k] += 1
-                length = at + 1
-                if take[k] == left[live[k]]:
-                    break
-        for k, source in enumerate(live):
-            if take[k]:
-                out.append(Span(source, done[source], take[k], slot, shares[k], size, tuple(offsets[k])))
-            left[source] -= take[k]
-            done[source] += take[k]
-        slot += length
+    offsets: Sequence[int]
+
+
+def exact(weights: Sequence[float | Fraction]) -> list[int]:
+    """Whole numbers in the same proportions."""
+    given = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in given))
+    whole = [w.numerator * (scale // w.denominator) for w in given]
+    common = math.gcd(*whole)
+    return [w // common for w in whole]
+
+
+def dealt(blocks: Sequence[int], weights: Sequence[float | Fraction]) -> list[array]:
+    """The slots of each source's blocks, in order: earliest deadline first among released blocks, ties to the earlier source."""
+    out = [array("q") for _ in blocks]
+    if not any(blocks):
+        return out
+    live = [k for k, n in enumerate(blocks) if n]
+    weigh = dict(zip(live, exact([weights[k] for k in live]), strict=True))
+    # the fluid schedule in pieces: a source of weight w has w * v at moment gone + rate * v, until v reaches the piece's end n / w
+    live.sort(key=lambda k: Fraction(blocks[k], weigh[k]))
+    gone, rate = 0, sum(weigh.values())
+    pieces = []
+    for k in live:
+        pieces.append((gone, rate, blocks[k], weigh[k]))
+        gone, rate = gone + blocks[k], rate - weigh[k]
+    at = dict.fromkeys(live, 0)  # the piece in which each source's last block came due
+
+    def window(k: int, j: int) -> tuple[int, int, int, int]:
+        """Release and deadline of block j; its piece is sought from that of the block before, where it is released."""
+        w, p = weigh[k], at[k]
+        gone, rate, _, _ = pieces[p]
+        release = gone + rate * (j - 1) // w
+        while j * pieces[p][3] > pieces[p][2] * w:
+            p += 1
+        at[k] = p
+        gone, rate, _, _ = pieces[p]
+        return release, gone - (-rate * j // w), k, j
+
+    waiting = [window(k, 1) for k in live]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    for slot in range(sum(blocks)):
+        while waiting and waiting[0][0] <= slot:
+            _, due, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, k, j))
+        _, k, j = heapq.heappop(ready)
+        out[k].append(slot)
+        if j < blocks[k]:
+            heapq.heappush(waiting, window(k, j + 1))
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, seed: int = 0, keep: bool = False) -> DataFrame:
+def schedule(blocks: Sequence[int], weights: Sequence[float | Fraction], period: int = PERIOD) -> list[Span]:
+    """Spans that together give each block of each source a slot, without gaps; of ``period`` blocks of a source at most."""
+    slots = dealt(blocks, weights)
+    total = sum(blocks)
+    return [Span(k, at, len(part), 0, len(part), total, part) for k, own in enumerate(slots) for at in range(0, len(own), period) if (part := own[at : at + period])]
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, block: int = BLOCK, period: int = PERIOD, seed: int = 0, keep: bool = False) -> DataFrame:
     """Place every document in the mixed order.
 
     Returns ``doc_id, source, block, slot, position``, or with ``keep`` all columns of ``docs`` and these last
@@ -112,16 +145,15 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     the place within the block, by which to sort. Within a source the order is by a seeded hash of the id.
     ``weights``: target weight of each source, above 0; sources not named, and all if it is None, weigh the
     square root of their number of documents, scaled so that the named ones keep their ratio to the mean.
-    Null is a source of its own. Rows that repeat are placed one after another. No row is dropped or repeated.
+    They may be Fractions, too; any number of sources keeps within a block of its exact share. ``period``: slots per row of the table
+    in which they travel. Null is a source of its own. Rows that repeat are placed one after another. No row is dropped or repeated.
 
     Shuffles: one count per source and bucket of hashes, and one by bucket to rank rows; a source of any size is spread over its buckets.
     """
     own = docs if keep else docs.select("doc_id", "source")
     own = own.drop("block", "slot", "position")
     named = own.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)))
-    sizes = named.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = named.groupBy("source").agg(F.count("*").alias("n")).collect()
     spark = docs.sparkSession
     if not sizes:
         return named.drop("_hash").withColumns({c: F.lit(0).cast("long") for c in ("block", "slot", "position")})
@@ -130,12 +162,17 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     if any(w <= 0 for w in given.values()):
         raise ValueError("weights must be above 0")
     root = [r.n**0.5 for r in sizes]
-    scale = sum(given.values()) / len(given) / (sum(root) / len(root)) if given else 1.0
-    weigh = [float(given.get(r.source, x * scale)) for r, x in zip(sizes, root, strict=True)]
+    scale = float(sum(given.values())) / len(given) / (sum(root) / len(root)) if given else 1.0
+    weigh = [given.get(r.source, x * scale) for r, x in zip(sizes, root, strict=True)]
     spans = schedule([-(-r.n // block) for r in sizes], weigh, period)
     by_source = spark.createDataFrame([(r.source, k, -(-r.n // BUCKET)) for k, r in enumerate(sizes)], "source string, _k int, _buckets long")
-    table = spark.createDataFrame([(s.source, s.first, s.first + s.blocks, s.start, s.share, s.period, list(s.offsets)) for s in spans], "_k int, _first long, _end long, _start long, _share int, _period int, _offsets array<int>")
-    small = F.broadcast(by_source.withColumnRenamed("source", "_source"))  # MAX_SOURCES rows at most
+    columns = {"_k": pa.array([s.source for s in spans], pa.int32()), "_part": pa.array([s.first // period for s in spans], pa.int64()), "_slots": pa.array([np.frombuffer(s.offsets, np.int64) for s in spans], pa.list_(pa.int64()))}
+    table = spark.createDataFrame(pa.table(columns))
+    small = by_source.withColumnRenamed("source", "_source")
+    if len(sizes) <= SMALL:
+        small = F.broadcast(small)
+    if sum(s.blocks for s in spans) <= SMALL:
+        table = F.broadcast(table)
     dealt = named.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.col("_buckets")))
     # how many rows of the source come in buckets before: a row per BUCKET documents, so not broadcast but joined
     full = dealt.groupBy("_k", "_bucket").agg(F.count("*").alias("_n"))
@@ -143,9 +180,6 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     place = Window.partitionBy("_k", "_bucket").orderBy("_hash", "doc_id")
     ranked = dealt.withColumn("_place", F.row_number().over(place) - 1).join(before, ["_k", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_place")).withColumn("block", F.floor(F.col("_rank") / block))
-    # a source has at most one span per phase, and a phase ends with a source
-    spread = ranked.join(F.broadcast(table), (ranked["_k"] == table["_k"]) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end"))).drop(table["_k"])
-    turn = F.col("block") - F.col("_first")
-    slot = F.col("_start") + F.floor(turn / F.col("_share")) * F.col("_period") + F.get("_offsets", (turn % F.col("_share")).cast("int"))
-    out = spread.withColumn("slot", slot.cast("long")).withColumn("position", F.col("slot") * block + F.col("_rank") % block)
+    spread = ranked.withColumn("_part", F.floor(F.col("block") / period)).join(table, ["_k", "_part"])
+    out = spread.withColumn("slot", F.get("_slots", (F.col("block") % period).cast("int"))).withColumn("position", F.col("slot") * block + F.col("_rank") % block)
     return out.select(*own.columns, "block", "slot", "position")
