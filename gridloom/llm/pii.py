@@ -13,6 +13,7 @@ import datetime
 import hashlib
 import math
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -28,14 +29,21 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 NEAR = re.compile(r"[+(0-9][0-9 ().\-/+]{5,}[0-9]")
 NUMBER = re.compile(
     r"(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)"
-    r"|(?<![\w.\-/])(?P<ymd>(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{1,2})(?P=s1)(?P<d1>\d{1,2}))(?![\w\-/])"
-    r"|(?<![\w.\-/])(?P<dmy>(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?![\w\-/])"
+    r"|(?<![\w.\-/])(?P<ymd>(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{1,2})(?P=s1)(?P<d1>\d{1,2}))(?!(?!T\d\d)\w|[\-/])"
+    r"|(?<![\w.\-/])(?P<dmy>(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?!(?!T\d\d)\w|[\-/])"
     r"|(?<![\w\-])(?P<ssn>(?P<area>\d{3})-(?P<group>\d{2})-(?P<serial>\d{4}))(?![\w\-])"
     r"|(?<!\w)(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
     r"|(?<!\w)(?P<phone>(?P<country>\+\d{1,3}[ .-]?)?(?P<rest>\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<!\d\d\d[ \-])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?![ \-]\d{3})|(?<=\+)\d{8,14}))(?!\w)"
     r"|(?<!\w)(?P<e164>\+\d{8,15})(?!\w)"
 )
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+CARD = re.compile(r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)")
+#: Characters of an IBAN by country.
+IBAN_LENGTH = dict(re.findall(
+    r"([A-Z]{2})(\d\d)",
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 "
+    "KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20",
+))
 LOCAL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}$")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
 
@@ -189,6 +197,48 @@ def number(found: tuple[tuple[str, str], ...], key: bytes) -> str | None:
     return phone(g.get("country", ""), g["rest"], key)
 
 
+def ends(text: str, start: int, end: int) -> list[int]:
+    """``end`` and, from the last, where its groups end before it."""
+    return [end, *(k for k in range(end - 1, start, -1) if text[k] in " -" and text[k - 1] not in " -")]
+
+
+def card_end(text: str, start: int, key: bytes, free: Callable[[int, int], bool]) -> int | None:
+    """Where the longest valid card from ``start`` ends: a group of other digits may follow it."""
+    m = CARD.match(text, start)
+    for end in ends(text, start, m.end()) if m else ():
+        value = text[start:end]
+        if sum(c.isdigit() for c in value) < 13:
+            break
+        if free(start, end) and number((("card", value),), key):
+            return end
+    return None
+
+
+def cut_card(text: str, start: int, whole: int, key: bytes, free: Callable[[int, int], bool]) -> int | None:
+    """Where a card ends whose run of digits up to ``whole`` isn't valid, unless one that begins within it has more digits."""
+    end = card_end(text, start, key, free)
+    if end is None or end == whole:
+        return end
+
+    def digits(a: int, b: int) -> int:
+        return sum(c.isdigit() for c in text[a:b])
+
+    for later in range(start + 1, end):
+        if text[later - 1] in " -" and (its := card_end(text, later, key, free)) and digits(later, its) > digits(start, end):
+            return None
+    return end
+
+
+def iban_end(text: str, start: int, whole: int, key: bytes) -> tuple[int, str] | None:
+    """End and pseudonym of the IBAN at ``start``: by its country's length, as long as it was found, or, of an unknown country, by groups."""
+    length, all_ends = int(IBAN_LENGTH.get(text[start : start + 2], 0)), ends(text, start, whole)
+    known = [e for e in all_ends if e - start - text.count(" ", start, e) == length]
+    for end in known + (all_ends[:1] if length else all_ends):
+        if new := iban(text[start:end], key):
+            return end, new
+    return None
+
+
 def findings(text: str, key: bytes) -> list[tuple[int, int, str]]:
     """Start, end and pseudonym of each valid value, in order and apart from each other."""
     out: list[tuple[int, int, str]] = []
@@ -201,22 +251,32 @@ def findings(text: str, key: bytes) -> list[tuple[int, int, str]]:
             done = b.end()
         at = text.find("@", max(at + 1, done))
     taken = [(a, b) for a, b, _ in out]
+
+    def free(start: int, end: int) -> bool:
+        return not any(a < end and start < b for a, b in taken)
+
+    pos = 0
+    while m := IBAN.search(text, pos):
+        pos = m.start() + 1
+        if (found := iban_end(text, m.start(), m.end(), key)) and free(m.start(), found[0]):
+            out.append((m.start(), *found))
+            pos = found[0]
+    taken = [(a, b) for a, b, _ in out]  # before numbers: groups of an IBAN may look like a card
     for near in NEAR.finditer(text):
         pos = near.start()
         while (m := NUMBER.search(text, pos)) and m.start() < near.end():
-            new = number(tuple((k, v) for k, v in m.groupdict().items() if v is not None), key)
-            if new and not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((m.start(), m.end(), new))
-                pos = m.end()
+            end, new = m.end(), number(tuple((k, v) for k, v in m.groupdict().items() if v is not None), key)
+            if m["card"] and not (new and free(m.start(), end)):
+                end = cut_card(text, m.start(), end, key, free)
+                new = end and number((("card", text[m.start() : end]),), key)
+            if new and free(m.start(), end):
+                out.append((m.start(), end, new))
+                pos = end
             else:  # it may begin a little later, or be of another kind
                 pos = m.start() + 1
             if pos >= near.end():
                 break
     out.sort()
-    for m in IBAN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in out) and (new := iban(m[0], key)):
-            out.append((m.start(), m.end(), new))
-    out.sort()
     kept, end = [], 0
     for f in out:
         if f[0] >= end:

@@ -1,5 +1,6 @@
 """Permutations, formats, validity, links across documents, and clean texts."""
 
+import random
 import re
 
 from gridloom.llm import pii
@@ -38,3 +39,36 @@ def test_rows(spark):
     assert new != "a.b@c.org" and rows[2].text == f"to {new} now" and rows[5].text == f"{new} " * 3000
     assert (rows[3].text, rows[3].n_pii, rows[4].text, rows[4].n_pii, rows[5].n_pii) == (None, 0, "", 0, 3000)
     assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def masked(text):
+    """What is replaced, as it was written."""
+    return [text[a:b] for a, b, _ in pii.findings(text, KEY)]
+
+
+def test_what_follows_a_value():
+    card = "4111 1111 1111 1111"
+    assert masked(f"card {card} 12/27") == [card]
+    assert masked("4111111111111111 123 cvv") == ["4111111111111111"]
+    assert masked(f"{card} 05 27") == [card]
+    assert masked("4111-1111-1111-1111 7") == ["4111-1111-1111-1111"]
+    assert masked(f"12 {card}") == [card] and masked(f"{card} 123 {card}") == [card, card]
+    assert masked(f"{card} 12@example.com") == [card, "12@example.com"]
+    assert masked("BE68 5390 0754 7034 EUR") == ["BE68 5390 0754 7034"]
+    assert masked("ES91 2100 0418 4502 0005 1332 BIC") == ["ES91 2100 0418 4502 0005 1332"]
+    assert masked("BE68539007547034 PAYMENT of 5") == ["BE68539007547034"]
+    assert masked("BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332") == ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332"]
+    assert masked("1984-02-29T10:00:00Z") == ["1984-02-29"] and masked("on 1984-02-29Tx") == []
+    for text in ("4111 1111 1111 1112 123", "BE68539007547035 EUR", "1984-02-30T10:00:00Z"):
+        assert pii.replaced(text, KEY) == (text, 0)
+
+
+def test_a_card_among_other_groups():
+    rng = random.Random(6)
+    for _ in range(400):
+        body = [rng.choice("3456"), *(rng.choice("0123456789") for _ in range(14))]
+        body = "".join(body) + str(-pii.luhn("".join(body) + "0") % 10)
+        card = " ".join(body[k : k + 4] for k in range(0, 16, 4))
+        after = f"{rng.randint(0, 999)}"
+        for text in (f"{card} {after}", f"{card} {after} end", f"{rng.randint(1, 99)} {card}"):
+            assert any(card in found for found in masked(text))
