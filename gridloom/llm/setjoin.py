@@ -268,7 +268,8 @@ def _signatures(docs: DataFrame, n: int, t: Threshold, bands: list[Band], parts:
 def _met(blocks: DataFrame, parts: int) -> DataFrame:
     """``bucket, a, b, flag``: in each bucket the pivot ``a`` and each other set ``b`` that may link to it.
 
-    An exact content of a larger side is the pivot; without one, an exact content of a smaller side, for left-out contents of larger ones.
+    An exact content of a larger side is the pivot; without one, an exact content of a smaller side, for left-out contents of larger ones
+    and, where there are such, for the other smaller sides, which meet them as members of one pivot.
     """
     ddl = "bucket long, a long, b long, flag int"
     schema = arrow_schema(ddl)
@@ -283,7 +284,8 @@ def _met(blocks: DataFrame, parts: int) -> DataFrame:
         begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         first = np.repeat(begins, np.diff(np.r_[begins, len(sig)]))
         pivot, kind = sid[first], flag[first]
-        keep = np.flatnonzero((pivot != sid) & ((kind == 0) | ((kind == 1) & (flag == 2))))
+        cut = np.repeat(np.logical_or.reduceat(flag == 2, begins), np.diff(np.r_[begins, len(sig)]))
+        keep = np.flatnonzero((pivot != sid) & ((kind == 0) | ((kind == 1) & cut & (flag <= 2))))
         return pa.RecordBatch.from_arrays([pa.array(bucket[keep].view(np.int64)), pa.array(pivot[keep]), pa.array(sid[keep]), pa.array(flag[keep])], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,3 +101,48 @@ def test_join_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert setjoin.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def with_decoys(name, rng):
+    """Texts of Q, R = Q and one word more in each double segment, and for each segment a lesser smaller-side set that has Q's content of it."""
+    t = Threshold(80, 100)
+    at, band = next((k, doubled(*b, 1, t)) for k, b in enumerate(limits(t, 100)) if b[0] <= 21 <= b[1])
+    assert band.low > 17 >= band.smallest and band.double == 4 and not band.single
+    seed = np.uint64((at + 1) * int(setjoin.MULTIPLIER) & (1 << 64) - 1)
+    by_segment = [[] for _ in range(4)]
+    for k in range(400):
+        word = f"{name}{k}"
+        place = int((setjoin.mix(setjoin.shingle_set(word, 1) ^ seed) % np.uint64(8))[0])
+        by_segment[place >> 1].append(word)
+    q = [by_segment[k][: 4 + (k == 0)] for k in range(4)]
+    texts = [" ".join(sum(q, [])), " ".join(sum(q, []) + [words[5] for words in by_segment])]
+    own, _ = setjoin.identity(setjoin.shingle_set(texts[0], 1), 0)
+    for k in range(4):
+        others = [w for j in range(4) if j != k for w in by_segment[j][6:]]
+        tries = (" ".join(q[k] + rng.sample(others, 12)) for _ in range(3000))
+        decoy = next((x for x in tries if setjoin.identity(setjoin.shingle_set(x, 1), 0)[0] < own), None)
+        if decoy is None:
+            return None
+        texts.append(decoy)
+    return texts
+
+
+def doubled(low, high, sets, t):
+    band = allocate(low, high, sets, t)
+    need = band.single + 2 * band.double
+    return setjoin.Band(low, high, band.smallest, need % 2, need // 2)
+
+
+def test_smaller_sides_behind_a_pivot(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [x for k in range(5) for x in with_decoys(f"v{k}x", rng) or []]
+    assert docs
+    words = [f"u{k}" for k in range(60)]
+    for _ in range(25):
+        base = rng.sample(words, rng.randint(10, 30))
+        docs += [" ".join(base), " ".join(base[rng.randint(0, 3) :] + [rng.choice(words)])]
+    sets = {i: set(x.split()) for i, x in enumerate(docs)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    monkeypatch.setattr(setjoin, "allocate", doubled)
+    rows = setjoin.join(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string"), n=1).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {*roots(pairs, sets).items()}
