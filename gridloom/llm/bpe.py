@@ -16,13 +16,12 @@ import hashlib
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import arrow_schema, by_slices, texts_of
+from gridloom.llm.common import arrow_schema, by_slices, kept, texts_of
 
 #: Above this many symbols a word has its own tree.
 SIDE_BY_SIDE = 32
@@ -257,10 +256,9 @@ class TextCodec:
         return ids, back
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> TextCodec:
     """One codec per worker and file."""
-    return TextCodec(path)
+    return kept(("codec", path), lambda: TextCodec(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, digests_only: bool = False, place: str | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +56,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: The lookups of the operator that this Python worker runs now.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """One operator's lookups in a Python worker. Workers are reused by stage after stage, so what another operator kept goes first, and its memory back to the system."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator reads, so that others neither travel nor clash."""
     return docs.select("doc_id", *more, F.col("text").cast("string").alias("text"))

@@ -13,11 +13,13 @@ a one-row table beside them.
 
 from __future__ import annotations
 
+import contextlib
+import json
 import os
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import byte_symbols
-from gridloom.llm.common import SLICE, arrow_schema, by_slices, shared_dir, texts_of, written
+from gridloom.llm.common import SLICE, arrow_schema, by_slices, kept, shared_dir, texts_of, written
 
 MAGIC = b"GLTOKEN1"
 HEAD = struct.Struct("<8sQBI")
@@ -42,92 +44,122 @@ CACHED = 400_000
 MARKS, LATIN = ".,\n", "\u0250"
 
 
+class Odd(Exception):
+    """A piece that white space touches, or an empty one: the space before it may not begin a pre-token."""
+
+
+class Chunks(dict):
+    """Serialized ids of chunks that follow a space, each made once."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHED:  # what came first is what comes often
+            some = dict(islice(self.items(), CACHED // 2))
+            self.clear()
+            self.update(some)
+        ids = self[chunk] = self.make(chunk)
+        return ids
+
+
 class ChunkEncoder:
     """The tokenizers library, asked once for each chunk between single spaces.
 
     A space with no white space on either side always begins a pre-token, so the chunks
-    that begin there encode independently; any other space stays inside its chunk.
+    that begin there encode independently; any other space stays inside its chunk. That holds for byte-level
+    vocabularies without a normaliser; a file that says otherwise is refused.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        before = said.get("pre_tokenizer") or {}
+        if said.get("normalizer") or said["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
+            raise ValueError(f"not a plain byte-level vocabulary: {path}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t["content"] for t in said.get("added_tokens", ())]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, self._each([*MARKS]), strict=True))
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.model = self.tokenizer.model
         self.symbols = {b: c for b, c in enumerate(byte_symbols()) if chr(b) != c}
+        self.marks = {m: self._whole(m) for m in MARKS}
+        self.known = Chunks(self._chunk)
+        self.odd = Chunks(lambda chunk: self._whole(" " + chunk))
+        self.heads = Chunks(self._whole)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        """By the library's whole way."""
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str, space: str) -> bytes:
         """Ids of a word of Latin letters, which is one pre-token: the library's merges alone, after its byte symbols."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.symbols)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(space + word)], self.dtype).tobytes()
+        return self._bytes([t.id for t in self.model.tokenize(space + word)])
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _chunk(self, chunk: str) -> bytes:
         """Most chunks are a word, a word and a mark, or two of these with a line between; the library takes the others whole."""
-        known, marks, word, others = self.known, self.marks, self._word, []
-        space = self.symbols[32]
-        for chunk in chunks:
-            first, line, second = chunk.partition("\n")
-            bare = first[:-1] if first[-1:] in (".", ",") else first
-            if not (bare.isalpha() and max(bare) < LATIN):
-                others.append(chunk)
-                continue
-            ids = known.get(bare) or word(bare, space)
-            if bare is not first:
-                ids += marks[first[-1]]
-            if line:
-                last = second[:-1] if second[-1:] in (".", ",") else second
-                if not (last.isalpha() and max(last) < LATIN):
-                    others.append(chunk)
-                    continue
-                ids += marks["\n"] + word(last, "")
-                if last is not second:
-                    ids += marks[second[-1]]
-            known[chunk] = ids
-        known.update(zip(others, self._each([" " + c for c in others]), strict=True))
+        if chunk.isalpha():
+            return self._word(chunk, self.symbols[32]) if max(chunk) < LATIN else self._whole(" " + chunk)
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise Odd
+        first, line, second = chunk.partition("\n")
+        bare = first[:-1] if first[-1:] in (".", ",") else first
+        if not (bare.isalpha() and max(bare) < LATIN):
+            return self._whole(" " + chunk)
+        ids = self.known.get(bare) or self._word(bare, self.symbols[32])
+        if bare is not first:
+            ids += self.marks[first[-1]]
+        if line:
+            last = second[:-1] if second[-1:] in (".", ",") else second
+            if not (last.isalpha() and max(last) < LATIN):
+                return self._whole(" " + chunk)
+            ids += self.marks["\n"] + self._word(last, "")
+            if last is not second:
+                ids += self.marks[second[-1]]
+        return ids
 
     @staticmethod
     def _cut(pieces: list[str]) -> list[str]:
         """Pieces joined again wherever the space between them doesn't begin a pre-token."""
-        out = [pieces[0]]
+        out = [[pieces[0]]]
         for piece in pieces[1:]:
-            if piece and out[-1] and not piece[0].isspace() and not out[-1][-1].isspace():
-                out.append(piece)
+            before = out[-1][-1]
+            if piece and before and not piece[0].isspace() and not before[-1].isspace():
+                out.append([piece])
             else:
-                out[-1] += " " + piece
-        return out
+                out[-1].append(piece)
+        return [" ".join(p) for p in out]
+
+    def array(self, text: str | None) -> bytes:
+        """The serialized ids of a text."""
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return self._whole(text)
+        head, *pieces = text.split(" ")
+        if not pieces or (head and not head[-1].isspace()):
+            with contextlib.suppress(Odd):
+                return self.heads[head] + b"".join(map(self.known.__getitem__, pieces))
+        head, *chunks = self._cut([head, *pieces])
+        return self.heads[head] + b"".join([self.odd[c] if c[-1].isspace() or " " in c else self.known[c] for c in chunks])
 
     def arrays(self, texts: list[str | None]) -> list[bytes]:
-        """The serialized ids of each text."""
-        cut = [t.split(" ") if t else [""] for t in texts]
-        heads = [c.pop(0) for c in cut]
-        missing = set().union(*cut) - self.known.keys()
-        odd = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
-        again = [k for k, (h, c) in enumerate(zip(heads, cut, strict=True)) if c and (not h or h[-1].isspace() or (odd and not odd.isdisjoint(c)))]
-        for k in again:
-            heads[k], *cut[k] = self._cut([heads[k], *cut[k]])
-        if odd or again:
-            missing = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(missing) > CACHED:  # what came first is what comes often
-            self.known = dict(islice(self.known.items(), CACHED // 2))
-            missing = set().union(*cut) - self.known.keys()
-        if missing:
-            self._learn(missing)
-        known = self.known.__getitem__
-        return [a + b"".join(map(known, c)) for a, c in zip(self._each(heads), cut, strict=True)]
-
-
-@lru_cache(maxsize=2)
+        return [self.array(t) for t in texts]
+
+
 def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    """One encoder per worker and file."""
+    return kept(("encoder", path), lambda: ChunkEncoder(path))
 
 
 #: ``before``: ids of the part before this shard.
