@@ -23,42 +23,56 @@ import mmap
 import shutil
 import tempfile
 import uuid
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import arrow_schema, shared_dir, texts_of
+from gridloom.llm.common import arrow_schema, kept, shared_dir, texts_of
 from gridloom.llm.eliasfano import EliasFano
+from gridloom.llm.wordhash import word_hashes
 
 #: Steps per decade of quantised probabilities.
 STEPS = 4096
 #: (fixed, relative) weight of shorter contexts, for contexts of one word, of two, and so on.
 SMOOTHING = ((5.0, 2.0), (3.0, 1.0), (3.0, 1.0), (3.0, 1.0))
-#: N-gram occurrences of a shard, those that a task gathers before it writes blocks, and words that it remembers.
-SHARD, GATHERED, CACHED = 3_000_000, 2_000_000, 500_000
-#: Documents that are looked up together: the more, the fewer visits to each shard.
-TOGETHER = 1024
-END = b"\n"  # no word contains it
-MASK = (1 << 64) - 1
+#: N-gram occurrences of a shard, and those that a task gathers before it writes blocks.
+SHARD, GATHERED = 3_000_000, 2_000_000
+#: Documents, and characters of theirs, that are looked up together: the more, the fewer visits to each shard.
+TOGETHER, CHARACTERS = 1024, 6 << 20
+#: The hash of a text's end.
+END = np.uint64(0xE11D0F7E87)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words, with A-Z as a-z and ASCII white space between them."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each text's with its end, and their numbers."""
+    hashes, counts = word_hashes(texts)
+    return np.insert(hashes, np.cumsum(counts), END), counts + 1
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def groups(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Rows that are looked up together."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, TOGETHER):
+            part = whole.slice(k, TOGETHER)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False)) // CHARACTERS
+            begins = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]]).tolist()
+            for a, b in zip(begins, [*begins[1:], part.num_rows], strict=True):
+                yield part.slice(a, b - a)
+
+
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each shard."""
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
+    ends = np.flatnonzero(np.r_[shard[order][1:] != shard[order][:-1], True]) + 1 if len(order) else np.zeros(0, np.int64)
+    for begin, end in zip(np.r_[0, ends[:-1]].astype(int).tolist(), ends.tolist(), strict=False):
+        yield int(shard[order[begin]]), order[begin:end]
 
 
 def code(p: np.ndarray) -> np.ndarray:
@@ -201,8 +215,6 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
-        self.slot: dict[bytes, int] = {}
-        self.ids, self.counts = np.zeros(CACHED + 1, np.int64), np.zeros(CACHED + 1, np.int64)
         self._shards: dict[tuple[int, int], tuple[dict, dict, EliasFano]] = {}
 
     def shard(self, level: int, k: int) -> tuple[dict, dict[str, np.ndarray], EliasFano]:
@@ -211,17 +223,15 @@ class Reader:
             self._shards[level, k] = meta, arrays, restored("keys", meta, arrays)
         return self._shards[level, k]
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Id (-1 if unknown) and count of distinct words."""
-        ids, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id (-1 if unknown) and count of distinct words, by hash."""
+        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         if not self.model.words:
             return ids, counts
-        h = np.fromiter(map(word_hash, words), np.uint64, len(words))
         shard = (h >> np.uint64(64 - self.model.shard_bits)).astype(np.int64) if self.model.shard_bits else np.zeros(len(h), np.int64)
-        for k in np.unique(shard).tolist():
+        for k, rows in by_shard(shard):
             if self.model.first_word[k] == self.model.first_word[k + 1]:
                 continue
-            rows = np.flatnonzero(shard == k)
             meta, arrays, keys = self.shard(1, k)
             at, same = keys.successor(h[rows] & np.uint64((1 << 64 - self.model.shard_bits) - 1))
             rows, at = rows[same], at[same]
@@ -230,23 +240,12 @@ class Reader:
             counts[rows] = (sums.get(at + 1) - sums.get(at)).astype(np.int64)
         return ids, counts
 
-    def of_words(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of all words, one after another."""
-        slot = self.slot
-        missing = set().union(*documents) - slot.keys()
-        if len(slot) + len(missing) > CACHED:  # what came first is what comes often
-            slot = self.slot = dict(islice(slot.items(), CACHED // 2))
-            missing = set().union(*documents) - slot.keys()
-        if missing:
-            new = [*missing]
-            begin, end = len(slot), len(slot) + len(new)
-            if end > len(self.ids):
-                self.ids, self.counts = (np.resize(a, end) for a in (self.ids, self.counts))
-            self.ids[begin:end], self.counts[begin:end] = self.look_up(new)
-            slot.update(zip(new, range(begin, end), strict=True))
-        n = sum(map(len, documents))
-        at = np.fromiter(map(slot.__getitem__, chain.from_iterable(documents)), np.int64, n)
-        return self.ids[at], self.counts[at]
+    def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and counts of all tokens, one after another, and the number of tokens of each text."""
+        hashes, sizes = tokens_of(texts)
+        distinct, at = np.unique(hashes, return_inverse=True)
+        ids, counts = self.look_up(distinct)
+        return ids[at], counts[at], sizes
 
     def find(self, level: int, context: np.ndarray, child: np.ndarray, inner: bool | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For pairs of context and word: the node's number (-1 if there is none), its share of probability, and what it leaves; with ``inner`` None only the numbers."""
@@ -255,11 +254,7 @@ class Reader:
         if not len(context) or not cut.nodes:
             return node, share, leaves
         shard, key = cut.route(context, child, self.model.words)
-        order = np.argsort(shard, kind="stable")
-        ends = np.flatnonzero(np.r_[shard[order][1:] != shard[order][:-1], True]) + 1
-        for begin, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-            rows = order[begin:end]
-            k = int(shard[rows[0]])
+        for k, rows in by_shard(shard):
             if cut.first[k] == cut.first[k + 1]:
                 continue
             _, arrays, keys = self.shard(level, k)
@@ -299,21 +294,9 @@ class Reader:
         return context
 
 
-@lru_cache(maxsize=1)
-def _reader(key: str) -> Reader:
-    return Reader(_MODELS[key])
-
-
-_MODELS: dict[str, Model] = {}
-
-
 def reader(model: Model) -> Reader:
     """One reader per worker, for the model as built so far."""
-    key = f"{model.root}|{len(model.levels)}"
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = model
-    return _reader(key)
+    return kept(("model", model.root, len(model.levels)), lambda: Reader(model))
 
 
 BLOCKS = "shard int, block binary"
@@ -321,12 +304,9 @@ BLOCKS = "shard int, block binary"
 
 def _blocks(shard: np.ndarray, key: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
     """Occurrences as a block per shard."""
-    order = np.argsort(shard, kind="stable")
-    ends = np.flatnonzero(np.r_[shard[order][1:] != shard[order][:-1], True]) + 1
     shards, blocks = [], []
-    for begin, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-        rows = order[begin:end]
-        shards.append(int(shard[rows[0]]))
+    for k, rows in by_shard(shard):
+        shards.append(k)
         if counts is None:
             blocks.append(pack_block(*np.unique(key[rows], return_counts=True)))
         else:
@@ -336,24 +316,19 @@ def _blocks(shard: np.ndarray, key: np.ndarray, counts: np.ndarray | None = None
 
 def _count_words(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            h = np.fromiter(map(word_hash, counts), np.uint64, len(counts))
-            n = np.fromiter(counts.values(), np.uint64, len(counts))
+            h = np.concatenate(held)
+            held.clear()
             shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-            counts.clear()
-            return _blocks(shard, h & np.uint64((1 << 64 - bits) - 1), n)
+            return _blocks(shard, h & np.uint64((1 << 64 - bits) - 1))
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, TOGETHER):
-                texts = batch.column(0).slice(k, TOGETHER).to_pylist()
-                for text in texts:
-                    counts.update(words_of(text))
-                counts[END] += len(texts)
-                if len(counts) > CACHED:
-                    yield flush()
-        if counts:
+        for part in groups(batches, 0):
+            held.append(tokens_of(part.column(0).to_pylist())[0])
+            if sum(map(len, held)) > GATHERED:
+                yield flush()
+        if held:
             yield flush()
 
     return docs.select("text").mapInArrow(run, BLOCKS)
@@ -369,17 +344,14 @@ def _count_level(docs: DataFrame, model: Model, level: int, cut: Level) -> DataF
             held.clear()
             return _blocks(shard, key)
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, TOGETHER):
-                documents = [[*words_of(t), END] for t in batch.column(0).slice(k, TOGETHER).to_pylist()]
-                ids, _ = own.of_words(documents)
-                sizes = np.fromiter(map(len, documents), np.int64, len(documents))
-                begins = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                context = own.contexts(ids, begins, level - 1)
-                valid = np.flatnonzero(context >= 0)
-                held.append(cut.route(context[valid], ids[valid], model.words))
-                if sum(len(h[0]) for h in held) > GATHERED:
-                    yield flush()
+        for part in groups(batches, 0):
+            ids, _, sizes = own.of_texts(part.column(0).to_pylist())
+            begins = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            context = own.contexts(ids, begins, level - 1)
+            valid = np.flatnonzero(context >= 0)
+            held.append(cut.route(context[valid], ids[valid], model.words))
+            if sum(len(h[0]) for h in held) > GATHERED:
+                yield flush()
         if held and any(len(h[0]) for h in held):
             yield flush()
 
@@ -482,32 +454,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = reader(model)
-        for batch in batches:
-            for k in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(k, TOGETHER)
-                documents = [[*words_of(t), END] for t in part.column(1).to_pylist()]
-                ids, counts = own.of_words(documents)
-                sizes = np.fromiter(map(len, documents), np.int64, len(documents))
-                starts = np.cumsum(sizes) - sizes
-                begins = np.arange(len(ids)) - np.repeat(starts, sizes)
-                base = model.base(counts)
-                p = base.copy()
-                # the node of the words before each place, and what it leaves to shorter contexts
-                context = np.where(begins >= 1, np.r_[-1, ids[:-1]], -1)
-                fixed, relative = shares(1)
-                before = np.r_[0, counts[:-1]]
-                leaves = (fixed + relative * before) / (before + fixed + relative * before)
-                for level in range(2, len(model.levels) + 2):
-                    valid = np.flatnonzero(context >= 0)
-                    known = valid[ids[valid] >= 0]
-                    node, share, onward = own.find(level, context[known], ids[known], level <= len(model.levels))
-                    gained = np.zeros(len(ids))
-                    gained[known] = share
-                    p[valid] = gained[valid] + leaves[valid] * p[valid]
-                    nodes, onwards = np.full(len(ids), -1, np.int64), np.ones(len(ids))
-                    nodes[known], onwards[known] = node, onward
-                    context, leaves = np.where(begins >= level, np.r_[-1, nodes[:-1]], -1), np.r_[1, onwards[:-1]]
-                columns = [sizes, np.add.reduceat(counts > 0, starts, dtype=np.int64), np.full(len(sizes), model.tokens, np.int64), np.add.reduceat(np.log10(base), starts), np.add.reduceat(np.log10(p), starts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, [*schema][1:], strict=True))], schema=schema)
+        for part in groups(batches, 1):
+            ids, counts, sizes = own.of_texts(part.column(1).to_pylist())
+            starts = np.cumsum(sizes) - sizes
+            begins = np.arange(len(ids)) - np.repeat(starts, sizes)
+            base = model.base(counts)
+            p = base.copy()
+            # the node of the words before each place, and what it leaves to shorter contexts
+            context = np.where(begins >= 1, np.r_[-1, ids[:-1]], -1)
+            fixed, relative = shares(1)
+            before = np.r_[0, counts[:-1]]
+            leaves = (fixed + relative * before) / (before + fixed + relative * before)
+            for level in range(2, len(model.levels) + 2):
+                valid = np.flatnonzero(context >= 0)
+                known = valid[ids[valid] >= 0]
+                node, share, onward = own.find(level, context[known], ids[known], level <= len(model.levels))
+                gained = np.zeros(len(ids))
+                gained[known] = share
+                p[valid] = gained[valid] + leaves[valid] * p[valid]
+                nodes, onwards = np.full(len(ids), -1, np.int64), np.ones(len(ids))
+                nodes[known], onwards[known] = node, onward
+                context, leaves = np.where(begins >= level, np.r_[-1, nodes[:-1]], -1), np.r_[1, onwards[:-1]]
+            columns = [sizes, np.add.reduceat(counts > 0, starts, dtype=np.int64), np.full(len(sizes), model.tokens, np.int64), np.add.reduceat(np.log10(base), starts), np.add.reduceat(np.log10(p), starts)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, [*schema][1:], strict=True))], schema=schema)
 
     return texts_of(docs).mapInArrow(run, ddl)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import ngramlm
 from gridloom.llm.eliasfano import EliasFano
+from gridloom.llm.wordhash import word_hashes
 
 
 @pytest.mark.parametrize(("n", "universe"), [(0, 10), (1, 1), (5, 5), (1000, 1 << 60), (1000, 1500), (5000, 100_000), (1000, (1 << 63) - 1)])
@@ -64,7 +65,7 @@ def test_children_by_pointers(spark):
     docs = spark.createDataFrame([(1, "a b a c a b d")], "doc_id long, text string")
     model = ngramlm.train(docs)
     reader = ngramlm.Reader(model)
-    ids, counts = reader.look_up([b"a", b"b", b"c", b"d", b"x"])
+    ids, counts = reader.look_up(word_hashes(["a b c d x"])[0])
     assert counts.tolist() == [3, 2, 1, 1, 0] and ids[4] == -1
     assert sorted(reader.children(2, int(ids[0]))) == sorted(ids[1:3].tolist())
 
