@@ -9,6 +9,7 @@ in every document, with no table to share.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -25,8 +26,8 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 #: Dates that are taken for dates of a life.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-#: Where a number may begin, with room for the longest kind; the patterns below look closer.
-NEAR = re.compile(r"[+(0-9][0-9 ().\-/+]{5,}[0-9]")
+#: Whole runs of the characters that numbers are written in; the patterns below look closer, and this far beyond a run.
+NEAR, BEYOND = re.compile(r"[0-9 ().\-/+]{7,}+"), 4
 NUMBER = re.compile(
     r"(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)"
     r"|(?<![\w.\-/])(?P<ymd>(?P<y1>\d{4})(?P<s1>[-/.])(?P<m1>\d{1,2})(?P=s1)(?P<d1>\d{1,2}))(?!(?!T\d\d)\w|[\-/])"
@@ -165,7 +166,7 @@ def iban(value: str, key: bytes) -> str | None:
     return like(value, bare[:2] + f"{98 - mod_97(bare[:2] + '00' + body):02}" + body)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def email(local: str, domain: str, key: bytes) -> str:
     """Both sides in lower case decide, so that a written address stays linked to its capitals."""
     host, _, top = domain.rpartition(".")
@@ -176,7 +177,7 @@ def like_case(shape: str, text: str) -> str:
     return "".join(t.upper() if c.isupper() else t for c, t in zip(shape, text, strict=True))
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def number(found: tuple[tuple[str, str], ...], key: bytes) -> str | None:
     """The pseudonym of what NUMBER found (its groups), or None if it isn't valid."""
     g = dict(found)
@@ -239,8 +240,20 @@ def iban_end(text: str, start: int, whole: int, key: bytes) -> tuple[int, str] |
     return None
 
 
+def clear_of(spans: list[tuple[int, int, str]]) -> Callable[[int, int], bool]:
+    """Whether a stretch touches none of ``spans``, which are apart from each other."""
+    spans = sorted(spans)
+    starts, stops = [s[0] for s in spans], [s[1] for s in spans]
+
+    def free(start: int, end: int) -> bool:
+        k = bisect.bisect_left(starts, end)
+        return not k or stops[k - 1] <= start
+
+    return free
+
+
 def findings(text: str, key: bytes) -> list[tuple[int, int, str]]:
-    """Start, end and pseudonym of each valid value, in order and apart from each other."""
+    """Start, end and pseudonym of each valid value, in order and apart from each other, in time that grows with the text's length."""
     out: list[tuple[int, int, str]] = []
     at = text.find("@")
     done = 0
@@ -250,21 +263,16 @@ def findings(text: str, key: bytes) -> list[tuple[int, int, str]]:
             out.append((at - len(a[0].lstrip(".-")), b.end(), email(local, b[0], key) if local == a[0].lstrip(".-") else email(a[0].lstrip(".-"), b[0], key)))
             done = b.end()
         at = text.find("@", max(at + 1, done))
-    taken = [(a, b) for a, b, _ in out]
-
-    def free(start: int, end: int) -> bool:
-        return not any(a < end and start < b for a, b in taken)
-
-    pos = 0
+    free, pos = clear_of(out), 0
     while m := IBAN.search(text, pos):
         pos = m.start() + 1
         if (found := iban_end(text, m.start(), m.end(), key)) and free(m.start(), found[0]):
             out.append((m.start(), *found))
             pos = found[0]
-    taken = [(a, b) for a, b, _ in out]  # before numbers: groups of an IBAN may look like a card
+    free = clear_of(out)  # before numbers: groups of an IBAN may look like a card
     for near in NEAR.finditer(text):
-        pos = near.start()
-        while (m := NUMBER.search(text, pos)) and m.start() < near.end():
+        pos, last = near.start(), near.end()
+        while pos < last and (m := NUMBER.search(text, pos, last + BEYOND)) and m.start() < last:
             end, new = m.end(), number(tuple((k, v) for k, v in m.groupdict().items() if v is not None), key)
             if m["card"] and not (new and free(m.start(), end)):
                 end = cut_card(text, m.start(), end, key, free)
@@ -274,8 +282,6 @@ def findings(text: str, key: bytes) -> list[tuple[int, int, str]]:
                 pos = end
             else:  # it may begin a little later, or be of another kind
                 pos = m.start() + 1
-            if pos >= near.end():
-                break
     out.sort()
     kept, end = [], 0
     for f in out:
@@ -302,7 +308,8 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, int]:
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """All rows and columns of ``docs``, with ``text`` (whole) pseudonymised and ``n_pii`` values counted.
 
-    Null and empty texts stay and count 0. An input column ``n_pii`` is replaced. No shuffle. ``key`` (1 to 64
+    Null and empty texts stay and count 0. Values that overlap: addresses go first, then IBANs, then what begins first. Dates before
+    1900 or after 2099 are not dates of a life and stay. An input column ``n_pii`` is replaced. No shuffle. ``key`` (1 to 64
     bytes) decides the permutations; whoever holds it can undo them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(key)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from gridloom.llm import pii
 
@@ -72,3 +73,40 @@ def test_a_card_among_other_groups():
         after = f"{rng.randint(0, 999)}"
         for text in (f"{card} {after}", f"{card} {after} end", f"{rng.randint(1, 99)} {card}"):
             assert any(card in found for found in masked(text))
+
+
+def test_time_grows_with_length():
+    for unit in ("1234567 word ", "(", "+1 ", "4111 1111 1111 1112 ", "a@b.c", "12-", "DE00 0000 0000 0000 "):
+        text = unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        pii.findings(text, KEY)
+        assert time.process_time() - began < 20, unit
+
+
+def test_whole_rows_against_what_was_planted(spark):
+    """Texts made of known values and plain words: only the values change, each into one of its kind, equal ones alike everywhere."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    body = lambda: rng.choice("345") + digits(14)
+    values = [b + str(-pii.luhn(b + "0") % 10) for b in (body() for _ in range(6))] + [f"{digits(3)}.1.{digits(1)}.7".replace("9", "1").lstrip("0") for _ in range(3)]
+    values = [v for v in values if "." not in v or pii.ip(v, KEY)] + ["1984-02-29", "03/11/1975", "123-45-6789", "jo.doe@mail.example.com", "DE89 3704 0044 0532 0130 00", "+1 (476) 555-6291"]
+    plain = ["word", "12", "3.5", "v2.1", "100%", "x@", "@y", "1234567", "a-b", "12345 67", "\n", "(see)", "é"]
+    rows, parts = [], []
+    for k in range(60):
+        own = [(rng.choice(values), True) if rng.random() < 0.4 else (rng.choice(plain), False) for _ in range(rng.randint(0, 30))]
+        own = [x for pair in zip(own, [(" ; ", False)] * len(own), strict=True) for x in pair]
+        parts.append(own)
+        rows.append((k, "".join(t for t, _ in own)))
+    found = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    names: dict[str, str] = {}
+    for k, own in enumerate(parts):
+        at, new = 0, found[k].text
+        assert found[k].n_pii == sum(v for _, v in own) and len(new) == len(rows[k][1])
+        for text, value in own:
+            there = new[at : at + len(text)]
+            at += len(text)
+            if value:
+                assert names.setdefault(text, there) == there and there != text and pii.findings(there, KEY)
+            else:
+                assert there == text
+    assert len({*names.values()}) == len(names) >= 10
