@@ -44,7 +44,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document holds a secret; secrets themselves only as a hash."""
-    forest = secrets.train(spark, secrets.labelled_findings())
+    known = secrets.dictionary(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    forest = secrets.train(spark, secrets.labelled_findings(known), known)
     found = secrets.scan(table(spark, sf_dir, "documents"), forest)
     return found.select("doc_id", "nth", "start", "n_chars", F.sha2("secret", 256).alias("secret_sha256"), "score")
 

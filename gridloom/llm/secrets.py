@@ -1,9 +1,10 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters that keys are written in. Its length, the changes between
+A candidate is a value of 6 or more characters that a telling word is given, a dotted web token, or a run of 16 or more
+characters that keys are written in. Its length, the changes between
 kinds of characters, how much of it a dictionary covers, whether it stands in a path, and
 the words beside it are its features. The forest is grown on the driver from a bounded number of
-labelled findings and becomes nested CASE expressions, so that scanning is DataFrame functions only.
+labelled findings and becomes arrays that built-in functions walk, so that scanning is DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import json
 import random
 import string
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,17 +23,20 @@ from pyspark.sql.window import Window
 
 from gridloom.llm.common import texts_of
 
-CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
+#: What a secret is assigned by: a telling word, and what stands between it and a value.
+ASSIGNED = r"(?=[apstAPST])(?:(?<![A-Za-z])|(?=[APST]))(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w{0,16}[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\"'`]?"
+#: A value of 6 or more characters after a telling word, a web token with its dots, or a run of 16 or more characters that keys are written in.
+CANDIDATE = rf"{ASSIGNED}[^\s\"'`,;<>(){{}}\[\]]{{5,}}[^\s\"'`,;<>(){{}}\[\].:!?]|eyJ[A-Za-z0-9_\-]{{6,}}(?:\.[A-Za-z0-9_\-]{{6,}}){{1,2}}|(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/=\-]{{16,}}"
+#: A character that no text may hold; put around candidates, it lets one pass of the pattern cut a text.
+MARK, OTHER = "\ufdd0", "\ufdd1"
 #: Characters of context before and after.
 BEFORE, AFTER = 48, 16
 #: Labelled findings that a forest is grown from at most, trees, depth, and rows of a leaf.
 LABELLED, TREES, DEPTH, LEAF = 6000, 15, 6, 8
 THRESHOLD = 0.5
 
-#: Frequent English words and parts of identifiers, for coverage.
-DICTIONARY = (
-    "access account action address after again agent alpha always amount answer application archive array author available back background base batch before begin between block body border browser buffer build button cache call change channel char check class clean client clone close cloud code collection color column command common compare complete component config connect console content context control convert copy count create current cursor data database date debug default delete demo dependency description destroy detail device dictionary digest directory disable display document domain download driver dummy edit element email empty enable encode entity error event example execute export factory feature fetch field file filter find first flag folder font format function gateway global graph group handler header helper history host image import index information init input insert instance integer interface internal item join kernel label language layout length library limit line link list local location lock logger login long machine main manager master matrix member memory menu message method model module monitor name network node notification number object offset open operation option order output package page parameter parent parse path pattern payload place player plugin point policy port position prefix print process product profile project property provider public query queue random range read receive record reference register release remote remove render repository request reset resource response result return route sample schema screen script search section select send sequence server service session setting shape shared signal simple size snapshot socket sort source stack start state static status storage stream string style submit suffix switch symbol system table target task template test text thread time title toggle track transaction transform tree trigger type unique update upload user util validate value variable vector version view virtual visible watch width window worker wrapper write your"
-).split()
+#: Words of the dictionary by which coverage is told, and letters of the shortest of them.
+WORDS, LETTERS = 300, 4
 #: Beginnings of well-known kinds of keys.
 PREFIX = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|sk_test_|rk_live_|sk-|AIza|eyJ|glpat-|npm_|SG_|dop_v1_|shpat_)"
 #: Words before a secret, and before what only looks like one.
@@ -40,11 +46,29 @@ HARMLESS = r"(?i)(sha-?(1|256|384|512)?|md5|commit|checksum|digest|uuid|guid|has
 FEATURES = ("n", "digits", "uppers", "vowels", "marks", "hex", "distinct", "kinds", "cases", "clusters", "repeats", "covered", "slashes", "in_path", "telling", "harmless", "quoted", "assigned", "prefix")
 
 
-def features(c: str = "c", b: str = "b", a: str = "a") -> dict[str, Column]:
-    """A double per feature, of columns with the candidate and what stands before and after it."""
+def dictionary(*vocabularies: str, words: int = WORDS) -> list[str]:
+    """Frequent words: the first whole lower-case ASCII words of public vocabulary files, which list their pieces by frequency."""
+    out: dict[str, None] = {}
+    for path in vocabularies:
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as file:
+                ids = json.load(file)["model"]["vocab"]
+            pieces: Iterable[str] = sorted(ids, key=ids.get)
+        else:
+            from sentencepiece import SentencePieceProcessor
+
+            model = SentencePieceProcessor(model_file=path)
+            pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+        own = (p[1:] for p in pieces if p[0] in "\u0120\u2581" and len(p) > LETTERS and p.isascii() is False and p[1:].isascii() and p[1:].isalpha() and p[1:].islower())
+        out |= dict.fromkeys(islice(own, words))
+    return [*out]
+
+
+def features(known: list[str], c: str = "c", b: str = "b", a: str = "a") -> dict[str, Column]:
+    """A double per feature, of columns with the candidate and what stands before and after it; ``known``: the dictionary."""
     it, before, after = F.col(c), F.col(b), F.col(a)
     share = lambda pattern, of=it: F.regexp_count(of, F.lit(pattern)) / F.length(it)
-    words = "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=lambda w: (-len(w), w)))
+    words = "|".join(sorted(known, key=lambda w: (-len(w), w))) or "(?!)"
     columns = (
         F.length(it),
         share("[0-9]"),
@@ -118,34 +142,61 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, s
     return out
 
 
-def expression(node: Node, names: list[str]) -> str:
-    if node.feature < 0 or node.below is None or node.above is None:
-        return f"{node.share:.6f}D"
-    return f"CASE WHEN {names[node.feature]} <= {node.at!r}D THEN {expression(node.below, names)} ELSE {expression(node.above, names)} END"
+@dataclass(frozen=True)
+class Forest:
+    """Trees, and the dictionary of their features."""
+
+    trees: list[Node]
+    known: list[str]
 
 
-def score(forest: list[Node]) -> Column:
-    """The mean of the trees' shares, over columns named as features() names them."""
-    names = [f"f_{n}" for n in FEATURES]
-    return F.expr("(" + " + ".join(expression(t, names) for t in forest) + f") / {len(forest)}")
+def score(forest: Forest, x: Column) -> Column:
+    """The mean of the trees' shares, over an array of features.
+
+    Nodes of all trees lie in arrays, and each tree is walked from its root by as many steps as the deepest has; a leaf leads to itself. So
+    the plan's size and its generated code don't grow with the forest.
+    """
+    rows: list[tuple[int, float, int, int, float]] = []
+
+    def lay(node: Node) -> int:
+        at = len(rows)
+        rows.append((0, 0.0, at, at, node.share))
+        if node.feature >= 0 and node.below is not None and node.above is not None:
+            rows[at] = (node.feature, node.at, lay(node.below), lay(node.above), node.share)
+        return at
+
+    def deep(node: Node) -> int:
+        return 0 if node.below is None or node.above is None else 1 + max(deep(node.below), deep(node.above))
+
+    roots = [lay(t) for t in forest.trees]
+    feature, at, below, above, share = (F.array(*[F.lit(r[k]) for r in rows]) for k in range(5))
+    steps = F.sequence(F.lit(1), F.lit(max(1, *map(deep, forest.trees))))
+    leaf = lambda root: F.aggregate(steps, root, lambda n, _: F.when(F.get(x, F.get(feature, n)) <= F.get(at, n), F.get(below, n)).otherwise(F.get(above, n)))
+    return F.aggregate(F.array(*map(F.lit, roots)), F.lit(0.0), lambda total, root: total + F.get(share, leaf(root))) / len(roots)
+
+
+def scored(named: DataFrame, forest: Forest) -> DataFrame:
+    """``named`` (c, b, a and others) with ``score``."""
+    x = F.array(*features(forest.known).values())
+    return named.withColumn("score", F.get(F.transform(F.array(x), lambda own: score(forest, own)), F.lit(0)))  # bound, so made once for all trees
 
 
 # -- labelled findings ----------------------------------------------------------------------
 
 
-def labelled_findings(n: int = 4000, seed: int = 0) -> list[dict]:
+def labelled_findings(known: list[str], n: int = 5000, seed: int = 0) -> list[dict]:
     """Findings as a reviewer would have labelled them: keys in settings and code, and what is often taken for them."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     alnum, hexa, b64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     syllable = lambda: rng.choice("th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve eau eux tion ment que sch ein ung ich ción ado".split())
-    word = lambda: rng.choice(DICTIONARY)
+    word = lambda: rng.choice(known)
     prose = lambda: " ".join("".join(syllable() for _ in range(rng.randint(1, 4))) for _ in range(6)) + rng.choice([" ", ". ", ", ", "\n"])
     keyword = lambda: rng.choice(["token", "api_key", "API_KEY", "apikey", "secret", "password", "passwd", "access_key", "auth_token", "client_secret", "SECRET_KEY", "private_key", "bearer", "Authorization: Bearer"])
     out = []
     for k in range(n):
         if k % 2:
-            kind = rng.randrange(6)
+            kind = rng.randrange(8)
             secret = [
                 lambda: pick(hexa, rng.choice([32, 40, 48, 64])),
                 lambda: pick(alnum, rng.randint(20, 64)),
@@ -153,13 +204,15 @@ def labelled_findings(n: int = 4000, seed: int = 0) -> list[dict]:
                 lambda: rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + string.digits, 16),
                 lambda: rng.choice(["ghp_", "gho_", "sk_live_", "xoxb-", "glpat-", "sk-", "AIza"]) + pick(alnum + "_-", rng.randint(24, 40)),
                 lambda: pick(alnum + "_-", rng.randint(16, 32)),
+                lambda: "".join(rng.sample([rng.choice(string.digits), rng.choice(string.ascii_uppercase), rng.choice("!@#$%^&*._-+"), *pick(alnum + "!@#$%._", rng.randint(5, 13))], k=8)) + pick(alnum, rng.randint(0, 6)),
+                lambda: "eyJ" + pick(alnum, rng.randint(12, 30)) + ".eyJ" + pick(alnum + "_-", rng.randint(16, 60)) + "." + pick(alnum + "_-", 43),
             ][kind]()
             quote = rng.choice(['"', '"', "'", ""])
-            bare = kind in (3, 4) and rng.random() < 0.5
+            bare = kind in (3, 4, 7) and rng.random() < 0.5
             before = prose() + ("" if bare else keyword() + rng.choice([" = ", "=", ": ", ":", " := ", " "]) + quote)
             after = ("" if bare else quote) + rng.choice([" ", "\n", ";", ", ", " "]) + prose()
         else:
-            kind = rng.randrange(11)
+            kind = rng.randrange(13)
             quote = rng.choice(['"', "'", "", ""])
             lead = prose()
             if kind == 0:
@@ -182,43 +235,50 @@ def labelled_findings(n: int = 4000, seed: int = 0) -> list[dict]:
                 secret, before = rng.choice("=-_x*0") * rng.randint(16, 60), lead
             elif kind == 9:
                 secret, before = rng.choice(["your_api_key_here", "YOUR_ACCESS_TOKEN_HERE", "example_token_value", "changemechangeme", "xxxxxxxxxxxxxxxxxxxx", "insert-your-key-here"]), lead + keyword() + rng.choice([" = ", ": ", "="]) + quote
+            elif kind == 10:  # prose that a telling word leads to
+                secret, before = rng.choice([word(), "".join(syllable() for _ in range(rng.randint(2, 5)))]).ljust(6, "e"), lead + rng.choice(["password", "token", "secret", "Password", "auth"]) + rng.choice([": ", " = ", ":"])
+            elif kind == 11:  # code that a telling word leads to
+                secret, before = rng.choice(["os.environ.get", "getenv", "config." + word(), "self." + word() + "_" + word(), word() + "." + word(), "None", "required", "string", "${" + word().upper()]).ljust(6, "s"), lead + keyword() + rng.choice([" = ", "=", ": "])
             else:
                 secret, before = "-".join("".join(syllable() for _ in range(rng.randint(2, 3))) for _ in range(rng.randint(3, 7))), lead
-            secret = secret if len(secret) >= 16 and secret.isascii() else (secret.encode("ascii", "ignore").decode() + "andmorewordsthere")
+            secret = secret if (len(secret) >= 16 or kind in (10, 11)) and secret.isascii() else (secret.encode("ascii", "ignore").decode() + "andmorewordsthere")
             after = quote + rng.choice([" ", "\n", ". ", ", "]) + prose()
         out.append({"c": secret, "b": before[-BEFORE:], "a": after[:AFTER], "secret": bool(k % 2)})
     return out
 
 
-def train(spark: SparkSession, findings: list[dict], trees: int = TREES, depth: int = DEPTH, seed: int = 0) -> list[Node]:
-    """Grow a forest from labelled findings (c, b, a, secret), LABELLED at most; the features are those of scanning."""
+def train(spark: SparkSession, findings: list[dict], known: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = 0) -> Forest:
+    """Grow a forest from labelled findings (c, b, a, secret), LABELLED at most; the features are those of scanning, with the dictionary ``known``."""
     if len(findings) > LABELLED:
         raise ValueError(f"more than {LABELLED} findings")
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(findings)), "array<struct<c string, b string, a string, secret boolean>>")).alias("x")).select("x.*")
-    table = np.array(rows.select(*[x.alias(n) for n, x in features().items()], F.col("secret").cast("double").alias("secret")).collect(), float)
-    return grow(table[:, :-1], table[:, -1], trees, depth, seed)
+    table = np.array(rows.select(*[x.alias(n) for n, x in features(known).items()], F.col("secret").cast("double").alias("secret")).collect(), float)
+    return Forest(grow(table[:, :-1], table[:, -1], trees, depth, seed), known)
 
 
 # -- scanning -------------------------------------------------------------------------------
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, nth, start, c, b, a`` of every candidate in every whole text; ``start`` counts characters from 0."""
-    own = texts_of(docs).filter(F.col("text").rlike(CANDIDATE)).withColumn("_row", F.monotonically_increasing_id())
-    cut = own.select("doc_id", "_row", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
-    # only the ends of gaps go on, so that a long text isn't repeated for each candidate
-    one = F.zip_with(F.col("found"), F.sequence(F.lit(0), F.size("found") - 1), lambda c, k: F.struct(c.alias("c"), F.right(F.get("gaps", k), F.lit(BEFORE)).alias("b"), F.left(F.get("gaps", k + 1), F.lit(AFTER)).alias("a"), F.length(F.get("gaps", k)).alias("gap")))
-    rows = cut.select("doc_id", "_row", F.posexplode(one).alias("nth", "x")).select("doc_id", "_row", "nth", "x.*")
-    passed = F.sum(F.col("gap") + F.length("c")).over(Window.partitionBy("_row").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select("doc_id", "nth", (passed - F.length("c")).alias("start"), "c", "b", "a")
-
-
-def scan(docs: DataFrame, forest: list[Node], threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, nth, start, c, b, a`` of every candidate in every whole text; ``start`` counts characters from 0. In a text that holds MARK, OTHER takes its place."""
+    whole = F.regexp_replace(F.translate("text", MARK, OTHER), CANDIDATE, f"{MARK}$0{MARK}")
+    own = texts_of(docs).withColumn("parts", F.split(whole, MARK, -1)).withColumn("_row", F.monotonically_increasing_id())
+    every = lambda first: F.filter("parts", lambda _, k: k % 2 == first)
+    cut = own.select("doc_id", "_row", every(1).alias("found"), every(0).alias("gaps"))
+    # only the ends of gaps go on, so that a long text isn't repeated for each candidate; a telling word counts as what stands before
+    told = F.regexp_extract("m", rf"^(?:{ASSIGNED})", 0)
+    one = F.transform(F.col("found"), lambda m, k: F.struct(m.alias("m"), F.right(F.get("gaps", k), F.lit(BEFORE)).alias("b"), F.left(F.get("gaps", k + 1), F.lit(AFTER)).alias("a"), F.length(F.get("gaps", k)).alias("gap")))
+    rows = cut.select("doc_id", "_row", F.posexplode(one).alias("nth", "x")).select("doc_id", "_row", "nth", "x.*").withColumn("told", told)
+    passed = F.sum(F.col("gap") + F.length("m")).over(Window.partitionBy("_row").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    c = F.substring("m", F.length("told") + 1, F.length("m"))
+    return rows.select("doc_id", "nth", (passed - F.length("m") + F.length("told")).alias("start"), c.alias("c"), F.right(F.concat("b", "told"), F.lit(BEFORE)).alias("b"), "a")
+
+
+def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, nth, start, n_chars, secret, score`` for each candidate that the forest takes for a secret.
 
-    ``nth`` (from 0) and ``start`` (characters from 0) say where. Texts that are null, empty or without candidates give no
-    rows; repeated rows and repeated secrets give a row each. Other columns are not read.
+    ``nth`` (from 0) counts candidates and ``start`` characters from 0. Candidates don't overlap: what begins first goes first. Texts that are null,
+    empty or without candidates give no rows; repeated rows and repeated secrets give a row each. Other columns are not read.
     """
-    named = candidates(docs).withColumns(features())
-    scored = named.withColumn("score", score(forest)).filter(F.col("score") >= threshold)
-    return scored.select("doc_id", "nth", "start", F.length("c").cast("long").alias("n_chars"), F.col("c").alias("secret"), "score")
+    found = scored(candidates(docs), forest).filter(F.col("score") >= threshold)
+    return found.select("doc_id", "nth", "start", F.length("c").cast("long").alias("n_chars"), F.col("c").alias("secret"), "score")
