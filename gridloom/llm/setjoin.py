@@ -22,6 +22,7 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,61 +33,48 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import SLICE, arrow_schema, release, remove, shared_dir, texts_of, written
 from gridloom.llm.components import components
+from gridloom.llm.wordhash import mix, word_hashes
 
 #: Cost of a row that is shuffled, of a pair that is verified, and elements that unrelated documents share on average.
 ROW, PAIR, SHARED = 1.0, 20.0, 0.05
 #: Bytes of text per word, to estimate how many sets a band has.
 WORD_BYTES = 6
-CACHED_WORDS = 600_000
-#: Sets that a task remembers to have given.
-REMEMBERED = 1_000_000
+#: Sets that a task remembers to have given (100 bytes each).
+REMEMBERED = 300_000
 #: Bits of the filter by which only sets with candidates are fetched; beyond its capacity it lets more through.
 FILTER_BITS = 1 << 23
 #: Signatures that a task gathers before it writes blocks, and bytes of text whose signatures make a part.
-GATHERED, PART_BYTES = 1_500_000, 16 << 20
+GATHERED, PART_BYTES = 600_000, 16 << 20
 #: Sets of one side of a tile.
-TILE = 512
-#: Classes of elements in a sketch.
-SKETCH = 1024
+TILE = 1024
+#: Classes of elements in the sketch of a set of up to FEW elements, and twice as many for each doubling of these.
+SKETCH, FEW = 1024, 1500
 #: Pairs up to this number (16 bytes each) are broadcast to their sets.
 SMALL = 1 << 18
 
-#: Odd multipliers and shifts of a public 64-bit mixing function.
-MULTIPLIER, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Fixed value: an odd multiplier of a public 64-bit mixing function.
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX_1
-    x = (x ^ (x >> np.uint64(27))) * MIX_2
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """Hashes of words (bytes), each made once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of the runs of ``n`` words; fewer words are one run. A-Z count as a-z; ASCII white space separates."""
+    hashes, counts = word_hashes(texts)
+    end = 0
+    for count in counts.tolist():
+        begin, end = end, end + count
+        size = min(n, count)
+        if not size:
+            yield np.zeros(0, np.uint64)
+            continue
+        run = np.full(count - size + 1, size, np.uint64)
+        for k in range(size):
+            run = run * MULTIPLIER + hashes[begin + k : end - size + 1 + k]
+        run = np.sort(mix(run))
+        yield run[np.r_[True, run[1:] != run[:-1]]]
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``n`` words; fewer words are one run. A-Z count as a-z; ASCII white space separates."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    size = min(n, len(h))
-    run = np.full(len(h) - size + 1, size, np.uint64)
-    for k in range(size):
-        run = run * MULTIPLIER + h[k : len(h) - size + 1 + k]
-    return np.unique(mix(run))
+    return next(shingle_sets([text], n))
 
 
 @dataclass(frozen=True)
@@ -243,8 +231,7 @@ def _signatures(docs: DataFrame, n: int, t: Threshold, bands: list[Band], parts:
 
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
-                for text in batch.column(0).slice(k, SLICE).to_pylist():
-                    tokens = shingle_set(text, n)
+                for tokens in shingle_sets(batch.column(0).slice(k, SLICE).to_pylist(), n):
                     if not len(tokens):
                         continue
                     sid, _ = identity(tokens, seed)
@@ -289,33 +276,42 @@ def _met(blocks: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(bucket[keep].view(np.int64)), pa.array(pivot[keep]), pa.array(sid[keep]), pa.array(flag[keep])], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pieces = None, []
-        for batch in batches:
-            for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if part != now and pieces:
-                    yield buckets(pieces)
-                    pieces = []
-                now = part
-                pieces.append(block)
-        if pieces:
-            yield buckets(pieces)
+        for rows in _grouped_rows(_rows(batches, ("part", "block"), 16), 1):
+            yield buckets([block for _, block in rows])
 
     return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, ddl)
 
 
+def width(size: np.ndarray) -> np.ndarray:
+    """Classes in the sketch of a set: about one for each element, else sketches of unlike large sets would look alike."""
+    return SKETCH << np.searchsorted(FEW << np.arange(40), size)
+
+
 def sketch(tokens: np.ndarray) -> bytes:
-    """The set's size, and for each of SKETCH classes of elements whether their number is odd.
+    """The set's size, and for each of some classes of elements whether their number is odd.
 
-    Two sets differ in at least as many elements as their sketches in bits.
+    Two sets differ in at least as many elements as their sketches in bits, and so they do when the wider one is folded.
     """
-    odd = np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    classes = int(width(np.array(len(tokens))))
+    odd = np.bincount((tokens & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
     return len(tokens).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (a row of words each) with as many classes as ``words`` have: the class of a hash is its last bits."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _may_link(t: Threshold, a: bytes, b: bytes) -> bool:
     m, n = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
-    apart = (int.from_bytes(a[8:], "little") ^ int.from_bytes(b[8:], "little")).bit_count()
-    return t.whole * min(m, n) >= t.part * max(m, n) and apart <= t.differ(m + n)
+    if t.whole * min(m, n) < t.part * max(m, n):
+        return False
+    x, y = np.frombuffer(a, "<u8", -1, 8), np.frombuffer(b, "<u8", -1, 8)
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= t.differ(m + n)
 
 
 def _do_link(t: Threshold, a: bytes, b: bytes) -> bool:
@@ -345,8 +341,7 @@ def _sets(docs: DataFrame, n: int, bits: np.ndarray, seed: int) -> DataFrame:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 sizes, sids, seconds, all_tokens, sketches = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    tokens = shingle_set(text, n)
+                for tokens in shingle_sets(part.column(1).to_pylist(), n):
                     sid, second = identity(tokens, seed)
                     low = sid & FILTER_BITS - 1
                     own = len(tokens) and sid not in given and int(bits[low >> 6]) >> (low & 63) & 1
@@ -401,67 +396,108 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold, root: str, name:
     return written(_passing(pairs, sets, "tokens", lambda a, b: _do_link(t, a, b), pairs.count() <= SMALL), f"{name}-links", root)
 
 
+def pack_members(rows: list[tuple[int, int, bytes]]) -> bytes:
+    """Set, group and sketch of the members of one block of a cell."""
+    return len(rows).to_bytes(8, "little") + np.array([r[:2] for r in rows], "<i8").T.tobytes() + b"".join(r[2] for r in rows)
+
+
+def unpack_members(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Sets, groups, sizes, and for each width of sketches the members and their sketches (a row of words each)."""
+    n = int.from_bytes(raw[:8], "little")
+    sid, group = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n)
+    words, size, at, places = np.frombuffer(raw, "<u8", -1, 8 + 16 * n), np.zeros(n, np.int64), 0, np.zeros(n, np.int64)
+    for k in range(n):
+        size[k], places[k] = int(words[at]), at + 1
+        at += 1 + int(width(size[k])) // 64
+    wide = width(size) // 64
+    return sid, group, size, [(own := np.flatnonzero(wide == w), words[places[own][:, None] + np.arange(w)]) for w in np.unique(wide)]
+
+
+def tile_pairs(r: bytes, c: bytes | None, t: Threshold, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of two blocks (or of one) that are of different groups and may link by their sketches; with ``nearest`` for each the nearest only."""
+    sid, group, size, sketches = unpack_members(r)
+    others, their_group, their_size, their_sketches = unpack_members(c) if c is not None else (sid, group, size, sketches)
+    far = 1 << 40
+    found, best, their_best = [np.zeros((2, 0), np.int64)], np.full((2, len(sid)), far), np.full((2, len(others)), far)
+    for (rows, left), (columns, right) in product(sketches, their_sketches):
+        words = min(left.shape[1], right.shape[1])
+        left, right = folded(left, words), folded(right, words)
+        step = max(1, (1 << 19) // right.size)
+        for at in range(0, len(rows), step):
+            x = rows[at : at + step]
+            apart = np.bitwise_count(left[at : at + step][:, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
+            m, n = size[x][:, None], their_size[columns][None, :]
+            may = (group[x][:, None] != their_group[columns][None, :]) & (apart <= (m + n) * (t.whole - t.part) // (t.whole + t.part)) & (t.whole * np.minimum(m, n) >= t.part * np.maximum(m, n))
+            if not nearest:
+                i, j = np.nonzero(may)
+                found.append(np.stack([sid[x[i]], others[columns[j]]]))
+                continue
+            apart = np.where(may, apart, far)
+            for ids, theirs, d, kept in ((x, columns, apart, best), (columns, x, apart.T, their_best)):
+                place = d.argmin(1)
+                now = d[np.arange(len(place)), place]
+                closer = now < kept[0, ids]
+                kept[:, ids[closer]] = now[closer], theirs[place[closer]]
+    if nearest:
+        i, j = np.flatnonzero(best[0] < far), np.flatnonzero(their_best[0] < far)
+        found = [np.stack([sid[i], others[best[1, i]]]), np.stack([sid[their_best[1, j]], others[j]])]
+    a, b = np.concatenate(found, 1)
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def _grouped_rows(rows: Iterable[tuple], key: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in their first ``key`` fields."""
+    held: list[tuple] = []
+    for row in rows:
+        if held and row[:key] != held[0][:key]:
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
+
+
+def _rows(batches: Iterable[pa.RecordBatch], names: tuple[str, ...], size: int = SLICE) -> Iterator[tuple]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, size):
+            part = batch.slice(k, size)
+            yield from zip(*(part.column(part.schema.names.index(c)).to_pylist() for c in names), strict=True)
+
+
 def _unresolved(met: DataFrame, labels: DataFrame, sets: DataFrame, t: Threshold, nearest: bool) -> DataFrame:
     """Pairs of sets of different groups that met one pivot and may link by their sketches: all, or for each set the nearest one.
 
-    Sets of one pivot are compared in tiles of block against block; what leaves a tile is only what sketches can't tell apart.
+    Of two such sets one at least isn't in the pivot's group. So the sets of one pivot that are apart from it are compared with
+    each other and with those in its group, in tiles of block against block. A block travels as one row for each tile; what leaves a
+    tile is only what sketches can't tell apart.
     """
-    named = _labelled(met, labels)
-    open_ = named.filter("ga != gb").select("a").distinct()
-    members = named.join(open_, "a", "left_semi").select("a", F.col("b").alias("sid"), F.col("gb").alias("g"))
-    sizes = members.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    tile = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("r"), F.greatest(F.col("own"), o).alias("c")))
-    tiles = members.join(sizes, "a").withColumn("own", own).withColumn("tile", F.explode(tile)).select("a", "sid", "g", "own", "tile.r", "tile.c")
+    named = _labelled(met, labels).withColumn("apart", F.col("ga") != F.col("gb"))
+    sizes = named.groupBy("a").agg(F.count_if("apart").alias("n"), F.count_if(~F.col("apart")).alias("m")).filter("n > 0 AND n + m > 1")
+    sizes = sizes.select("a", F.ceil(F.col("n") / TILE).cast("int").alias("n"), F.ceil(F.col("m") / TILE).cast("int").alias("m"))
+    members = named.join(sizes, "a").withColumn("own", F.when(F.col("apart"), F.pmod(F.xxhash64("b"), "n")).otherwise(F.col("n") + F.pmod(F.xxhash64("b"), F.greatest("m", F.lit(1)))).cast("int"))
     sketches = sets.filter("sketch is not null").groupBy("sid").agg(F.first("sketch").alias("sketch"))
-    dealt = tiles.join(sketches, "sid").repartition("a", "r", "c").sortWithinPartitions("a", "r", "c", "sid")
-    schema = arrow_schema("a long, b long")
+    held = members.select("a", "own", "n", "m", F.col("b").alias("sid"), F.col("gb").alias("g")).join(sketches, "sid")
+    block_ddl = "a long, own int, n int, m int, raw binary"
 
-    def compare(rows: list[tuple]) -> pa.RecordBatch:
-        r, c = rows[0][1:3]
-        sid, group, own = (np.array([x[k] for x in rows], np.int64) for k in (3, 4, 5))
-        words = np.frombuffer(b"".join(x[6] for x in rows), np.uint64).reshape(len(rows), -1)
-        size, bits = words[:, 0].astype(np.int64), words[:, 1:]
-        left = np.flatnonzero(own == r)
-        right = left if r == c else np.flatnonzero(own == c)
-        found: list[np.ndarray] = []
-        best: dict[int, tuple[int, int]] = {}
-        for at in range(0, len(left), 32):
-            x = left[at : at + 32]
-            apart = np.bitwise_count(bits[x][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
-            m, n = size[x][:, None], size[right][None, :]
-            may = (group[x][:, None] != group[right][None, :]) & (apart <= (m + n) * (t.whole - t.part) // (t.whole + t.part)) & (t.whole * np.minimum(m, n) >= t.part * np.maximum(m, n))
-            if r == c and not nearest:
-                may &= right[None, :] > x[:, None]
-            if not nearest:
-                i, j = np.nonzero(may)
-                found.append(np.stack([x[i], right[j]]))
-                continue
-            apart = np.where(may, apart, 1 << 40)
-            for near, ids, others in ((apart.argmin(1), x, right), (apart.argmin(0), right, x)):
-                far = apart[np.arange(len(ids)), near] if ids is x else apart[near, np.arange(len(ids))]
-                for k in np.flatnonzero(far < 1 << 40).tolist():
-                    best[int(ids[k])] = min(best.get(int(ids[k]), (1 << 40, 0)), (int(far[k]), int(others[near[k]])))
-        if nearest:
-            found = [np.array([[k for k in best], [v[1] for v in best.values()]], np.int64).reshape(2, -1)]
-        i, j = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(block_ddl)
+        for run in _grouped_rows(_rows(batches, ("a", "own", "n", "m", "sid", "g", "sketch")), 2):
+            row = (*run[0][:4], pack_members([r[4:] for r in run]))
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            columns = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("a", "r", "c", "sid", "g", "own", "sketch")]
-            for row in zip(*columns, strict=True):
-                if row[:3] != now:
-                    if len(held) > 1:
-                        yield compare(held)
-                    now, held = row[:3], []
-                held.append(row)
-        if len(held) > 1:
-            yield compare(held)
+    packed = held.repartition("a", "own").sortWithinPartitions("a", "own", "sid").mapInArrow(blocks, block_ddl)
+    last = F.when(F.col("own") < F.col("n"), F.col("n") + F.col("m")).otherwise(F.col("n")) - 1
+    tiled = packed.withColumn("o", F.explode(F.sequence(F.lit(0), last))).select("a", F.least("own", "o").alias("r"), F.greatest("own", "o").alias("c"), "own", "raw")
+    dealt = tiled.repartition("a", "r", "c").sortWithinPartitions("a", "r", "c", "own")
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _grouped_rows(_rows(batches, ("a", "r", "c", "own", "raw"), 16), 3):
+            (_, r, c, *_), raws = run[0], [x[4] for x in run]
+            if r == c or len(raws) > 1:  # a block that hashing left empty has no row
+                a, b = tile_pairs(raws[0], None if r == c else raws[1], t, nearest)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -507,7 +543,7 @@ def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: in
     if clash:
         remove(spark, root)
         return join(docs, n, part, whole, seed + 1)
-    links = _verified(first, sets, t, root, "first", False)
+    links = _verified(first, sets, t, root, "first", True)
     labels = components(links)
 
     # pairs of pivot and member whose groups are still apart

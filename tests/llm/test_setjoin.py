@@ -51,6 +51,30 @@ def test_similar_sets_share_a_signature(t, sets):
     assert tried > 100
 
 
+@pytest.mark.parametrize("nearest", [False, True])
+def test_tiles_against_all_pairs(nearest):
+    rng = np.random.default_rng(7)
+    t = Threshold(80, 100)
+    sets = []
+    for size in [1, 3, 10, 40, 300, 1400, 1499, 1501, 1600, 2990, 3100, 9000]:
+        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        sets += [base, np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))]
+        for share in (0.02, 0.1, 0.18):
+            sets.append(np.unique(np.r_[base[: len(base) - int(len(base) * share)], rng.integers(0, 1 << 63, int(size * 0.01)).astype(np.uint64)]))
+    rows = [(k, 5 if k % 7 == 0 else 100 + k, setjoin.sketch(x)) for k, x in enumerate(sets)]
+    linked = {(i, j) for i in range(len(sets)) for j in range(i) if rows[i][1] != rows[j][1] and t.holds(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    assert len(linked) > 30 and all(setjoin._may_link(t, rows[i][2], rows[j][2]) for i, j in linked)
+    halves = [setjoin.pack_members(rows[a::2]) for a in (0, 1)]
+    found = set()
+    for r, c in ((halves[0], None), (halves[1], None), (halves[0], halves[1])):
+        found |= {(max(p), min(p)) for p in zip(*(x.tolist() for x in setjoin.tile_pairs(r, c, t, nearest)), strict=True)}
+    if nearest:
+        assert {k for p in found for k in p} >= {k for p in linked for k in p} and len(found) <= 4 * len(sets)
+    else:
+        assert found >= linked and len(found) <= len(linked) + 3  # sketches of unlike sets differ, large ones too
+        assert found == {(i, j) for i in range(len(sets)) for j in range(i) if rows[i][1] != rows[j][1] and setjoin._may_link(t, rows[i][2], rows[j][2])}
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     sigs, sids = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64)), rng.integers(-5, 5, 500)
@@ -99,6 +123,44 @@ def test_join_against_brute_force(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == {(i, len(s), expected[i]) for i, s in sets.items()}
 
 
+def test_one_large_family_at_the_contract_of_the_query(spark, monkeypatch):
+    """Thousands of sets, most in one family whose members no pivot holds together, with small tiles and segments left out, against brute force."""
+    monkeypatch.setattr(setjoin, "TILE", 64)
+    monkeypatch.setattr(setjoin, "allocate", lambda low, high, sets, t: doubled(low, high, sets, t) if low % 3 else allocate(low, high, sets, t))
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(120)]
+    docs = []
+    for _ in range(1500):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        docs.append(" ".join(copy[rng.randint(0, 3) :]))
+    for _ in range(150):
+        other = [rng.choice(words) for _ in range(rng.choice([3, 12, 40, 90]))]
+        docs += [" ".join(other), " ".join(other[rng.randint(0, 2) :] + [rng.choice(words)])]
+    rng.shuffle(docs)
+    sets = {}
+    for i, text in enumerate(docs):
+        own = text.split()
+        sets[i] = {tuple(own[k : k + 4]) for k in range(len(own) - 3)} or {tuple(own)}
+    holding = {}
+    for i, x in sets.items():
+        for e in x:
+            holding.setdefault(e, []).append(i)
+    pairs = []
+    for i, x in sets.items():
+        shared = {}
+        for e in x:
+            for j in holding[e]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        pairs += [(j, i) for j, n in shared.items() if 100 * n >= 85 * (len(x) + len(sets[j]) - n)]
+    table = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string").repartition(5)
+    rows = setjoin.join(table, n=4, part=85, whole=100).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == {(i, len(sets[i]), c) for i, c in roots(pairs, sets).items()}
+
+
 def test_empty_table(spark):
     assert setjoin.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
