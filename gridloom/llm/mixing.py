@@ -7,8 +7,8 @@ blocks the one due first goes next. The fluid schedule keeps these windows and n
 does, too: at every moment each source is less than one block from its fluid amount, however long the run and
 however many the sources. Weights are the exact values of the given numbers, and all sums are whole numbers.
 
-The driver orders all blocks, in time and memory that grow with the number of blocks (documents / BLOCK) and not with
-their size. A document's slot is then looked up by its block's number, so documents are placed in parallel.
+The driver orders the blocks, about BLOCKS at most (and one more for each source) whatever the corpus: blocks of a larger corpus
+hold more documents. A document's slot is then looked up by its block's number, so documents are placed in parallel.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Documents per block; blocks of a source whose slots travel as one row; documents per bucket for ranks.
-BLOCK, PERIOD, BUCKET = 32, 1000, 4096
+#: Documents per block at least, and blocks at most, so that the driver's part is bounded; blocks of a source whose slots travel as one
+#: row; documents per bucket for ranks.
+BLOCK, BLOCKS, PERIOD, BUCKET = 32, 1 << 20, 1000, 4096
 #: Blocks whose slots (8 bytes each), and sources whose names, are broadcast; more are joined.
 SMALL = 1 << 20
 
@@ -137,7 +138,7 @@ def schedule(blocks: Sequence[int], weights: Sequence[float | Fraction], period:
     return [Span(k, at, len(part), 0, len(part), total, part) for k, own in enumerate(slots) for at in range(0, len(own), period) if (part := own[at : at + period])]
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, block: int = BLOCK, period: int = PERIOD, seed: int = 0, keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, block: int | None = None, period: int = PERIOD, seed: int = 0, keep: bool = False) -> DataFrame:
     """Place every document in the mixed order.
 
     Returns ``doc_id, source, block, slot, position``, or with ``keep`` all columns of ``docs`` and these last
@@ -146,18 +147,22 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None =
     ``weights``: target weight of each source, above 0; sources not named, and all if it is None, weigh the
     square root of their number of documents, scaled so that the named ones keep their ratio to the mean.
     They may be Fractions, too; any number of sources keeps within a block of its exact share. ``period``: slots per row of the table
-    in which they travel. Null is a source of its own. Rows that repeat are placed one after another. No row is dropped or repeated.
+    in which they travel. ``block``: documents per block, by default BLOCK or as many as keep the number of blocks near BLOCKS. Null is a source of its own. Rows that repeat are placed one after another. No row is dropped or repeated.
 
     Shuffles: one count per source and bucket of hashes, and one by bucket to rank rows; a source of any size is spread over its buckets.
     """
-    own = docs if keep else docs.select("doc_id", "source")
-    own = own.drop("block", "slot", "position")
-    named = own.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)))
+    own = (docs if keep else docs.select("doc_id", "source")).drop("block", "slot", "position")
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in own.columns):  # names of columns in between must not clash
+        mark += "_"
+    key, bucket, part, slots, n, hashed, rank, ahead, label = (mark + c for c in ("k", "bucket", "part", "slots", "n", "hash", "rank", "ahead", "source"))
+    named = own.withColumn(hashed, F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)))
     sizes = named.groupBy("source").agg(F.count("*").alias("n")).collect()
     spark = docs.sparkSession
     if not sizes:
-        return named.drop("_hash").withColumns({c: F.lit(0).cast("long") for c in ("block", "slot", "position")})
+        return own.withColumns({c: F.lit(0).cast("long") for c in ("block", "slot", "position")})
     sizes.sort(key=lambda r: (r.source is None, r.source or ""))
+    block = block or max(BLOCK, -(-sum(r.n for r in sizes) // BLOCKS))
     given = dict(weights or {})
     if any(w <= 0 for w in given.values()):
         raise ValueError("weights must be above 0")
@@ -165,21 +170,18 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None =
     scale = float(sum(given.values())) / len(given) / (sum(root) / len(root)) if given else 1.0
     weigh = [given.get(r.source, x * scale) for r, x in zip(sizes, root, strict=True)]
     spans = schedule([-(-r.n // block) for r in sizes], weigh, period)
-    by_source = spark.createDataFrame([(r.source, k, -(-r.n // BUCKET)) for k, r in enumerate(sizes)], "source string, _k int, _buckets long")
-    columns = {"_k": pa.array([s.source for s in spans], pa.int32()), "_part": pa.array([s.first // period for s in spans], pa.int64()), "_slots": pa.array([np.frombuffer(s.offsets, np.int64) for s in spans], pa.list_(pa.int64()))}
-    table = spark.createDataFrame(pa.table(columns))
-    small = by_source.withColumnRenamed("source", "_source")
+    small = spark.createDataFrame([(r.source, k, -(-r.n // BUCKET)) for k, r in enumerate(sizes)], f"{label} string, {key} int, {bucket}s long")
+    table = spark.createDataFrame(pa.table({key: pa.array([s.source for s in spans], pa.int32()), part: pa.array([s.first // period for s in spans], pa.int64()), slots: pa.array([np.frombuffer(s.offsets, np.int64) for s in spans], pa.list_(pa.int64()))}))
     if len(sizes) <= SMALL:
         small = F.broadcast(small)
-    if sum(s.blocks for s in spans) <= SMALL:
+    if sum(s.blocks for s in spans) <= 2 * SMALL:
         table = F.broadcast(table)
-    dealt = named.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.col("_buckets")))
+    spread = named.join(small, F.col("source").eqNullSafe(F.col(label))).drop(label).withColumn(bucket, F.pmod(F.shiftrightunsigned(hashed, 20), F.col(f"{bucket}s")))
     # how many rows of the source come in buckets before: a row per BUCKET documents, so not broadcast but joined
-    full = dealt.groupBy("_k", "_bucket").agg(F.count("*").alias("_n"))
-    before = full.withColumn("_before", F.sum("_n").over(Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("_k", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    place = Window.partitionBy("_k", "_bucket").orderBy("_hash", "doc_id")
-    ranked = dealt.withColumn("_place", F.row_number().over(place) - 1).join(before, ["_k", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_place")).withColumn("block", F.floor(F.col("_rank") / block))
-    spread = ranked.withColumn("_part", F.floor(F.col("block") / period)).join(table, ["_k", "_part"])
-    out = spread.withColumn("slot", F.get("_slots", (F.col("block") % period).cast("int"))).withColumn("position", F.col("slot") * block + F.col("_rank") % block)
+    full = spread.groupBy(key, bucket).agg(F.count("*").alias(n))
+    before = full.withColumn(ahead, F.sum(n).over(Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))).select(key, bucket, F.coalesce(ahead, F.lit(0)).alias(ahead))
+    place = Window.partitionBy(key, bucket).orderBy(hashed, "doc_id")
+    ranked = spread.withColumn(rank, F.row_number().over(place) - 1).join(before, [key, bucket]).withColumn(rank, F.col(ahead) + F.col(rank))
+    ranked = ranked.withColumn("block", F.floor(F.col(rank) / block)).withColumn(part, F.floor(F.col("block") / period)).join(table, [key, part])
+    out = ranked.withColumn("slot", F.get(slots, (F.col("block") % period).cast("int"))).withColumn("position", F.col("slot") * block + F.col(rank) % block)
     return out.select(*own.columns, "block", "slot", "position")

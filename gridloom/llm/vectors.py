@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import arrow_schema, shared_dir, written
+from gridloom.llm.common import arrow_schema, remove, shared_dir, written
 from gridloom.llm.components import components, forest
 
 #: Tables and signs per key: at a cosine of 0.98 a pair meets in a table with probability 0.936 ** 16 = 0.35, in any of 20 with 0.9998.
@@ -30,7 +30,7 @@ TABLES, SIGNS = 20, 16
 #: Vectors of one side of a tile.
 TILE = 1024
 #: Vectors per pack and per block of a pack, and queries per chunk.
-PACK, BLOCK, CHUNK = 4096, 64, 512
+PACK, BLOCK, CHUNK = 4096, 64, 4096
 
 
 def usable(vector: str) -> Column:
@@ -48,14 +48,15 @@ def _keys(vectors: list[np.ndarray], labels: list, tables: int, signs: int, seed
     sizes = np.array([len(v) for v in vectors])
     for size in np.unique(sizes):
         rows = np.flatnonzero(sizes == size)
-        sides = np.stack([vectors[r] for r in rows]) @ hyperplanes(size, tables, signs, seed).T >= 0
+        own = np.stack([vectors[r] for r in rows])
+        sides = (own / np.abs(own).max(1, initial=1e-300)[:, None]) @ hyperplanes(size, tables, signs, seed).T >= 0
         bits = np.packbits(sides.reshape(len(rows), tables, signs), axis=2)
         for k, r in enumerate(rows):
             out[r] = [xxhash.xxh3_64_intdigest(b"%d|%d|%d|" % (labels[r], size, t) + bits[k, t].tobytes()) for t in range(tables)]
     return out
 
 
-def near_duplicates(table: DataFrame, least: float = 0.98, tables: int = TABLES, signs: int = SIGNS, seed: int = 7) -> DataFrame:
+def near_duplicates(table: DataFrame, least: float = 0.98, tables: int = TABLES, signs: int = SIGNS, seed: int = 7, salt: int = 0) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row: links to other rows with equal, non-null label and a cosine
     (in double precision) of ``least`` or more.
 
@@ -72,7 +73,11 @@ def near_duplicates(table: DataFrame, least: float = 0.98, tables: int = TABLES,
     named = rows.withColumn("able", F.coalesce(able, F.lit(False))).withColumn("v", F.when(F.col("able"), F.transform("v", lambda x: x + F.lit(0.0))))
     named = written(named.withColumn("class", F.when(F.col("able"), F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.concat_ws(",", F.transform("v", lambda x: x.cast("string")))), 256))), "rows", root)
     classes = named.filter("able").groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label"))
-    classes = written(classes.select("class", F.xxhash64("class").alias("cid"), "id", "n", "v", "label"), "classes", root)
+    cid = F.xxhash64("class", F.lit(salt)) if salt else F.xxhash64("class")
+    classes = written(classes.select("class", cid.alias("cid"), "id", "n", "v", "label"), "classes", root)
+    if classes.groupBy("cid").count().filter("count > 1").limit(1).count():  # two classes with one number: number them anew
+        remove(spark, root)
+        return near_duplicates(table, least, tables, signs, seed, salt + 1)
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,6 +105,7 @@ def near_duplicates(table: DataFrame, least: float = 0.98, tables: int = TABLES,
             (key, r, c), out = now, []
             cid, own, n = (np.array([h[k] for h in held]) for k in (0, 1, 2))
             v, all_keys = np.stack([h[3] for h in held]), np.stack([h[4] for h in held])
+            v = v / np.abs(v).max(1)[:, None]  # else squares of very large or small components leave a double's range
             v = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
             turn = int(np.flatnonzero(all_keys[0] == key)[0])
             left, right = (np.arange(len(cid)), np.arange(len(cid))) if r == c else (np.flatnonzero(own == r), np.flatnonzero(own == c))
@@ -151,26 +157,38 @@ def near_duplicates(table: DataFrame, least: float = 0.98, tables: int = TABLES,
 
 # -- top-k ----------------------------------------------------------------------------------
 
-SHAPE = struct.Struct("<II")
-#: What stands for no candidate: below all scores (and its negative above them), and above all ids.
-LOWEST, NO_ID = -(1 << 62), (1 << 63) - 1
+SHAPE = struct.Struct("<III")
+#: What stands for no candidate: below all scores, and above all ids. Scores beyond a long's range count as its ends.
+LOWEST, HIGHEST, NO_ID = -(1 << 63), (1 << 63) - 1, (1 << 63) - 1
 
 
 def pack(ids: np.ndarray, values: np.ndarray) -> bytes:
-    return SHAPE.pack(*values.shape) + ids.astype("<i8").tobytes() + values.astype("<i8").tobytes()
+    """Ids and values, in as few bytes per value as the largest needs."""
+    most = max(int(values.max()), -int(values.min()) - 1) if values.size else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
+    return SHAPE.pack(*values.shape, width) + ids.astype("<i8").tobytes() + values.astype(f"<i{width}").tobytes()
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, d = SHAPE.unpack_from(raw)
+    n, d, width = SHAPE.unpack_from(raw)
     ids = np.frombuffer(raw, "<i8", n, SHAPE.size)
-    return ids, np.frombuffer(raw, "<i8", n * d, SHAPE.size + 8 * n).reshape(n, d)
+    return ids, np.frombuffer(raw, f"<i{width}", n * d, SHAPE.size + 8 * n).reshape(n, d).astype(np.int64)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of whole numbers, exactly: in doubles while no sum can leave their exact range."""
-    if not a.size or not b.size or float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
+    """a @ b.T of whole numbers, exactly: in doubles while no sum can leave their exact range, else in whole numbers of 64 bits, else of any size."""
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
+    if most < 2**53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    if most < 2**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.astype(object).T, LOWEST + 1, HIGHEST).astype(np.int64)
+
+
+def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of longs that stay at the ends of their range."""
+    out = a.astype(float) + b.astype(float)
+    return np.where(out >= 2.0**62, HIGHEST, np.where(out <= -(2.0**62), LOWEST + 1, a + b))
 
 
 class Pack:
@@ -189,7 +207,7 @@ class Pack:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """No vector of a block scores higher: each dimension's best product, summed."""
-        return products(np.maximum(queries, 0), self.most) + products(np.minimum(queries, 0), self.least)
+        return plus(products(np.maximum(queries, 0), self.most), products(np.minimum(queries, 0), self.least))
 
 
 class Best:
@@ -204,7 +222,7 @@ class Best:
         """ids, scores: candidates by row."""
         all_scores = np.concatenate([self.scores[rows], scores], 1)
         all_ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], 1)
-        order = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.scores.shape[1]]
+        order = np.lexsort((all_ids, ~all_scores), axis=1)[:, : self.scores.shape[1]]
         self.scores[rows] = np.take_along_axis(all_scores, order, 1)
         self.ids[rows] = np.take_along_axis(all_ids, order, 1)
 
@@ -237,8 +255,11 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, p
     product of components floor(scale * x), ties to the smaller id; fewer if there are no more.
 
     Vectors that are null or hold null or non-finite components take no part, neither do rows without vec_id. Shorter vectors count as padded with 0.
-    A query's own row is every row with its id. Repeated rows are candidates each, and one query. Components
-    must stay below 2**31 when scaled. Other columns are not read.
+    A query's own row is every row with its id. Repeated rows are candidates each, and one query: of rows that share an id but not the
+    vector the least vector asks. Scaled components and scores beyond a long's range count as its ends. Other columns are not read.
+
+    Every pack meets every chunk of queries, as a plain product would; bounds spare most of the products, and whole chunks of
+    ``chunk_rows`` queries share one journey of a pack, whose components travel in as few bytes as they need.
     """
     spark = table.sparkSession
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("long"))
@@ -271,7 +292,7 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, p
     n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
     spread = F.xxhash64("vec_id")
     docs = rows.select("vec_id", "v").repartition(max(1, -(-n // pack_rows)), spread).mapInArrow(packed(pack_rows), ddl)
-    chunks = rows.filter("q").select("vec_id", "v").dropDuplicates(["vec_id"]).repartition(max(1, -(-asked // chunk_rows)), spread).mapInArrow(packed(chunk_rows), ddl)
+    chunks = rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v")).repartition(max(1, -(-asked // chunk_rows)), spread).mapInArrow(packed(chunk_rows), ddl)
     numbered = F.monotonically_increasing_id()
     docs = written(docs.select(numbered.alias("pack"), "raw"), "packs", root)
     chunks = written(chunks.select(numbered.alias("chunk"), "raw"), "chunks", root)

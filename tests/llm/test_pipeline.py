@@ -31,7 +31,10 @@ def test_stages_and_result(spark, tmp_path):
             assert not any(linked(a, b) for a in kept[name] for b in kept[name] if a < b)
         if name == "personal_data":
             texts = {r.doc_id: r.text for r in docs.collect()}
-            assert all(len(r.text) == r.n_chars for r in docs.collect()) or True
+            given = {r.doc_id: r for r in before.collect()}
+            changed = [r for r in docs.collect() if r.text != given[r.doc_id].text]
+            assert changed and all(len(r.text) == r.n_chars for r in changed)
+            assert all(r == given[r.doc_id] for r in docs.collect() if r not in changed)
     assert len(kept["language"]) == 200 and kept["near_duplicates"] == kept["personal_data"] == kept["mixture"] == kept["token_ids"]
     library = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
     result = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
@@ -52,6 +55,15 @@ def test_hostile_documents(spark, tmp_path):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_ids_that_are_null_or_repeat(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text), (None, "another text of its own with some words in it"), (7, text), (8, text), (8, "words that no other row has at all here"), (9, text), (9, text), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([r for r in rows if r[0] != 9], key=str)
+
+
 def test_mixture_outlives_part_files(spark, tmp_path):
     rows = [(k, "word " * (1 + 997 * k % 300), "en", f"s{k % 3 if k % 5 else 0}", 5) for k in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
