@@ -27,10 +27,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word runs reach a Jaccard similarity of 0.8: that with the least id."""
+    """One document of each group whose sets of five-word runs reach a Jaccard similarity of 0.8: that with the least id.
+
+    An id stands for one document: its rows go together, where each of them has a copy under a lesser id. Rows without id can't be
+    told from each other and stay.
+    """
     groups = setjoin.join(docs, n=5, part=80, whole=100)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = groups.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("copy")).filter("copy").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
