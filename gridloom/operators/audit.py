@@ -133,3 +133,32 @@ def corner_checks(boxes: DataFrame, width: str = "width", height: str = "height"
     """Two looser checks, as flags: corners in the wrong order, and corners outside the image."""
     x0, y0, x1, y1 = geometry.box()
     return boxes.withColumns({"reversed": (x0 >= x1) | (y0 >= y1), "outside": (x0 < 0) | (y0 < 0) | (x1 > F.col(width)) | (y1 > F.col(height))})
+
+
+def inventory(files: DataFrame, path: str = "path") -> DataFrame:
+    """``kind, n`` of all files: JPEG images, text files and others, and within each whether the stem is a number."""
+    suffix = text.suffix(F.col(path))
+    kind = F.when(suffix.isin(".jpg", ".jpeg"), "jpg").when(suffix == ".txt", "txt").otherwise("other")
+    stem = F.when(text.stem(F.col(path)).rlike("^[0-9]+$"), "numeric").otherwise("named")
+    return files.groupBy(kind.alias("kind"), stem.alias("stem")).agg(F.count("*").alias("n"))
+
+
+def first_files(files: DataFrame, n: int = 40, path: str = "path") -> DataFrame:
+    """The first paths, component by component."""
+    return files.orderBy(text.components(F.col(path))).limit(n).select(path)
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int = 6, seed: int = 42) -> DataFrame:
+    """``n`` rows by a seeded hash of their key: the same ones however the rows are dealt."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+
+
+def summary(report: dict) -> str:
+    """A report's totals, classes and sizes as text for a console."""
+    # What a report is known by, and how that is said.
+    said = {"total_images": "Total images", "positive_images": "Positive images", "background_images": "Background images", "readable_images": "Readable images", "total_objects": "Total objects"}
+    lines = [f"{words}: {report[key]}" for key, words in said.items()]
+    lines += [f"Issues: {len(report['issues'])}", f"Duplicate groups: {len(report['duplicate_groups'])}"]
+    for key, words in (("class_counts", "Class counts"), ("size_counts", "Object sizes")):
+        lines += [f"{words}:", *(f"  {name}: {n}" for name, n in report[key].items())]
+    return "\n".join(lines)

@@ -1,7 +1,8 @@
 """Precision, recall and average precision of detections, from the tables alone.
 
-Within a class detections go by falling confidence; each takes the free ground truth of its class and image that it
-overlaps most, if that is enough. Average precision is the area under the precision envelope. These formulas are ours.
+Within a class each detection names the one ground truth of its class and image that it overlaps most, if that is enough, and
+of the detections that name the same one the most confident is a hit; the others are misses, even where another ground truth is free.
+Average precision is the area under the precision envelope. These formulas are ours.
 """
 
 from __future__ import annotations
@@ -54,6 +55,26 @@ def mean_average_precision(detections: DataFrame, ground_truth: DataFrame, thres
     return {"mAP50": means[0], "mAP50_95": sum(means) / len(means)}
 
 
+def per_class(detections: DataFrame, ground_truth: DataFrame, names: dict[int, str], thresholds: tuple[float, ...] = tuple(0.5 + 0.05 * k for k in range(10))) -> DataFrame:
+    """``class_id, class_name, instances, precision, recall, AP50, AP50_95`` of the classes that have ground truth or detections; ``instances`` is null without ground truth.
+
+    Precision and recall are those at the first threshold with all detections. One plan over all thresholds.
+    """
+    counts = ground_truth.groupBy("class_id").agg(F.count("*").cast("int").alias("instances"))
+    scored = [hits(detections, ground_truth, t) for t in thresholds]
+    first = scored[0].groupBy("class_id").agg(F.sum("hit").alias("tp"), F.count("*").alias("n"))
+    aps = None
+    for k, own in enumerate(scored):
+        part = average_precision(curve(own, ground_truth)).withColumn("k", F.lit(k))
+        aps = part if aps is None else aps.unionByName(part)
+    aps = aps.groupBy("class_id").agg(F.sum(F.when(F.col("k") == 0, F.col("ap"))).alias("a"), (F.sum("ap") / len(thresholds)).alias("b"))
+    classes = counts.select("class_id").unionByName(first.select("class_id")).distinct()
+    rows = classes.join(counts, "class_id", "left").join(first, "class_id", "left").join(aps, "class_id", "left")
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("class_id")) if names else F.lit(None).cast("string")
+    ratio = lambda below: F.coalesce(F.coalesce("tp", F.lit(0)) / F.nullif(F.coalesce(below, F.lit(0)), F.lit(0)), F.lit(0.0))
+    return rows.select("class_id", name.alias("class_name"), "instances", ratio("n").alias("precision"), ratio("instances").alias("recall"), F.coalesce("a", F.lit(0.0)).alias("AP50"), F.coalesce("b", F.lit(0.0)).alias("AP50_95"))
+
+
 def precision_recall(compared: DataFrame) -> DataFrame:
     """Overall precision and recall from the statuses of a comparison."""
     n = {s: F.count_if(F.col("status") == s) for s in ("true_positive", "class_error", "false_positive", "false_negative")}

@@ -55,11 +55,17 @@ def matches(detections: DataFrame, ground_truth: DataFrame, threshold: float = 0
 
 
 def false_positives(detections: DataFrame, matched: DataFrame) -> DataFrame:
-    return detections.join(matched.select("detection_id"), "detection_id", "left_anti").select("image_id", "detection_id")
+    return left_over(detections, matched, "detection_id").select("image_id", "detection_id")
 
 
 def false_negatives(ground_truth: DataFrame, matched: DataFrame) -> DataFrame:
-    return ground_truth.join(matched.select("ground_truth_id"), "ground_truth_id", "left_anti").select("image_id", "ground_truth_id")
+    return left_over(ground_truth, matched, "ground_truth_id").select("image_id", "ground_truth_id")
+
+
+def left_over(side: DataFrame, matched: DataFrame, key: str) -> DataFrame:
+    """Rows of a side that no match has. Ids need be unique within an image only; the join's keys begin with the image, by which matches are dealt already."""
+    taken = matched.select(F.col("image_id").alias("_image"), F.col(key).alias("_id"))
+    return side.join(taken, (F.col("image_id") == F.col("_image")) & (F.col(key).cast("string") == F.col("_id")), "left_anti")
 
 
 def comparisons(detections: DataFrame, ground_truth: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -77,7 +83,7 @@ def comparisons(detections: DataFrame, ground_truth: DataFrame, threshold: float
         place = own(df, key)
         n = place.cast("long") if "ordinal" in df.columns else F.lit(0).cast("long")
         s = blank if "ordinal" in df.columns else place.cast("string")
-        left = df.join(matched.select(key), key, "left_anti")
+        left = left_over(df, matched, key)
         ids = [F.col(key).cast("string").alias(key) if k == key else blank.alias(k) for k in ("detection_id", "ground_truth_id")]
         return left.select("image_id", F.lit(phase).alias("phase"), F.struct(n.alias("n"), s.alias("s")).alias("place"), *ids, none.alias("iou"), F.lit(status).alias("status"))
 

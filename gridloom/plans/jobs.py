@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import shutil
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.jobs import runs
+from gridloom.functions import text
+from gridloom.jobs import config, runs
 from gridloom.operators import audit, constraints, evaluation, matching, prediction, splits
 from gridloom.sinks import files as sinks
 from gridloom.sources import files as sources
@@ -49,7 +53,60 @@ def check_expected(report: dict, expected: dict) -> None:
             raise constraints.ConstraintError(f"expected {want} for {key}, found {report[key]}")
 
 
-def prepare(spark: SparkSession, root: str, manifest: str, export: str, names: tuple[str, ...], config: splits.SplitConfig | None = None, report: str | None = None, expected: dict | None = None, force: bool = False) -> dict:
+def reusable_report(spark: SparkSession, root: str, path: str | Path, reuse: bool) -> dict:
+    """The report at ``path`` if it may be reused and is there, else a new one, written there."""
+    at = Path(path)
+    if reuse and at.is_file():
+        return json.loads(at.read_text(encoding="utf-8"))
+    profile = audit_report(spark, root)
+    runs.write_json(profile, at)
+    return profile
+
+
+def clear_export(path: str | Path) -> None:
+    """Delete an earlier export; the root of a store, and a folder that this process or its user lives in, are refused."""
+    at = Path(path).resolve()
+    if at == Path(at.anchor) or at in (Path.home().resolve(), Path.cwd().resolve(), *Path.home().resolve().parents, *Path.cwd().resolve().parents):
+        raise ValueError(f"not a folder to delete: {at}")
+    shutil.rmtree(at)
+
+
+def prepare_by_settings(spark: SparkSession, settings: dict, root: str | Path, force: bool = False) -> dict:
+    """Unpack if need be, audit, check, split, export and validate as the settings say; what is there is reused unless forced."""
+    place = lambda value: str(config.resolved(value, root))
+    data, split, export = settings["data"], settings["split"], settings["export"]
+    raw = place(data["raw_root"])
+    try:
+        sources.discover_items(sources.listing(spark, raw))
+    except Exception as error:
+        if not isinstance(error, FileNotFoundError) and "PATH_NOT_FOUND" not in str(error):
+            raise
+        runs.extract(place(data["archive_path"]), raw)
+    check = data["audit"]
+    if check["enabled"]:
+        profile = reusable_report(spark, raw, place(check["report_path"]), bool(check.get("reuse_report")) and not force)
+        check_expected(profile, check)
+        if check["fail_on_issues"] and profile["issues"]:
+            raise constraints.ConstraintError(f"the audit found {len(profile['issues'])} issues")
+    out, expected = place(export["output_root"]), {k: export.get(k) for k in ("expected_images", "expected_objects", "expected_backgrounds")}
+    if Path(out).exists() and any(Path(out).iterdir()):
+        if not force:
+            return sinks.validate_label_tree(sources.label_tree(sources.listing(spark, out)), sources.contents(spark, f"{out}/labels", "*.txt"), **expected)
+        clear_export(out)
+    shares = splits.SplitConfig(split["train"], split["val"], split["test"], settings["experiment"]["seed"])
+    prepare(spark, raw, place(split["manifest_path"]), out, tuple(settings["classes"]), shares, force=force or not split.get("reuse_manifest", True))
+    return sinks.validate_label_tree(sources.label_tree(sources.listing(spark, out)), sources.contents(spark, f"{out}/labels", "*.txt"), **expected)
+
+
+def dataset_yaml(settings: dict, root: str | Path) -> Path:
+    """The description of the prepared dataset, which must be there."""
+    at = config.resolved(settings["export"]["output_root"], root) / "dataset.yaml"
+    if not at.is_file():
+        raise FileNotFoundError(f"the dataset isn't prepared: {at}")
+    return at
+
+
+def prepare(spark: SparkSession, root: str, manifest: str, export: str, names: tuple[str, ...], shares: splits.SplitConfig | None = None, report: str | None = None, expected: dict | None = None, force: bool = False) -> dict:
     """Audit, split, write the manifest, export from the manifest's order, validate. Existing manifests are reused unless forced."""
     profile = audit_report(spark, root)
     if report:
@@ -63,8 +120,8 @@ def prepare(spark: SparkSession, root: str, manifest: str, export: str, names: t
         violations = splits.target_violations(items, boxes)
         if first := violations.first():
             raise constraints.ConstraintError(f"{first.image_path}: {first.message}")
-        split = splits.stratified(splits.multilabel_targets(items, boxes), config).join(items, "image_path")
-        sinks.save_manifest(split, manifest, root, config, overwrite=force)
+        split = splits.stratified(splits.multilabel_targets(items, boxes), shares).join(items, "image_path")
+        sinks.save_manifest(split, manifest, root, shares, overwrite=force)
     split = sources.read_manifest(spark, manifest, root, files)
     boxes = sources.annotation_boxes(sources.parsed_annotations(sources.annotation_lines(sources.contents(spark, root, "*.txt"))))
     sinks.export_labels(split, boxes, sources.image_headers(spark, root), export, names)
@@ -73,8 +130,13 @@ def prepare(spark: SparkSession, root: str, manifest: str, export: str, names: t
 
 def export_predictions(spark: SparkSession, source: str, dataset_id: str, load: Callable[[], prediction.Detector], names: dict[int, str], out: str, split: str = "external", manifest: DataFrame | None = None, truth: str | None = None, truth_format: str = "yolo", threshold: float = 0.5, allow_test: bool = False) -> dict:
     """Images through the detector, joined to ground truth, matched, validated and written. Test images stop it before the model runs."""
-    files = sources.listing(spark, source)
-    images = sources.discover_images(files)
+    images = sources.source_images(spark, source)
+    if truth is not None:
+        if truth_format not in config.TRUTH_FORMATS:
+            raise config.ConfigError(f"ground truth is {' or '.join(config.TRUTH_FORMATS)}, not {truth_format}")
+        one = sources.is_file(spark, truth)
+        if one and not sources.is_file(spark, source):
+            raise config.ConfigError("one file of ground truth needs one image as its source")
     known = manifest if manifest is not None else spark.createDataFrame([], "path string, split string")
     constraints.guard_held_out(images, known, "path", split, allow_test)
     raw = prediction.predict(images, load).cache()
@@ -83,7 +145,10 @@ def export_predictions(spark: SparkSession, source: str, dataset_id: str, load:
     if truth is None:
         table = prediction.image_table(named, dataset_id, F.col("split"), F.lit(None))
         return sinks.write_inference_tables(out, table, found)
-    placed = sources.label_of(named, sources.listing(spark, truth, "*.txt"), source, truth, truth_format == "nwpu")
+    if one:
+        placed = named.withColumn("annotation_path", F.lit(truth))
+    else:
+        placed = sources.label_of(named, sources.listing(spark, truth, "*.txt"), source, truth, truth_format == "nwpu")
     sized = placed.filter("annotation_path is not null").select("image_id", F.col("annotation_path").alias("path"), F.col("width").alias("_w"), F.col("height").alias("_h"))
     lines = sources.annotation_lines(sources.contents(spark, truth, "*.txt")).join(sized, "path")
     if truth_format == "yolo":
@@ -102,3 +167,62 @@ def evaluate(detections: DataFrame, ground_truth: DataFrame, split: str, confirm
     if split == "test" and not confirm_test:
         raise constraints.ConstraintError("evaluating the test split needs confirm_test")
     return evaluation.mean_average_precision(detections, ground_truth)
+
+
+def evaluate_by_settings(spark: SparkSession, settings: dict, root: str | Path, load: Callable[[], prediction.Detector], names: dict[int, str], confirm_test: bool = False) -> Path:
+    """A detector over one split of the prepared dataset: ``overall_metrics.json``, ``per_class_metrics.csv``, the settings and what ran, in a new folder."""
+    split = settings["evaluation"]["split"]
+    if split == "test" and not confirm_test:
+        raise constraints.ConstraintError("evaluating the test split needs confirm_test")
+    export = str(dataset_yaml(settings, root).parent)
+    images = sources.discover_images(sources.label_tree(sources.listing(spark, export)).filter((F.col("split") == split) & (F.col("kind") == "images")))
+    raw = prediction.predict(images, load).withColumn("image_id", text.stem(F.col("path"))).cache()
+    sized = raw.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    lines = sources.annotation_lines(sources.contents(spark, f"{export}/labels/{split}", "*.txt")).withColumn("image_id", text.stem(F.col("path"))).join(sized, "image_id")
+    boxes = sources.label_boxes(sources.parsed_labels(lines), F.col("_w"), F.col("_h")).withColumn("image_id", text.stem(F.col("path")))
+    rows = evaluation.per_class(prediction.detection_table(raw, names), prediction.ground_truth_table(boxes, names), names).orderBy("class_id").collect()  # a row per class
+    raw.unpersist()
+    real = [r for r in rows if r.instances]
+    mean = lambda key: sum(r[key] for r in real) / len(real) if real else 0.0
+    overall = {"split": split, "checkpoint": settings["detector"].get("checkpoint"), "precision": mean("precision"), "recall": mean("recall"), "mAP50": mean("AP50"), "mAP50_95": mean("AP50_95")}
+    out = new_folder(config.resolved(settings["outputs"]["evaluation_root"], root), f"{settings['experiment']['name']}_{split}")
+    runs.write_json(overall, out / "overall_metrics.json")
+    with (out / "per_class_metrics.csv").open("w", encoding="utf-8", newline="") as file:
+        table = csv.DictWriter(file, ["class_id", "class_name", "instances", "precision", "recall", "AP50", "AP50_95"])
+        table.writeheader()
+        table.writerows(r.asDict() for r in rows)
+    config.save(settings, out / "resolved_config.yaml")
+    runs.write_json(runs.runtime_metadata(root) | {"stage": "evaluation"} | overall, out / "evaluation_metadata.json")
+    return out
+
+
+def new_folder(root: Path, name: str) -> Path:
+    """``root/name``, or the first of ``name2``, ``name3``, ... that isn't there."""
+    k, at = 1, root / name
+    while at.exists():
+        k, at = k + 1, root / f"{name}{k + 1}"
+    at.mkdir(parents=True)
+    return at
+
+
+def predict_free(spark: SparkSession, source: str, load: Callable[[], prediction.Detector], names: dict[int, str], out: str | Path) -> Path:
+    """Detections over an image, a folder or a glob, without ground truth or splits: a Parquet table and what ran."""
+    folder = Path(out)
+    raw = prediction.with_image_id(prediction.predict(sources.source_images(spark, source), load), "prediction")
+    prediction.detection_table(raw, names).write.parquet(f"{folder}/detections")
+    runs.write_json(runs.runtime_metadata(Path.cwd()) | {"stage": "prediction", "source": source}, folder / "prediction_metadata.json")
+    return folder
+
+
+def export_by_settings(spark: SparkSession, settings: dict, root: str | Path, load: Callable[[], prediction.Detector], names: dict[int, str]) -> dict:
+    """A prediction run's tables as the settings say, with the settings beside them."""
+    source, truth = settings["source"], settings.get("ground_truth") or {}
+    place = lambda value: value and str(config.resolved(value, root))
+    manifest = None
+    if source.get("manifest"):
+        manifest = sources.read_manifest(spark, place(source["manifest"]), place(source["dataset_root"])).select(F.col("image_path").alias("path"), "split")
+    out = new_folder(Path(place(settings["outputs"]["root"])), settings["run"]["name"])
+    done = export_predictions(spark, place(source["path"]), source["dataset_id"], load, names, f"{out}/tables", source.get("split") or "external", manifest, place(truth.get("path")), truth.get("format", "yolo"), truth.get("iou_threshold", 0.5), source.get("allow_test", False))
+    config.save(settings, out / "resolved_config.yaml")
+    runs.write_json(runs.runtime_metadata(root) | {"stage": "inference"} | done, out / "run_metadata.json")
+    return done | {"folder": str(out)}

@@ -5,6 +5,7 @@ Ids that count places in a list (``ordinal``, ``box_number``) are columns, never
 
 from __future__ import annotations
 
+# Columns of the tables.
 ITEMS = "ordinal long, image_path string, annotation_path string, is_background boolean"
 BOXES = "image_path string, box_number int, xmin long, ymin long, xmax long, ymax long, class_id long"
 MANIFEST = "image_id string, image_path string, annotation_path string, is_background boolean, split string, seed int, train_ratio double, val_ratio double, test_ratio double"

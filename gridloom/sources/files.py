@@ -96,6 +96,33 @@ def discover_images(files: DataFrame) -> DataFrame:
     return with_ordinal(images, [text.components(F.col("path"))])
 
 
+def source_images(spark: SparkSession, source: str) -> DataFrame:
+    """``ordinal, path`` of a source: one image, all images below a folder, or those that a glob names, in path order.
+
+    A source that isn't there, holds no image or is a file of another kind raises.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.globStatus(at)
+    if not found:
+        raise FileNotFoundError(f"no source at {source}")
+    if len(found) == 1 and found[0].isFile():
+        path = re.sub("^file:/+", "/", unquote(found[0].getPath().toString()))
+        if not path.lower().endswith(IMAGE_SUFFIXES):
+            raise ValueError(f"not a supported image: {path}")
+        return spark.createDataFrame([(0, path)], "ordinal long, path string")
+    return discover_images(listing(spark, source))
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store is a file; one that doesn't exist raises."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        raise FileNotFoundError(f"nothing at {path}")
+    return store.getFileStatus(at).isFile()
+
+
 def image_headers(spark: SparkSession, root: str) -> DataFrame:
     """``path, width, height, mode, sha256``; width and height are -1 where an image can't be decoded, and mode is the decoder's name of the channels."""
     decoded = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)

@@ -7,7 +7,7 @@ import pytest
 
 from gridloom.jobs import config, runs
 
-GOOD = {"run": {"name": "r"}, "detector": {"checkpoint": "c"}, "source": {"path": "p", "dataset_id": "d"}, "inference": {"confidence": 0.1, "iou": 0.7}, "outputs": {"root": "o"}}
+GOOD = {"run": {"name": "r"}, "detector": {"checkpoint": "c", "backend": "ultralytics"}, "source": {"path": "p", "dataset_id": "d"}, "inference": {"confidence": 0.1, "iou": 0.7}, "outputs": {"root": "o"}}
 
 
 def test_environment_names(tmp_path, monkeypatch):
@@ -29,9 +29,23 @@ def test_prediction_rules(change, message):
 
 
 def test_training_rules():
-    good = {"data": {}, "export": {"format": "yolo"}, "classes": ["x"] * 10, "detector": {}, "evaluation": {"split": "val"}, "split": {"train": 0.7, "val": 0.15, "test": 0.15, "strategy": "multilabel"}}
+    good = {"experiment": {}, "model": {}, "training": {}, "prediction": {}, "outputs": {}, "data": {"adapter": "nwpu"}, "export": {"format": "yolo"}, "classes": ["x"] * 10, "detector": {"backend": "ultralytics"}, "evaluation": {"split": "val"}, "split": {"train": 0.7, "val": 0.15, "test": 0.15, "strategy": "multilabel"}}
     assert config.detection_rules(good) == []
-    assert config.detection_rules(good | {"split": {"train": 0.7, "val": 0.3, "test": 0.15, "strategy": "multilabel"}}) == ["split ratios must sum to 1"]
+    assert config.detection_rules(good | {"split": {"train": 0.7, "val": 0.3, "test": 0.15, "strategy": "multilabel"}}) == ["split: the ratios [0.7, 0.3, 0.15] sum to 1"]
+    assert config.detection_rules({k: v for k, v in good.items() if k != "model"}) == ["section model is needed"]
+    assert [b.split(":")[0] for b in config.detection_rules(good | {"detector": {"backend": "x"}, "data": {}})] == ["detector.backend", "data.adapter"]
+
+
+def test_settings_of_a_dataset(tmp_path):
+    folder = tmp_path / "configs" / "datasets"
+    folder.mkdir(parents=True)
+    (folder / "a.yaml").write_text("dataset: {name: a}\nclasses: [x]\nextensions: [.jpg]\n")
+    (folder / "b.yaml").write_text("dataset: {name: b}\n")
+    assert config.load_dataset("a", tmp_path)["classes"] == ["x"]
+    with pytest.raises(config.ConfigError, match="classes"):
+        config.load_dataset("b", tmp_path)
+    with pytest.raises(FileNotFoundError):
+        config.load_dataset("c", tmp_path)
 
 
 def test_job_states(tmp_path, monkeypatch, capsys):
