@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from itertools import islice
 
 import numpy as np
 import regex
@@ -25,8 +26,8 @@ from gridloom.llm.common import arrow_schema, by_slices, kept, texts_of
 
 #: Above this many symbols a word has its own tree.
 SIDE_BY_SIDE = 32
-#: Entries that a cache may hold before it starts anew.
-CACHED_CHUNKS, CACHED_WORDS = 500_000, 400_000
+#: Entries that a cache may hold (some 400 bytes each) before it keeps only the first half: what came first is what comes often.
+CACHED_CHUNKS, CACHED_WORDS = 300_000, 150_000
 NEVER = np.int64(1) << 62
 
 #: Fixed values of the public file: its special tokens, the white space of its normaliser, its word pattern.
@@ -225,7 +226,7 @@ class TextCodec:
     def _learn(self, chunks: set[str]) -> None:
         words, known, tokens = self.words, self.known, self.bpe.tokens
         if len(words) > CACHED_WORDS:
-            words.clear()
+            words = self.words = dict(islice(words.items(), CACHED_WORDS // 2))
         split = self._split
         parts = [(c, split(c)) for c in chunks if c not in self.bpe.special]
         new = [*{w for _, ws in parts for w in ws if w not in words}]
@@ -245,8 +246,8 @@ class TextCodec:
         known = self.known
         if missing := set().union(*cut) - known.keys():
             if len(known) + len(missing) > CACHED_CHUNKS:
-                missing = set().union(*cut)
-                known.clear()
+                known = self.known = dict(islice(known.items(), CACHED_CHUNKS // 2))
+                missing = set().union(*cut) - known.keys()
             self._learn(missing)
         ids, back = [], []
         for chunks in cut:

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import with_text
+from gridloom.llm.common import kept, with_text
 
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -315,6 +315,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(key)
 
     def new(texts: list) -> tuple[list, list]:
+        kept("pseudonyms", dict)  # what other operators kept in this worker goes
         found = [replaced(t, shared.value) for t in texts]
         return [t for t, _ in found], [n for _, n in found]
 
