@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SLICE, arrow_schema, release, remove, shared_dir, texts_of, written
+from gridloom.llm.common import SLICE, arrow_schema, kept, release, remove, shared_dir, texts_of, written
 from gridloom.llm.components import components
 from gridloom.llm.wordhash import mix, word_hashes
 
@@ -215,6 +215,7 @@ def _signatures(docs: DataFrame, n: int, t: Threshold, bands: list[Band], parts:
     schema = arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("sets", dict)  # what other operators kept in this worker goes
         given: set[int] = set()
         sigs, sids, held = [], [], 0
 
@@ -336,6 +337,7 @@ def _sets(docs: DataFrame, n: int, bits: np.ndarray, seed: int) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("sets", dict)
         bits, given = shared.value, set()
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
@@ -543,7 +545,7 @@ def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: in
     if clash:
         remove(spark, root)
         return join(docs, n, part, whole, seed + 1)
-    links = _verified(first, sets, t, root, "first", True)
+    links = _verified(first, sets, t, root, "first", False)
     labels = components(links)
 
     # pairs of pivot and member whose groups are still apart
@@ -559,9 +561,10 @@ def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: in
         release(spark)
         name = "nearest" if nearest else "rest"
         rest = written(_unresolved(counted.select("a", "b"), labels, sets, t, nearest), name, root)
-        if rest.limit(1).count():
-            links = links.unionByName(_verified(rest, sets, t, root, name, False))
-            labels = components(links)
+        if not rest.limit(1).count():  # a set that may link to any has a nearest one, so there is nothing left, either
+            break
+        links = links.unionByName(_verified(rest, sets, t, root, name, False))
+        labels = components(links)
 
     members = sets.select("doc_id", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("g", F.coalesce("component", "sid")).select("doc_id", "n", "g")
     least = members.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("component_id"))
