@@ -47,6 +47,13 @@ def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=SCHEMA)
 
 
+def _settled(table: DataFrame) -> bool:
+    """Whether each node hangs on one node that hangs on none. Counts are pre-aggregated, so hot nodes are harmless."""
+    ends = F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")), F.struct(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = table.select(F.explode(ends).alias("e")).select("e.*").groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not nodes.filter("hangs > 1 OR (hangs = 1 AND holds = 1)").limit(1).count()
+
+
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """``node, component`` (the least id reachable) for every node of ``links`` (``a``, ``b``: long) that isn't the least itself.
 
@@ -56,12 +63,9 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     root = shared_dir(spark)
     start = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     table = written(start.mapInArrow(_forests, "u long, v long").distinct(), "0", root)
-    seen = None
     for turn in range(1, limit):
-        mark = table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        if _settled(table):
             return table.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = mark
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
         ends = both.withColumn("m", F.least("u", "v")).groupBy("u").agg(F.min("m").alias("m"))
         large = both.filter("v > u").join(ends, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -71,3 +75,22 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         if turn > 1:
             remove(spark, f"{root}/{turn - 2}")
     raise RuntimeError(f"components did not settle in {limit} rounds")
+
+
+def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` with the group of each side, ``ga`` and ``gb``; a node without links is its own group."""
+    for side in ("a", "b"):
+        named = labels.select(F.col("node").alias(side), F.col("component").alias(f"g{side}"))
+        pairs = pairs.join(named, side, "left").withColumn(f"g{side}", F.coalesce(f"g{side}", side))
+    return pairs
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """What ``components`` gives for the links behind ``labels`` and for ``links`` together.
+
+    Rounds see groups and the links between them only; a group's id is its least node, so the least group is the least node.
+    """
+    groups = components(labelled(links, labels).select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    moved = groups.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    renamed = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(renamed.unionByName(groups), "extended", shared_dir(links.sparkSession))

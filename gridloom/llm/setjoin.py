@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import SLICE, arrow_schema, kept, release, remove, shared_dir, texts_of, written
-from gridloom.llm.components import components
+from gridloom.llm.components import components, extended, labelled
 from gridloom.llm.wordhash import mix, word_hashes
 
 #: Cost of a row that is shuffled, of a pair that is verified, and elements that unrelated documents share on average.
@@ -473,7 +473,7 @@ def _unresolved(met: DataFrame, labels: DataFrame, sets: DataFrame, t: Threshold
     each other and with those in its group, in tiles of block against block. A block travels as one row for each tile; what leaves a
     tile is only what sketches can't tell apart.
     """
-    named = _labelled(met, labels).withColumn("apart", F.col("ga") != F.col("gb"))
+    named = labelled(met, labels).withColumn("apart", F.col("ga") != F.col("gb"))
     sizes = named.groupBy("a").agg(F.count_if("apart").alias("n"), F.count_if(~F.col("apart")).alias("m")).filter("n > 0 AND n + m > 1")
     sizes = sizes.select("a", F.ceil(F.col("n") / TILE).cast("int").alias("n"), F.ceil(F.col("m") / TILE).cast("int").alias("m"))
     members = named.join(sizes, "a").withColumn("own", F.when(F.col("apart"), F.pmod(F.xxhash64("b"), "n")).otherwise(F.col("n") + F.pmod(F.xxhash64("b"), F.greatest("m", F.lit(1)))).cast("int"))
@@ -502,14 +502,6 @@ def _unresolved(met: DataFrame, labels: DataFrame, sets: DataFrame, t: Threshold
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs with the group of each side; a set without links is its own group."""
-    for side in ("a", "b"):
-        named = labels.select(F.col("node").alias(side), F.col("component").alias(f"g{side}"))
-        pairs = pairs.join(named, side, "left").withColumn(f"g{side}", F.coalesce(f"g{side}", side))
-    return pairs
-
-
 def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: int = 0) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row: the size of the document's set of ``n``-word runs, and the least id
     reachable by links, where two documents link when ``whole * |A & B| >= part * |A | B|``.
@@ -545,16 +537,14 @@ def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: in
     if clash:
         remove(spark, root)
         return join(docs, n, part, whole, seed + 1)
-    links = _verified(first, sets, t, root, "first", False)
-    labels = components(links)
+    labels = components(_verified(first, sets, t, root, "first", False))
 
     # pairs of pivot and member whose groups are still apart
     release(spark)
     tested = first
-    apart = written(_labelled(counted.select("a", "b"), labels).filter("ga != gb").select("a", "b").join(tested, ["a", "b"], "left_anti"), "apart", root)
+    apart = written(labelled(counted.select("a", "b"), labels).filter("ga != gb").select("a", "b").join(tested, ["a", "b"], "left_anti"), "apart", root)
     if apart.limit(1).count():
-        links = links.unionByName(_verified(apart, sets, t, root, "apart", True))
-        labels = components(links)
+        labels = extended(labels, _verified(apart, sets, t, root, "apart", True))
 
     # sets that met one pivot and that it doesn't hold together: first each with its nearest of another group, then what is left
     for nearest in (True, False):
@@ -563,8 +553,7 @@ def join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100, seed: in
         rest = written(_unresolved(counted.select("a", "b"), labels, sets, t, nearest), name, root)
         if not rest.limit(1).count():  # a set that may link to any has a nearest one, so there is nothing left, either
             break
-        links = links.unionByName(_verified(rest, sets, t, root, name, False))
-        labels = components(links)
+        labels = extended(labels, _verified(rest, sets, t, root, name, False))
 
     members = sets.select("doc_id", "n", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("g", F.coalesce("component", "sid")).select("doc_id", "n", "g")
     least = members.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("component_id"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm import setjoin
-from gridloom.llm.components import components
+from gridloom.llm.components import components, extended
 from gridloom.llm.setjoin import Signatures, Threshold, allocate, limits
 
 
@@ -92,6 +92,19 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_more_links_extend_components(spark):
+    rng = np.random.default_rng(5)
+    chain = [(k, k + 1) for k in range(100, 160)]
+    first = [*zip(rng.integers(0, 90, 40).tolist(), rng.integers(0, 90, 40).tolist(), strict=True), *chain[::2]]
+    more = [*zip(rng.integers(0, 90, 30).tolist(), rng.integers(0, 90, 30).tolist(), strict=True), *chain[1::2], (7, 7), (300, 5)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    told = lambda labels: sorted((r.node, r.component) for r in labels.collect())
+    labels = components(table(first))
+    assert told(extended(labels, table(more))) == told(components(table(first + more)))
+    assert told(extended(labels, table([]))) == told(labels)
+    assert told(extended(components(table([])), table(more))) == told(components(table(more)))
+
+
 def corpus():
     rng = random.Random(9)
     words = [f"w{k}" for k in range(400)]
