@@ -6,13 +6,16 @@ neither side is taken. What is left over is a false positive or a false negative
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions import geometry, text
 from gridloom.schemas import STATUSES
 
+CORNERS = ("xmin", "ymin", "xmax", "ymax")
+#: A pair of boxes, in the order in which pairs are taken.
+PAIR = "struct<minus:double,detection_id:string,ground_truth_id:string,same_class:boolean>"
+
 
 def candidate_pairs(detections: DataFrame, ground_truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``image_id, detection_id, ground_truth_id, iou, same_class`` for pairs with at least ``threshold``: an equi-join with a residual condition."""
@@ -26,16 +29,11 @@ def candidate_pairs(detections: DataFrame, ground_truth: DataFrame, threshold: f
     )
 
 
-def greedy(pairs: DataFrame) -> DataFrame:
-    """``image_id, rank, detection_id, ground_truth_id, iou, same_class``: the pairs taken, by rank from 0 within the image.
+def _walk(pairs: Column) -> Column:
+    """An image's sorted pairs ``(minus, detection_id, ground_truth_id, same_class)`` in one pass: the ids ``d`` and ``g`` that are taken, and the pairs ``taken``."""
+    empty = F.expr(f"named_struct('d', cast(array() as array<string>), 'g', cast(array() as array<string>), 'taken', cast(array() as array<{PAIR}>))")
 
-    One sorted array per image and one pass over it, in the JVM. An image's pairs must fit a task, which a
-    few thousand boxes do; the arrays hold ids and overlaps only.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("minus"), "detection_id", "ground_truth_id", "same_class")))
-    empty = F.expr("named_struct('d', cast(array() as array<string>), 'g', cast(array() as array<string>), 'taken', cast(array() as array<struct<minus:double,detection_id:string,ground_truth_id:string,same_class:boolean>>))")
-
-    def take(state, pair):
+    def take(state: Column, pair: Column) -> Column:
         free = ~F.array_contains(state["d"], pair["detection_id"]) & ~F.array_contains(state["g"], pair["ground_truth_id"])
         more = F.struct(
             F.array_append(state["d"], pair["detection_id"]).alias("d"),
@@ -44,8 +42,18 @@ def greedy(pairs: DataFrame) -> DataFrame:
         )
         return F.when(free, more).otherwise(state)
 
+    return F.aggregate(pairs, empty, take)
+
+
+def greedy(pairs: DataFrame) -> DataFrame:
+    """``image_id, rank, detection_id, ground_truth_id, iou, same_class``: the pairs taken, by rank from 0 within the image.
+
+    One sorted array per image and one pass over it, in the JVM. An image's pairs must fit a task, which a
+    few thousand boxes do; the arrays hold ids and overlaps only.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("minus"), "detection_id", "ground_truth_id", "same_class")))
     keyed = pairs.select("image_id", F.col("detection_id").cast("string").alias("detection_id"), F.col("ground_truth_id").cast("string").alias("ground_truth_id"), "iou", "same_class")
-    taken = keyed.groupBy("image_id").agg(ordered.alias("pairs")).select("image_id", F.aggregate("pairs", empty, take)["taken"].alias("taken"))
+    taken = keyed.groupBy("image_id").agg(ordered.alias("pairs")).select("image_id", _walk(F.col("pairs"))["taken"].alias("taken"))
     rows = taken.select("image_id", F.posexplode("taken").alias("rank", "t"))
     return rows.select("image_id", "rank", "t.detection_id", "t.ground_truth_id", (-F.col("t.minus")).alias("iou"), "t.same_class")
 
@@ -68,28 +76,43 @@ def left_over(side: DataFrame, matched: DataFrame, key: str) -> DataFrame:
     return side.join(taken, (F.col("image_id") == F.col("_image")) & (F.col(key).cast("string") == F.col("_id")), "left_anti")
 
 
+def _by_image(df: DataFrame, key: str, kind: str, column: str) -> DataFrame:
+    """``image_id`` and the array ``column`` of its boxes in input order: by ``ordinal``, or else by id."""
+    place = F.col("ordinal").cast("long") if "ordinal" in df.columns else F.lit(0).cast("long")
+    box = F.struct(place.alias("place"), F.col(key).cast("string").alias("id"), F.col(kind).alias("kind"), *[c.cast("double").alias(n) for c, n in zip(geometry.box(), CORNERS, strict=True)])
+    return df.select("image_id", box.alias("box")).groupBy("image_id").agg(F.array_sort(F.collect_list("box")).alias(column))
+
+
 def comparisons(detections: DataFrame, ground_truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per match, then per detection and ground truth left over, numbered within the image in that order.
 
     The side that is missing is an empty string, and the overlap null. ``ordinal`` of both inputs, or else their ids, give the input order.
+    Boxes without image id match nothing, and each side numbers its own.
+    Each side is grouped by image once, and one join brings an image's arrays together; all else is a pass over them, without another shuffle.
     """
-    matched = matches(detections, ground_truth, threshold)
-    own = lambda df, key: F.col("ordinal") if "ordinal" in df.columns else F.col(key)
-    status = F.when(F.col("same_class"), STATUSES[0]).otherwise(STATUSES[1])
-    rows = matched.select("image_id", F.lit(0).alias("phase"), F.struct(F.col("rank").cast("long").alias("n"), F.lit("").alias("s")).alias("place"), "detection_id", "ground_truth_id", "iou", status.alias("status"))
-    none, blank = F.lit(None).cast("double"), F.lit("")
-
-    def rest(df: DataFrame, key: str, phase: int, status: str) -> DataFrame:
-        place = own(df, key)
-        n = place.cast("long") if "ordinal" in df.columns else F.lit(0).cast("long")
-        s = blank if "ordinal" in df.columns else place.cast("string")
-        left = left_over(df, matched, key)
-        ids = [F.col(key).cast("string").alias(key) if k == key else blank.alias(k) for k in ("detection_id", "ground_truth_id")]
-        return left.select("image_id", F.lit(phase).alias("phase"), F.struct(n.alias("n"), s.alias("s")).alias("place"), *ids, none.alias("iou"), F.lit(status).alias("status"))
-
-    rows = rows.unionByName(rest(detections, "detection_id", 1, STATUSES[2])).unionByName(rest(ground_truth, "ground_truth_id", 2, STATUSES[3]))
-    index = F.row_number().over(Window.partitionBy("image_id").orderBy("phase", "place")) - 1
-    return rows.withColumn("comparison_id", text.numbered(F.col("image_id"), "cmp", index)).select("comparison_id", "image_id", "detection_id", "ground_truth_id", "iou", "status")
+    if not 0 < threshold <= 1:
+        raise ValueError("the overlap threshold must lie in (0, 1]")
+    both = _by_image(detections, "detection_id", "predicted_class_id", "ds").join(_by_image(ground_truth, "ground_truth_id", "class_id", "gs"), "image_id", "full")
+    corners = lambda b: tuple(b[c] for c in CORNERS)
+
+    def overlapping(d: Column) -> Column:
+        pairs = F.transform("gs", lambda g: F.struct((-geometry.iou(corners(d), corners(g))).alias("minus"), d["id"].alias("detection_id"), g["id"].alias("ground_truth_id"), (d["kind"] == g["kind"]).alias("same_class")))
+        return F.filter(pairs, lambda p: p["minus"] <= -threshold)
+
+    none = F.expr(f"cast(array() as array<{PAIR}>)")
+    met = both.withColumn("pairs", F.array_sort(F.coalesce(F.flatten(F.transform("ds", overlapping)), none)))  # an image that one side lacks has none
+    walked = met.select("image_id", "ds", "gs", _walk(F.col("pairs")).alias("w"))
+    row = lambda d, g, iou, status: F.struct(d.alias("detection_id"), g.alias("ground_truth_id"), iou.cast("double").alias("iou"), status.alias("status"))
+    blank, null = F.lit(""), F.lit(None)
+    ids = lambda side: F.coalesce(F.transform(side, lambda b: b["id"]), F.expr("cast(array() as array<string>)"))
+    free = lambda side, taken: F.filter(ids(side), lambda i: ~F.coalesce(F.array_contains(taken, i), F.lit(False)))
+    parts = F.concat(
+        F.transform("w.taken", lambda t: row(t["detection_id"], t["ground_truth_id"], -t["minus"], F.when(t["same_class"], STATUSES[0]).otherwise(STATUSES[1]))),
+        F.transform(free("ds", F.col("w.d")), lambda d: row(d, blank, null, F.lit(STATUSES[2]))),
+        F.transform(free("gs", F.col("w.g")), lambda g: row(blank, g, null, F.lit(STATUSES[3]))),
+    )
+    rows = walked.select("image_id", F.posexplode(parts).alias("k", "r"))
+    return rows.select(text.numbered(F.col("image_id"), "cmp", F.col("k")).alias("comparison_id"), "image_id", "r.detection_id", "r.ground_truth_id", "r.iou", "r.status")
 
 
 def status_counts(compared: DataFrame) -> DataFrame:

@@ -37,3 +37,19 @@ def test_threshold_must_be_a_share(spark):
 def test_empty_tables_have_all_statuses(spark):
     out = matching.comparisons(spark.createDataFrame([], DET), spark.createDataFrame([], GT))
     assert {r.status: r.n for r in matching.status_counts(out).collect()} == dict.fromkeys(("true_positive", "class_error", "false_positive", "false_negative"), 0)
+
+
+def test_rows_without_image_or_id_stay_and_match_nothing(spark):
+    det = [(None, "d1", 0, 0.0, 0.0, 10.0, 10.0), ("i", None, 0, 0.0, 0.0, 10.0, 10.0)]
+    gt = [(None, "g1", 0, 0.0, 0.0, 10.0, 10.0), ("i", "g2", 0, 0.0, 0.0, 10.0, 10.0)]
+    nothing = {("d1", ""): ("false_positive", None), ("", "g1"): ("false_negative", None)}
+    assert compare(spark, det, gt) == nothing | {(None, ""): ("false_positive", None), ("", "g2"): ("false_negative", None)}
+
+
+def test_numbers_follow_matches_then_each_side(spark):
+    det = [("i", "d2", 0, 0.0, 0.0, 10.0, 10.0), ("i", "d1", 0, 50.0, 50.0, 60.0, 60.0)]
+    gt = [("i", "g1", 0, 0.0, 0.0, 10.0, 10.0), ("i", "g0", 0, 80.0, 80.0, 90.0, 90.0)]
+    rows = matching.comparisons(spark.createDataFrame(det, DET), spark.createDataFrame(gt, GT)).orderBy("comparison_id").collect()
+    assert [(r.comparison_id, r.detection_id, r.ground_truth_id) for r in rows] == [("i_cmp_0000", "d2", "g1"), ("i_cmp_0001", "d1", ""), ("i_cmp_0002", "", "g0")]
+    with pytest.raises(ValueError):
+        matching.comparisons(spark.createDataFrame(det, DET), spark.createDataFrame(gt, GT), 0.0)
