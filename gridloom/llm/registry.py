@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, langid, mixing, ngramlm, pii, secrets, setjoin, tokenstore, vectors
+from gridloom.llm import bpe, crosstoken, exactdedup, langid, mixing, ngramlm, periodic, pii, secrets, setjoin, tokenstore, vectors
 from gridloom.llm.common import remainder, texts_of
 
 
@@ -87,8 +87,23 @@ def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join(table(spark, sf_dir, "documents"), n=4, part=85, whole=100)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays of those with the same text, white space aside."""
+    return exactdedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two vocabularies, aligned, and how often its linked ids are linked in all documents."""
+    return crosstoken.alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that repeat with a period, in every document; a tenth of them repeats itself on purpose."""
+    return periodic.collapsed(table(spark, sf_dir, "documents"), periodic.planted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_language, op3_secrets, op4_top_k, op5_bpe_codec, op6_token_files, op7_vector_dedup, op8_pii, op9_lm_score, op10_set_join)}
+    return {f.__name__: f for f in (op1_mixing, op2_language, op3_secrets, op4_top_k, op5_bpe_codec, op6_token_files, op7_vector_dedup, op8_pii, op9_lm_score, op10_set_join, op11_exact_dedup, op12_token_alignment, op13_periodic_runs)}
 
 
 OP4_SQL = """
@@ -121,6 +136,14 @@ FROM embeddings e JOIN least ON e.vec_id = least.a
 """
 
 
+OP11_SQL = """
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS said FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY said ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY said) AS group_size,
+    row_number() OVER (PARTITION BY said ORDER BY points DESC, doc_id) = 1 AS kept, sha256(said) AS text_sha256
+FROM n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only what SQL does in reasonable time over whole tables; the rest is tested against brute force."""
-    return {"op4_top_k": OP4_SQL, "op7_vector_dedup": OP7_SQL}
+    return {"op4_top_k": OP4_SQL, "op7_vector_dedup": OP7_SQL, "op11_exact_dedup": OP11_SQL}

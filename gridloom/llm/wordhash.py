@@ -35,7 +35,7 @@ def lowered(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
-def _pieces(raw: bytes) -> Iterator[tuple[int, int]]:
+def pieces(raw: bytes) -> Iterator[tuple[int, int]]:
     """Stretches of about BUFFER bytes that end at white space."""
     at = 0
     while at < len(raw):
@@ -84,7 +84,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             flush()
             size = 0
         if len(raw) > BUFFER:
-            for a, b in _pieces(raw):
+            for a, b in pieces(raw):
                 hashes, _ = _long_word(raw[a:b]) if b - a > 4 * BUFFER else _hashed(raw[a:b])
                 out.append(hashes)
                 counts[k] += len(hashes)
