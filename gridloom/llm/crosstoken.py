@@ -12,7 +12,9 @@ blocks' pairs by id pair, and then their documents by block, so no key has more
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,16 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import byte_symbols
 from gridloom.llm.common import arrow_schema, kept, shared_dir, texts_of, written
-from gridloom.llm.tokenstore import ChunkEncoder, Odd
+from gridloom.llm.tokenstore import LATIN, ChunkEncoder, Odd
 
 #: Documents and distinct pairs of documents in a block, characters that are taken at once, entries of the lookup of chunks, stripes, pairs in a row.
-BLOCK_DOCS, BLOCK_PAIRS, STRETCH, CACHED, STRIPES, ROW_PAIRS = 4096, 2 << 20, 1 << 20, 400_000, 512, 1 << 15
+BLOCK_DOCS, BLOCK_PAIRS, STRETCH, CACHED, STRIPES, ROW_PAIRS = 4096, 2 << 20, 1 << 20, 500_000, 512, 1 << 15
+#: Characters of texts whose unknown chunks are encoded together.
+TOGETHER = 1 << 19
 #: How B writes a space.
 MARK = "▁"
+#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A document's row, or (with ``codes``) a part of its block's pairs. ``own`` are places in the block's sorted pairs.
 LINKS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, own array<int>, times array<int>, codes array<long>, counts array<long>"
@@ -35,66 +41,106 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 
 class Differs(Exception):
-    """B's pieces don't give the chunk's bytes."""
+    """B's pieces don't give the text's bytes."""
 
 
 class Aligner(dict):
-    """Chunk that follows a space to ``(tokens of A, tokens of B, groups as text, linked pairs as int64 codes)``."""
+    """Chunk that follows a space to its entry: how many tokens of A and of B it has, its groups and links.
+
+    A's merges are in the order of its ids, so words of Latin letters, marks and ASCII go to tiktoken with that vocabulary; any other chunk, or a long one, goes to the tokenizers library.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         super().__init__()
         import sentencepiece
+        import tiktoken
 
         self.a = ChunkEncoder(a_path)
-        special, self.a.special = set(self.a.special), []
+        special = set(self.a.special)
         self.a.tokenizer.encode_special_tokens = True  # their strings are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.n_a, self.n_b = self.a.tokenizer.get_vocab_size(), self.b.get_piece_size()
         symbol = {c: b for b, c in enumerate(byte_symbols())}
-        self.size_a = [0] * self.n_a
-        for token, k in self.a.tokenizer.get_vocab().items():
-            self.size_a[k] = 0 if token in special else len([symbol[c] for c in token])
+        known = {bytes(symbol[c] for c in token): k for token, k in self.a.tokenizer.get_vocab().items() if token not in special}
+        with open(a_path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        ranked = merged == sorted(merged)
+        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}) if ranked else None
         pieces = [self.b.id_to_piece(k) for k in range(self.n_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError(f"pieces of {b_path} reach across spaces")
-
-    def align(self, text: str) -> tuple[int, int, str, bytes]:
-        """Both encodings of a space and ``text``, whole."""
-        ids = np.frombuffer(self.a._chunk(text) if text and not text[0].isspace() and not text[-1].isspace() else self.a._whole(" " + text), self.a.dtype).tolist()
-        return self.aligned(ids, self.b.encode(text), text)
-
-    def aligned(self, a: list[int], b: list[int], text: str) -> tuple[int, int, str, bytes]:
-        if b"".join([self.bytes_b[k] for k in b]) != b" " + text.encode():
-            raise Differs
-        groups, codes, size_a, size_b = [], [], self.size_a, self.bytes_b
-        first_a = first_b = at_b = end_b = end_a = 0
-        for at_a, k in enumerate(a, 1):
-            end_a += size_a[k]
-            while end_b < end_a:
-                end_b += len(size_b[b[at_b]])
-                at_b += 1
-            if end_b == end_a:
-                groups.append(",".join(map(str, a[first_a:at_a])) + "|" + ",".join(map(str, b[first_b:at_b])))
-                codes.append(k * self.n_b + b[at_b - 1])
-                first_a, first_b = at_a, at_b
-        return len(a), len(b), ";".join(groups), np.array(codes, np.int64).tobytes()
-
-    def __missing__(self, chunk: str) -> tuple[int, int, str, bytes]:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise Odd
+        self.size_a, self.size_b = np.zeros(self.n_a, np.int64), np.array([len(x) for x in self.bytes_b])
+        self.size_a[list(known.values())] = [len(x) for x in known]
+        #: Ids as they stand in the groups: inside and at the end of A's part, inside and at the end of B's.
+        self.said = [f"{k}{end}".encode() for n, ends in ((self.n_a, ",|"), (self.n_b, ",;")) for end in ends for k in range(n)]
+
+    def plain(self, chunk: str) -> bool:
+        return self.fast is not None and len(chunk) < 500 and (chunk.isascii() or max(chunk) < LATIN) and not chunk[:1].isspace() and not chunk[-1:].isspace()
+
+    def ids_a(self, chunks: list[str]) -> np.ndarray:
+        """A's ids of a space and each chunk; runs of plain ones are one text to tiktoken."""
+        out: list[int] = []
+        for plain, run in groupby(chunks, self.plain):
+            if plain:
+                out += self.fast.encode_ordinary(" ".join(["", *run]))
+            else:
+                for chunk in run:
+                    out += self.a.tokenizer.encode(" " + chunk, add_special_tokens=False).ids
+        return np.array(out, np.int64)
+
+    def entries(self, chunks: list[str]) -> list[tuple[int, int, bytes, bytes] | None]:
+        """Tokens of A and of B, groups (each ended by ``;``) and codes of linked pairs of some chunks, aligned together; None where B's bytes differ."""
+        a, ids_b = self.ids_a(chunks), self.b.encode(chunks)
+        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        n_b = np.array([len(x) for x in ids_b])
+        b = np.fromiter(chain.from_iterable(ids_b), np.int64, n_b.sum())
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        upto_a, upto_b = np.searchsorted(ends_a, ends) + 1, np.cumsum(n_b)
+        n_a = np.diff(upto_a, prepend=0)
+        equal = n_b.all() and np.array_equal(ends_b[upto_b - 1], ends) and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == " ".join(["", *chunks]).encode()
+        if not equal:
+            half = len(chunks) // 2
+            return self.entries(chunks[:half]) + self.entries(chunks[half:]) if half else [None]
+        met = np.searchsorted(ends_b, ends_a)  # both end with every chunk
+        last_a, last_b = ends_b[met] == ends_a, np.zeros(len(b), bool)
+        last_b[met[last_a]] = True
+        # a token's place among all: after the tokens of the other side whose groups come before
+        groups_a, groups_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        place_a, place_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        said = np.empty(len(a) + len(b), np.int64)
+        said[np.arange(len(a)) + np.r_[0, place_b][groups_a]] = a + self.n_a * last_a
+        said[np.arange(len(b)) + place_a[groups_b]] = b + self.n_b * last_b + 2 * self.n_a
+        words, codes = list(map(self.said.__getitem__, said.tolist())), (a[last_a] * self.n_b + b[last_b]).tobytes()
+        text, link = (upto_a + upto_b).tolist(), (8 * np.cumsum(last_a)[upto_a - 1]).tolist()
+        return [(x, y, b"".join(words[t:u]), codes[k:m]) for x, y, t, u, k, m in zip(n_a.tolist(), n_b.tolist(), [0, *text], text, [0, *link], link, strict=False)]
+
+    def learn(self, texts: list[str | None]) -> None:
+        """The chunks of some texts that aren't known yet, together."""
         if len(self) >= CACHED:  # what came first is what comes often
             for key in list(self)[CACHED // 2 :]:
                 del self[key]
-        found = self[chunk] = self.align(chunk)
-        return found
+        new = {p for t in texts if t and MARK not in t for part in stretches(t) for p in part.split(" ")}
+        if chunks := [p for p in new if p and p not in self and not p[0].isspace() and not p[-1].isspace()]:
+            self.update(zip(chunks, self.entries(chunks), strict=True))
 
-    def chunks(self, text: str) -> list[tuple[int, int, str, bytes]]:
+    def __missing__(self, chunk: str) -> tuple[int, int, bytes, bytes] | None:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise Odd
+        return self.entries([chunk])[0]
+
+    def align(self, text: str) -> tuple[int, int, bytes, np.ndarray]:
+        """Both encodings of a space and ``text``, as of one entry."""
         pieces = text.split(" ")
         try:
-            return [self[p] for p in pieces]
+            found = list(map(self.__getitem__, pieces))
         except Odd:
-            return [self[c] if c and not c[0].isspace() and not c[-1].isspace() else self.align(c) for c in ChunkEncoder._cut(pieces)]
+            found = [self[c] if c and not c[0].isspace() and not c[-1].isspace() else self.entries([c])[0] for c in ChunkEncoder._cut(pieces)]
+        if None in found:
+            raise Differs
+        a, b, groups, links = zip(*found, strict=True)
+        return sum(a), sum(b), b"".join(groups), np.frombuffer(b"".join(links), np.int64)
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -120,15 +166,14 @@ def document(aligner: Aligner, text: str | None, size: int = STRETCH) -> tuple[i
     if not text or MARK in text:  # B takes the mark for a space, so its bytes differ
         return NO_TOKENS
     n_a = n_b = n_links = 0
-    digest, between, codes, times = hashlib.sha256(), "", [], []
+    digest, between, codes, times = hashlib.sha256(), b"", [], []
     try:
         for part in stretches(text, size):
-            a, b, groups, links = zip(*aligner.chunks(part), strict=True)
-            n_a, n_b = n_a + sum(a), n_b + sum(b)
-            digest.update((between + ";".join(groups)).encode())
-            between, own = ";", np.frombuffer(b"".join(links), np.int64)
-            n_links += len(own)
-            own, n = np.unique(own, return_counts=True)
+            a, b, groups, links = aligner.align(part)
+            n_a, n_b, n_links = n_a + a, n_b + b, n_links + len(links)
+            digest.update(between + groups[:-1])
+            between = b";"
+            own, n = np.unique(links, return_counts=True)
             codes.append(own)
             times.append(n)
     except Differs:
@@ -139,6 +184,22 @@ def document(aligner: Aligner, text: str | None, size: int = STRETCH) -> tuple[i
     return n_a, n_b, n_links, digest.hexdigest(), codes[0], times[0]
 
 
+def read_ahead(aligner: Aligner, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
+    """``doc_id, text``, after the chunks of some texts have been learned together."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size >= TOGETHER:
+                aligner.learn(texts)
+                yield from zip(ids, texts, strict=True)
+                ids, texts, size = [], [], 0
+        aligner.learn(texts)
+        yield from zip(ids, texts, strict=True)
+
+
 def _block(block: int, docs: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A block's rows: its documents, then its pairs."""
     every = np.concatenate([d[5] for d in docs])
@@ -162,13 +223,12 @@ def linked(docs: DataFrame, a_path: str, b_path: str, block_docs: int = BLOCK_DO
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = kept(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
         block, rows, pairs = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows.append((doc_id, *document(aligner, text.as_py())))
-                pairs += len(rows[-1][5])
-                if len(rows) >= block_docs or pairs >= BLOCK_PAIRS:
-                    yield from _block(block, rows, schema)
-                    block, rows, pairs = block + 1, [], 0
+        for doc_id, text in read_ahead(aligner, batches):
+            rows.append((doc_id, *document(aligner, text)))
+            pairs += len(rows[-1][5])
+            if len(rows) >= block_docs or pairs >= BLOCK_PAIRS:
+                yield from _block(block, rows, schema)
+                block, rows, pairs = block + 1, [], 0
         if rows:
             yield from _block(block, rows, schema)
 
