@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions import geometry
+from gridloom.functions import geometry, text
 from gridloom.schemas import SPLITS
 
 
@@ -18,6 +18,11 @@ class ConstraintError(ValueError):
     """A constraint is violated."""
 
 
+def split_name(given: str | None) -> str:
+    """A source's split as it is compared, written and named: in lower case, without white space around it, ``external`` if there is none."""
+    return (given or "").strip().lower() or "external"
+
+
 def _rows(df: DataFrame, rule: int, place: Column, message: Column) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), place.cast("string").alias("place"), message.alias("message"))
 
@@ -83,25 +88,25 @@ def split_violations(split: DataFrame, expected_total: int | None = None, requir
 
 def inference_violations(images: DataFrame, detections: DataFrame) -> DataFrame:
     """Of the tables of a prediction run: repeated ids, missing names, impossible numbers, unknown images, boxes outside, wrong counts."""
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     image, detection = F.col("image_id"), F.col("detection_id")
     joined = detections.join(images.select("image_id", "image_width", "image_height"), "image_id", "left")
     box = geometry.is_valid(geometry.box(), F.col("image_width"), F.col("image_height"))
     known = joined.filter("image_width is not null")
     return union(
         [
-            _rows(repeated(images, "image_id"), 0, image, text("image id is not unique: ", image)),
-            _rows(repeated(detections, "detection_id"), 1, detection, text("detection id is not unique: ", detection)),
-            _rows(images.filter("coalesce(dataset_id, '') = ''"), 2, image, text("no dataset id: ", image)),
-            _rows(images.filter("coalesce(source_split, '') = ''"), 3, image, text("no source split: ", image)),
-            _rows(images.filter("not (image_width > 0 and image_height > 0)"), 4, image, text("impossible dimensions: ", image)),
-            _rows(images.filter("prediction_count < 0"), 5, image, text("impossible prediction count: ", image)),
-            _rows(unresolved(detections, "image_id", images, "image_id"), 6, detection, text("detection of an unknown image: ", detection)),
-            _rows(known.filter("predicted_class_id < 0"), 7, detection, text("impossible class: ", detection)),
-            _rows(known.filter("coalesce(predicted_class_name, '') = ''"), 8, detection, text("no class name: ", detection)),
-            _rows(known.filter(~F.coalesce(F.col("confidence").between(0, 1) & ~F.isnan("confidence"), F.lit(False))), 9, detection, text("impossible confidence: ", detection)),
-            _rows(known.filter(~F.coalesce(box, F.lit(False))), 10, detection, text("box outside its image: ", detection)),
-            _rows(count_mismatch(images, detections, "image_id", "prediction_count"), 11, image, text("prediction count of ", image, ": ", F.col("claimed"), " claimed, ", F.col("actual"), " found")),
+            _rows(repeated(images, "image_id"), 0, image, said("image id is not unique: ", image)),
+            _rows(repeated(detections, "detection_id"), 1, detection, said("detection id is not unique: ", detection)),
+            _rows(images.filter("coalesce(dataset_id, '') = ''"), 2, image, said("no dataset id: ", image)),
+            _rows(images.filter("coalesce(source_split, '') = ''"), 3, image, said("no source split: ", image)),
+            _rows(images.filter("not (image_width > 0 and image_height > 0)"), 4, image, said("impossible dimensions: ", image)),
+            _rows(images.filter("prediction_count < 0"), 5, image, said("impossible prediction count: ", image)),
+            _rows(unresolved(detections, "image_id", images, "image_id"), 6, detection, said("detection of an unknown image: ", detection)),
+            _rows(known.filter("predicted_class_id < 0"), 7, detection, said("impossible class: ", detection)),
+            _rows(known.filter("coalesce(predicted_class_name, '') = ''"), 8, detection, said("no class name: ", detection)),
+            _rows(known.filter(~F.coalesce(F.col("confidence").between(0, 1) & ~F.isnan("confidence"), F.lit(False))), 9, detection, said("impossible confidence: ", detection)),
+            _rows(known.filter(~F.coalesce(box, F.lit(False))), 10, detection, said("box outside its image: ", detection)),
+            _rows(count_mismatch(images, detections, "image_id", "prediction_count"), 11, image, said("prediction count of ", image, ": ", F.col("claimed"), " claimed, ", F.col("actual"), " found")),
         ]
     )
 
@@ -113,12 +118,15 @@ def inference_totals(images: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def held_out(sources: DataFrame, manifest: DataFrame, key: str, source_split: str = "external", allow_test: bool = False) -> DataFrame:
-    """Source rows that the manifest keeps for testing; none where that is allowed. All rows if the whole source is a test split."""
+    """Source rows that the manifest keeps for testing; none where that is allowed. All rows if the whole source is a test split.
+
+    Names of splits count whatever their case and the white space around them.
+    """
     if allow_test:
         return sources.limit(0)
-    if source_split == "test":
+    if split_name(source_split) == "test":
         return sources
-    return sources.join(manifest.filter("split = 'test'").select(key), key, "left_semi")
+    return sources.join(manifest.filter(F.lower(text.stripped(F.col("split"))) == "test").select(key), key, "left_semi")
 
 
 def guard_held_out(sources: DataFrame, manifest: DataFrame, key: str, source_split: str = "external", allow_test: bool = False) -> None:

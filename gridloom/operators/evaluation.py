@@ -1,78 +1,128 @@
 """Precision, recall and average precision of detections, from the tables alone.
 
-Within a class each detection names the one ground truth of its class and image that it overlaps most, if that is enough, and
-of the detections that name the same one the most confident is a hit; the others are misses, even where another ground truth is free.
-Average precision is the area under the precision envelope. These formulas are ours.
+Within an image and class, detections are taken by falling confidence (ties by id, unknown confidence last); each takes the free ground truth that it
+overlaps most, if that is enough (ties to the smaller id), and is then a hit. Average precision is the area under the precision
+envelope. These formulas are ours.
+
+One join by image and class finds all overlaps, and every threshold is a fold over an image's pairs. Ranks run within a
+class over ranges of confidence, each a task, with sums of the ranges before and maxima of those after, so a frequent class is many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom import staging
 from gridloom.functions import geometry
 
+CORNERS = ("xmin", "ymin", "xmax", "ymax")
+#: Overlaps at which metrics are averaged.
+THRESHOLDS = tuple(0.5 + 0.05 * k for k in range(10))
+#: Stretches of equal width that confidences from 0 to 1 are ranked in.
+RANGES = 1024
 
-def hits(detections: DataFrame, ground_truth: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``detection_id, class_id, confidence, hit``: a ground truth counts for the most confident of the detections that overlap it most."""
-    d, g = detections.alias("d"), ground_truth.alias("g")
-    same = (F.col("d.image_id") == F.col("g.image_id")) & (F.col("d.predicted_class_id") == F.col("g.class_id"))
-    pairs = d.join(g, same).select("d.detection_id", "d.confidence", "g.ground_truth_id", geometry.iou(geometry.box("d."), geometry.box("g.")).alias("iou")).filter(F.col("iou") >= threshold)
-    best = pairs.groupBy("detection_id").agg(F.max(F.struct("iou", F.col("ground_truth_id"))).alias("b"), F.first("confidence").alias("confidence"))
-    taken = best.groupBy("b.ground_truth_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "detection_id")).alias("w")).select(F.col("w.detection_id").alias("detection_id"), F.lit(1).alias("hit"))
-    named = detections.select("detection_id", F.col("predicted_class_id").alias("class_id"), "confidence")
-    return named.join(taken, "detection_id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
+def _confidence(c: Column) -> Column:
+    """Unknown ones come last."""
+    return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(float("-inf")))
 
-def curve(scored: DataFrame, ground_truth: DataFrame) -> DataFrame:
-    """``class_id, rank, precision, recall`` after each detection of a class, by falling confidence, ties by id.
 
-    A window per class: with few classes its partitions are large but stream, one row at a time, from sorted runs on disk.
+def _walk(pairs: Column, threshold: float) -> Column:
+    """Ids of the detections that take a ground truth, of an image's sorted pairs of a class."""
+    state = F.expr("named_struct('ids', cast(array() as array<string>), 'truths', cast(array() as array<string>))")
+
+    def take(s: Column, p: Column) -> Column:
+        free = ~F.array_contains(s["truths"], p["truth"]) & ~F.array_contains(s["ids"], p["id"])
+        return F.when(free, F.struct(F.array_append(s["ids"], p["id"]).alias("ids"), F.array_append(s["truths"], p["truth"]).alias("truths"))).otherwise(s)
+
+    return F.aggregate(F.filter(pairs, lambda p: p["less"] <= -threshold), state, take)["ids"]
+
+
+def hits(detections: DataFrame, ground_truth: DataFrame, thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """``image_id, detection_id, class_id, confidence, hits``: for each threshold 1 where the detection takes a ground truth, else 0.
+
+    Ids need be unique within an image only, and come back as text. A detection without image or class takes none.
+    One join finds all overlaps; it deals both sides by image and class, as the folds need them.
     """
-    positives = ground_truth.groupBy("class_id").agg(F.count("*").alias("positives"))
-    order = Window.partitionBy("class_id").orderBy(F.desc("confidence"), "detection_id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("tp", F.sum("hit").over(so_far)).join(F.broadcast(positives), "class_id")
-    return ranked.select("class_id", "rank", (F.col("tp") / F.col("rank")).alias("precision"), (F.col("tp") / F.col("positives")).alias("recall"))
+    corners = lambda: [c.cast("double").alias(n) for c, n in zip(geometry.box(), CORNERS, strict=True)]
+    named = detections.select("image_id", F.col("predicted_class_id").alias("class_id"), F.col("detection_id").cast("string").alias("id"), "confidence", *corners())
+    whole = F.col("image_id").isNotNull() & F.col("class_id").isNotNull()
+    d, g = named.filter(whole).alias("d"), ground_truth.filter(whole).select("image_id", "class_id", F.col("ground_truth_id").cast("string").alias("truth"), *corners()).alias("g")
+    overlap = geometry.iou(geometry.box("d."), geometry.box("g."))
+    met = d.join(g, (F.col("d.image_id") == F.col("g.image_id")) & (F.col("d.class_id") == F.col("g.class_id")) & (overlap >= min(thresholds)), "left")
+    pair = F.struct((-_confidence(F.col("confidence"))).alias("minus"), "id", F.when(F.col("truth").isNotNull(), -overlap).alias("less"), "truth", "confidence")
+    grouped = met.select("d.image_id", "d.class_id", pair.alias("pair")).groupBy("image_id", "class_id").agg(F.array_sort(F.collect_list("pair")).alias("pairs"))
+    walked = grouped.select("image_id", "class_id", "pairs", *[_walk(F.col("pairs"), t).alias(f"w{k}") for k, t in enumerate(thresholds)])
+    rows = walked.select("image_id", "class_id", "pairs", *[f"w{k}" for k in range(len(thresholds))], F.posexplode("pairs").alias("k", "p"))
+    first = rows.filter((F.col("k") == 0) | (F.get("pairs", F.col("k") - 1)["id"] != F.col("p.id")))
+    found = F.array(*[F.array_contains(f"w{k}", F.col("p.id")).cast("int") for k in range(len(thresholds))])
+    bare = named.filter(~whole).select("image_id", F.col("id").alias("detection_id"), "class_id", "confidence", F.array_repeat(F.lit(0), len(thresholds)).alias("hits"))
+    return first.select("image_id", F.col("p.id").alias("detection_id"), "class_id", "p.confidence", found.alias("hits")).unionByName(bare)
+
+
+def _ranked(scored: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Every detection of a class with its rank, hits so far ``t0..`` and precisions ``p0..``; and ``class_id, range, n, s0..`` of each range.
+
+    A range is a stretch of confidence, a task of its own. Ranks and envelopes read a staged table, so matching runs once.
+    """
+    least = _confidence(F.col("confidence"))
+    stretch = -F.floor(F.least(F.greatest(least, F.lit(0.0)), F.lit(1.0)) * RANGES)
+    key = staging.staged(scored.filter("class_id is not null").select("class_id", stretch.cast("int").alias("range"), (-least).alias("minus"), F.col("detection_id").cast("string").alias("id"), F.col("image_id").cast("string").alias("image"), "hits"))
+    here = Window.partitionBy("class_id", "range").orderBy("minus", "id", "image").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = key.select("*", F.count("*").over(here).alias("r"), *[F.sum(F.get("hits", F.lit(k))).over(here).alias(f"l{k}") for k in range(count)])
+    sums = local.groupBy("class_id", "range").agg(F.max("r").alias("n"), *[F.max(f"l{k}").alias(f"s{k}") for k in range(count)])
+    before = Window.partitionBy("class_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range, RANGES + 1 at most
+    starts = sums.select("class_id", "range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b_{c}") for c in ("n", *(f"s{k}" for k in range(count)))])
+    whole = local.join(starts, ["class_id", "range"]).withColumns({"rank": F.col("r") + F.col("b_n")} | {f"t{k}": F.col(f"l{k}") + F.col(f"b_s{k}") for k in range(count)})
+    return whole.withColumns({f"p{k}": F.col(f"t{k}") / F.col("rank") for k in range(count)}), sums
 
 
-def average_precision(points: DataFrame) -> DataFrame:
-    """``class_id, ap``: each step of recall times the best precision from there on."""
-    order = Window.partitionBy("class_id").orderBy("rank")
-    onward = Window.partitionBy("class_id").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = points.withColumn("envelope", F.max("precision").over(onward)).withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0)))
-    return steps.groupBy("class_id").agg(F.sum(F.col("envelope") * F.col("step")).alias("ap"))
+def _positives(ground_truth: DataFrame) -> DataFrame:
+    return ground_truth.filter("class_id is not null").groupBy("class_id").agg(F.count("*").alias("positives"))
 
 
-def mean_average_precision(detections: DataFrame, ground_truth: DataFrame, thresholds: tuple[float, ...] = tuple(0.5 + 0.05 * k for k in range(10))) -> dict[str, float]:
-    """AP50 and AP50-95 over the classes that have ground truth."""
-    classes = [r.class_id for r in ground_truth.select("class_id").distinct().collect()]
-    means = []
-    for t in thresholds:
-        per = {r.class_id: r.ap for r in average_precision(curve(hits(detections, ground_truth, t), ground_truth)).collect()}
-        means.append(sum(per.get(c, 0.0) for c in classes) / len(classes) if classes else 0.0)
-    return {"mAP50": means[0], "mAP50_95": sum(means) / len(means)}
+def curve(scored: DataFrame, ground_truth: DataFrame) -> DataFrame:
+    """``class_id, rank, precision, recall`` after each detection of a class that has ground truth, by falling confidence, at the first threshold; ties by id, then image."""
+    points = _ranked(scored, 1)[0].join(_positives(ground_truth), "class_id")
+    return points.select("class_id", F.col("rank").cast("int").alias("rank"), F.col("p0").alias("precision"), (F.col("t0") / F.col("positives")).alias("recall"))
+
+
+def _areas(points: DataFrame, count: int) -> DataFrame:
+    """``class_id, areas``: for each threshold the best precision from each hit on, summed over the hits."""
+    onward = Window.partitionBy("class_id", "range").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("class_id").orderBy("range").rowsBetween(1, Window.unboundedFollowing)  # a row per range
+    best = points.groupBy("class_id", "range").agg(*[F.max(f"p{k}").alias(f"m{k}") for k in range(count)])
+    later = best.select("class_id", "range", *[F.coalesce(F.max(f"m{k}").over(after), F.lit(0.0)).alias(f"m{k}") for k in range(count)])
+    steps = points.select("class_id", "range", "hits", *[F.max(f"p{k}").over(onward).alias(f"e{k}") for k in range(count)]).join(later, ["class_id", "range"])
+    return steps.groupBy("class_id").agg(F.array(*[F.sum(F.get("hits", F.lit(k)) * F.greatest(f"e{k}", f"m{k}")) for k in range(count)]).alias("areas"))
+
 
+def average_precision(scored: DataFrame, ground_truth: DataFrame, count: int = 1) -> DataFrame:
+    """``class_id, ap`` of the classes that have ground truth and detections: for each of ``count`` thresholds, each hit's step of recall times the best precision from there on."""
+    rows = _areas(_ranked(scored, count)[0], count).join(_positives(ground_truth), "class_id")
+    return rows.select("class_id", F.transform("areas", lambda a: a / F.col("positives")).alias("ap"))
 
-def per_class(detections: DataFrame, ground_truth: DataFrame, names: dict[int, str], thresholds: tuple[float, ...] = tuple(0.5 + 0.05 * k for k in range(10))) -> DataFrame:
+
+def per_class(detections: DataFrame, ground_truth: DataFrame, names: dict[int, str] | None = None, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """``class_id, class_name, instances, precision, recall, AP50, AP50_95`` of the classes that have ground truth or detections; ``instances`` is null without ground truth.
 
-    Precision and recall are those at the first threshold with all detections. One plan over all thresholds.
+    Precision and recall are those at the first threshold with all detections; ``AP50`` is at the first, ``AP50_95`` the mean of all. One matching for all thresholds.
     """
-    counts = ground_truth.groupBy("class_id").agg(F.count("*").cast("int").alias("instances"))
-    scored = [hits(detections, ground_truth, t) for t in thresholds]
-    first = scored[0].groupBy("class_id").agg(F.sum("hit").alias("tp"), F.count("*").alias("n"))
-    aps = None
-    for k, own in enumerate(scored):
-        part = average_precision(curve(own, ground_truth)).withColumn("k", F.lit(k))
-        aps = part if aps is None else aps.unionByName(part)
-    aps = aps.groupBy("class_id").agg(F.sum(F.when(F.col("k") == 0, F.col("ap"))).alias("a"), (F.sum("ap") / len(thresholds)).alias("b"))
-    classes = counts.select("class_id").unionByName(first.select("class_id")).distinct()
-    rows = classes.join(counts, "class_id", "left").join(first, "class_id", "left").join(aps, "class_id", "left")
+    points, sums = _ranked(hits(detections, ground_truth, thresholds), len(thresholds))
+    found = sums.groupBy("class_id").agg(F.sum("s0").alias("tp"), F.sum("n").alias("n"))
+    rows = _positives(ground_truth).join(found, "class_id", "full").join(_areas(points, len(thresholds)), "class_id", "left")
     name = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("class_id")) if names else F.lit(None).cast("string")
-    ratio = lambda below: F.coalesce(F.coalesce("tp", F.lit(0)) / F.nullif(F.coalesce(below, F.lit(0)), F.lit(0)), F.lit(0.0))
-    return rows.select("class_id", name.alias("class_name"), "instances", ratio("n").alias("precision"), ratio("instances").alias("recall"), F.coalesce("a", F.lit(0.0)).alias("AP50"), F.coalesce("b", F.lit(0.0)).alias("AP50_95"))
+    ratio = lambda above, below: F.coalesce(above / F.nullif(F.col(below), F.lit(0)), F.lit(0.0))
+    mean = F.aggregate("areas", F.lit(0.0), lambda a, x: a + x / F.col("positives")) / len(thresholds)
+    return rows.select("class_id", name.alias("class_name"), F.col("positives").cast("int").alias("instances"), ratio(F.col("tp"), "n").alias("precision"), ratio(F.col("tp"), "positives").alias("recall"), ratio(F.get("areas", F.lit(0)), "positives").alias("AP50"), F.coalesce(mean, F.lit(0.0)).alias("AP50_95"))
+
+
+def mean_average_precision(detections: DataFrame, ground_truth: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> dict[str, float]:
+    """AP50 and AP50-95 over the classes that have ground truth."""
+    means = per_class(detections, ground_truth, None, thresholds).filter("instances is not null").agg(F.avg("AP50").alias("a"), F.avg("AP50_95").alias("b")).first()
+    return {"mAP50": means.a or 0.0, "mAP50_95": means.b or 0.0}
 
 
 def precision_recall(compared: DataFrame) -> DataFrame:

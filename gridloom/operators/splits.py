@@ -44,76 +44,48 @@ def target_violations(items: DataFrame, boxes: DataFrame, key: str = "image_path
     return a.unionByName(b)
 
 
-def _iterative(wanted: dict[tuple[int, ...], int], ratios: tuple[float, ...]) -> dict[tuple[int, ...], list[int]]:
-    """Items of each label combination per fold: the rarest label first, to the fold that lacks it most.
+def _shares(counts: DataFrame, config: SplitConfig) -> DataFrame:
+    """``_c, _train, _val, _n``: how many items of each label combination go where.
 
-    Iterative stratification (Sechidis, Tsoumakas and Vlahavas, 2011) on counts: items with equal labels are one number.
+    Combinations stand in a row by their rarest label, rarest first, and every boundary between splits is the rounded share of the
+    items up to it. So each combination, all combinations of one rarest label, and the whole are within one item of their shares.
+    Rows are label combinations here, not items.
     """
-    left = dict(wanted)
-    total = sum(wanted.values())
-    labels = len(next(iter(wanted)))
-    room = [r * total for r in ratios]
-    need = [[r * sum(n for c, n in wanted.items() if c[k]) for k in range(labels)] for r in ratios]
-    out = {c: [0] * len(ratios) for c in wanted}
-
-    def place(combination: tuple[int, ...], label: int | None) -> None:
-        fold = max(range(len(ratios)), key=lambda f: (need[f][label] if label is not None else 0.0, room[f], -f))
-        out[combination][fold] += 1
-        left[combination] -= 1
-        room[fold] -= 1
-        for k in range(labels):
-            need[fold][k] -= combination[k]
-
-    while True:
-        counts = [sum(n for c, n in left.items() if c[k]) for k in range(labels)]
-        live = [k for k in range(labels) if counts[k]]
-        if not live:
-            break
-        rarest = min(live, key=lambda k: (counts[k], k))
-        for combination in sorted(c for c, n in left.items() if n and c[rarest]):
-            bulk = max(0, left[combination] - 4096)  # large groups fill by share, their rest item by item
-            for f, r in enumerate(ratios):
-                n = int(bulk * r)
-                out[combination][f] += n
-                left[combination] -= n
-                room[f] -= n
-                for k in range(labels):
-                    need[f][k] -= n * combination[k]
-            while left[combination]:
-                place(combination, rarest)
-    for combination in sorted(c for c, n in left.items() if n):
-        while left[combination]:
-            place(combination, None)
-    return out
-
-
-def stratified(targets: DataFrame, config: SplitConfig | None = None, key: str = "image_path") -> DataFrame:
+    label = counts.select("_c", "_n", F.posexplode(F.split("_c", "")).alias("_k", "_set")).filter("_set = '1'")
+    sizes = label.groupBy("_k").agg(F.sum("_n").alias("_size"))
+    rarest = label.join(sizes, "_k").groupBy("_c").agg(F.min(F.struct("_size", "_k")).alias("_rarest"))
+    row = Window.orderBy(F.col("_rarest").isNull(), "_rarest", "_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rounded = lambda total, share: F.floor(total * F.lit(share) + F.lit(0.5)).cast("long")
+    ordered = counts.join(rarest, "_c", "left").withColumn("_upto", F.sum("_n").over(row))
+    first = ordered.withColumn("_train", rounded(F.col("_upto"), config.train_ratio) - rounded(F.col("_upto") - F.col("_n"), config.train_ratio))
+    second = first.withColumn("_rest", F.col("_n") - F.col("_train")).withColumn("_upto", F.sum("_rest").over(row))
+    share = config.val_ratio / (config.val_ratio + config.test_ratio)
+    return second.select("_c", "_n", "_train", (rounded(F.col("_upto"), share) - rounded(F.col("_upto") - F.col("_rest"), share)).alias("_val"))
+
+
+def stratified(targets: DataFrame, config: SplitConfig | None = None, key: str = "image_path", bucket: int = 10_000) -> DataFrame:
     """``key, split``: every item in one split, label shares near the ratios, the same for the same keys and seed.
 
-    First training against the rest, then the rest into validation and test. Only counts per label combination
-    reach the driver; items are then placed by a rank within their combination, by a seeded hash. Combinations with more
-    items than a bucket are ranked in buckets, so that a frequent one isn't one task.
+    First training against the rest, then the rest into validation and test, by whole counts per label combination (``_shares``). Within its
+    combination an item's place is its rank by a seeded MD5 of its key, then the key. Combinations with more items than ``bucket`` are
+    ranked in ranges of that hash, so that a frequent one isn't one task.
     """
     config = config or SplitConfig()
     if not repeated_keys(targets, key).isEmpty():
         raise ConstraintError("repeated image paths")
-    named = targets.withColumn("_c", F.concat_ws("", F.transform("targets", lambda x: x.cast("string"))))
-    counts = {tuple(map(int, r._c)): r.n for r in named.groupBy("_c").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    named = targets.select(key, F.concat_ws("", F.transform("targets", lambda x: x.cast("string"))).alias("_c"))
+    counts = named.groupBy("_c").agg(F.count("*").alias("_n"))
+    if counts.isEmpty():
         raise ConstraintError("no items to split")
-    rest = config.val_ratio + config.test_ratio
-    first = _iterative(counts, (config.train_ratio, rest))
-    second = _iterative({c: n[1] for c, n in first.items() if n[1]}, (config.val_ratio / rest, config.test_ratio / rest)) if any(n[1] for n in first.values()) else {}
-    rows = []
-    for combination, (train, other) in first.items():
-        val = second.get(combination, [0, 0])[0]
-        rows.append(("".join(map(str, combination)), train, train + val, max(1, -(-(train + other) // 10_000))))
-    table = targets.sparkSession.createDataFrame(rows, "_c string, _train long, _val long, _buckets long")  # a row per combination
-    hashed = named.join(F.broadcast(table), "_c").withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit(config.seed))).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 20), F.col("_buckets")))
-    sizes = hashed.groupBy("_c", "_b").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = hashed.withColumn("_k", F.row_number().over(Window.partitionBy("_c", "_b").orderBy("_h", key)) - 1).join(before, ["_c", "_b"]).withColumn("_k", F.col("_k") + F.col("_before"))
-    split = F.when(F.col("_k") < F.col("_train"), SPLITS[0]).when(F.col("_k") < F.col("_val"), SPLITS[1]).otherwise(SPLITS[2])
+    table = _shares(counts, config).withColumn("_buckets", F.ceil(F.col("_n") / bucket)).drop("_n")
+    hashed = named.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(config.seed)))))
+    start = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")  # ranges of the hash, in its order
+    dealt = hashed.join(table, "_c").withColumn("_b", F.shiftright(start * F.col("_buckets"), 32))
+    sizes = dealt.groupBy("_c", "_b").agg(F.count("*").alias("_m"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+    ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_c", "_b").orderBy("_h", key)) - 1).join(before, ["_c", "_b"])
+    place = F.col("_k") + F.col("_before")
+    split = F.when(place < F.col("_train"), SPLITS[0]).when(place < F.col("_train") + F.col("_val"), SPLITS[1]).otherwise(SPLITS[2])
     return ranked.select(key, split.alias("split"))
 
 

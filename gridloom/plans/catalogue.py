@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import geometry, text
-from gridloom.operators import audit, constraints, evaluation, matching, splits
+from gridloom.operators import audit, constraints, evaluation, matching, splits, suppression
 from gridloom.sources import files as sources
 
 W, H = 200, 200
@@ -210,35 +210,74 @@ def overall_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.precision_recall(matching.comparisons(detections(spark, sf_dir), ground_truth(spark, sf_dir)))
 
 
-CURVE_SQL = (
+HITS_SQL = (
     PAIRS_SQL
-    + """, best AS (
-    SELECT detection_id, arg_max(ground_truth_id, (iou, ground_truth_id)) AS ground_truth_id FROM pairs WHERE same_class GROUP BY detection_id
-), hit AS (
-    SELECT arg_min(b.detection_id, (-d.confidence, b.detection_id)) AS detection_id FROM best b JOIN det d ON d.detection_id = b.detection_id GROUP BY b.ground_truth_id
+    + """, near AS (
+    SELECT p.image_id, p.detection_id, d.predicted_class_id AS class_id, d.confidence, list({'iou': iou, 'g': ground_truth_id} ORDER BY iou DESC, ground_truth_id) AS cands
+    FROM pairs p JOIN det d ON d.detection_id = p.detection_id WHERE same_class GROUP BY ALL
+), queued AS (
+    SELECT near.*, j, 0.5::DOUBLE + 0.05::DOUBLE * j AS t, row_number() OVER (PARTITION BY image_id, class_id, j ORDER BY confidence DESC, detection_id) AS k FROM near, thresholds
+), walk AS (
+    SELECT image_id, class_id, j, k, detection_id, pick, CASE WHEN pick IS NULL THEN []::VARCHAR[] ELSE [pick] END AS taken
+    FROM (SELECT *, list_filter(cands, lambda c: c.iou >= t)[1].g AS pick FROM queued WHERE k = 1)
+    UNION ALL
+    SELECT image_id, class_id, j, k, detection_id, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END
+    FROM (SELECT q.*, w.taken, list_filter(q.cands, lambda c: c.iou >= q.t AND NOT list_contains(w.taken, c.g))[1].g AS pick
+        FROM walk w JOIN queued q ON q.image_id = w.image_id AND q.class_id = w.class_id AND q.j = w.j AND q.k = w.k + 1)
 ), ranked AS (
-    SELECT predicted_class_id AS class_id, row_number() OVER w::INT AS rank, sum(CASE WHEN h.detection_id IS NULL THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS tp
-    FROM det d LEFT JOIN hit h ON h.detection_id = d.detection_id WINDOW w AS (PARTITION BY predicted_class_id ORDER BY confidence DESC, d.detection_id)
+    SELECT predicted_class_id AS class_id, h.j, (h.pick IS NOT NULL)::INT AS hit, row_number() OVER w AS rank, sum((h.pick IS NOT NULL)::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS tp
+    FROM (SELECT det.*, thresholds.j, walk.pick FROM det CROSS JOIN thresholds LEFT JOIN walk ON walk.detection_id = det.detection_id AND walk.j = thresholds.j) h
+    WINDOW w AS (PARTITION BY predicted_class_id, j ORDER BY confidence DESC, detection_id)
+), positives AS (
+    SELECT class_id, count(*) AS n FROM gt GROUP BY class_id
 ), curve AS (
-    SELECT r.class_id, rank, tp::DOUBLE / rank AS precision, tp::DOUBLE / p.n AS recall FROM ranked r JOIN (SELECT class_id, count(*) AS n FROM gt GROUP BY class_id) p ON p.class_id = r.class_id
+    SELECT r.class_id, j, rank, hit, tp::DOUBLE / rank AS precision, tp::DOUBLE / p.n AS recall, p.n FROM ranked r JOIN positives p ON p.class_id = r.class_id
+), aps AS (
+    SELECT class_id, j, sum(hit * envelope / n) AS ap FROM (SELECT *, max(precision) OVER (PARTITION BY class_id, j ORDER BY rank DESC ROWS UNBOUNDED PRECEDING) AS envelope FROM curve) GROUP BY class_id, j
 )"""
-).replace("row_number() OVER w::INT", "(row_number() OVER w)::INT").replace("OVER (w ROWS UNBOUNDED PRECEDING)", "OVER (PARTITION BY predicted_class_id ORDER BY confidence DESC, d.detection_id ROWS UNBOUNDED PRECEDING)")
+).replace("OVER (w ROWS UNBOUNDED PRECEDING)", "OVER (PARTITION BY predicted_class_id, j ORDER BY confidence DESC, detection_id ROWS UNBOUNDED PRECEDING)")
+CURVE_SQL, METRICS_SQL = (f"WITH RECURSIVE thresholds AS (SELECT range AS j FROM range({n})), {HITS_SQL}" for n in (1, 10))
 
 
-def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"{CURVE_SQL} SELECT class_id, rank::INT AS rank, precision, recall FROM curve")
+def precision_recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = ground_truth(spark, sf_dir)
     return evaluation.curve(evaluation.hits(detections(spark, sf_dir), truth), truth)
 
 
-@query(f"WITH {CURVE_SQL} SELECT class_id, rank, precision, recall FROM curve")
-def precision_recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _curve(spark, sf_dir)
+@query(f"{CURVE_SQL} SELECT class_id, round(ap, 9) AS ap FROM aps")
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = ground_truth(spark, sf_dir)
+    found = evaluation.average_precision(evaluation.hits(detections(spark, sf_dir), truth), truth)
+    return found.select("class_id", F.round(F.get("ap", F.lit(0)), 9).alias("ap"))
 
 
-@query(f"""WITH {CURVE_SQL}, steps AS (SELECT class_id, max(precision) OVER (PARTITION BY class_id ORDER BY rank DESC ROWS UNBOUNDED PRECEDING) AS envelope, recall - coalesce(lag(recall) OVER (PARTITION BY class_id ORDER BY rank), 0) AS step FROM curve)
-SELECT class_id, round(sum(envelope * step), 9) AS ap FROM steps GROUP BY class_id""")
-def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.average_precision(_curve(spark, sf_dir)).withColumn("ap", F.round("ap", 9))
+@query(f"""{METRICS_SQL}, per AS (SELECT class_id, sum(ap) FILTER (j = 0) AS a, sum(ap) / 10 AS b FROM aps GROUP BY class_id), first AS (SELECT class_id, sum(hit) AS tp, count(*) AS n FROM ranked WHERE j = 0 GROUP BY class_id)
+SELECT p.class_id, p.n::INT AS instances, coalesce(tp / f.n, 0)::DOUBLE AS precision, coalesce(tp / p.n, 0)::DOUBLE AS recall, coalesce(round(a, 9), 0) AS AP50, coalesce(round(b, 9), 0) AS AP50_95
+FROM positives p LEFT JOIN first f ON f.class_id = p.class_id LEFT JOIN per ON per.class_id = p.class_id""")
+def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten overlaps after one matching."""
+    rows = evaluation.per_class(detections(spark, sf_dir), ground_truth(spark, sf_dir))
+    return rows.drop("class_name").withColumns({c: F.round(c, 9) for c in ("AP50", "AP50_95")})
+
+
+LAP = "greatest(0, least({b}x1, o.xmax) - greatest({b}x0, o.xmin)) * greatest(0, least({b}y1, o.ymax) - greatest({b}y0, o.ymin))".format(b="b.")
+
+
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, ordered AS (
+    SELECT image_id, detection_id, predicted_class_id % 2 AS class_id, confidence, xmin, ymin, xmax, ymax, row_number() OVER (PARTITION BY image_id, predicted_class_id % 2 ORDER BY confidence DESC, detection_id) AS k FROM det WHERE confidence > 0.25
+), walk AS (
+    SELECT image_id, class_id, k, detection_id, confidence, true AS stays, [{{'x0': xmin, 'y0': ymin, 'x1': xmax, 'y1': ymax}}] AS kept FROM ordered WHERE k = 1
+    UNION ALL
+    SELECT image_id, class_id, k, detection_id, confidence, stays, CASE WHEN stays THEN list_append(kept, {{'x0': xmin, 'y0': ymin, 'x1': xmax, 'y1': ymax}}) ELSE kept END
+    FROM (SELECT o.*, w.kept, len(list_filter(w.kept, lambda b: ({LAP})::DOUBLE / ((b.x1 - b.x0) * (b.y1 - b.y0) + (o.xmax - o.xmin) * (o.ymax - o.ymin) - {LAP})::DOUBLE > 0.3::DOUBLE)) = 0 AS stays
+        FROM walk w JOIN ordered o ON o.image_id = w.image_id AND o.class_id = w.class_id AND o.k = w.k + 1)
+)
+SELECT image_id, detection_id, class_id AS predicted_class_id, confidence FROM walk WHERE stays""")
+def nms_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two classes here, so that many boxes of one class overlap."""
+    two = detections(spark, sf_dir).withColumn("predicted_class_id", F.col("predicted_class_id") % 2)
+    return suppression.suppressed(two, 0.25, 0.3).select("image_id", "detection_id", "predicted_class_id", "confidence")
 
 
 # -- audit ----------------------------------------------------------------------------------
@@ -401,9 +440,18 @@ def target_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.target_violations(found, boxes(spark, sf_dir), "image_id")
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id AS i, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id), items AS (
+    SELECT doc_id, concat((lang = 'en')::INT, (lang = 'fr')::INT, (lang = 'de')::INT, (lang = 'es')::INT, coalesce(q, 0), coalesce(t, 0), (q IS NULL)::INT) AS c FROM documents LEFT JOIN l ON i = doc_id
+), counts AS (SELECT c, count(*) AS n FROM items GROUP BY c), labelled AS (SELECT c, n, k FROM counts, range(1, 8) r(k) WHERE substr(c, k::INT, 1) = '1'),
+rarest AS (SELECT c, min((size, k)) AS r FROM labelled JOIN (SELECT k, sum(n) AS size FROM labelled GROUP BY k) s USING (k) GROUP BY c),
+a AS (SELECT counts.c, n, r, sum(n) OVER (ORDER BY r IS NULL, r, counts.c) AS upto FROM counts LEFT JOIN rarest ON rarest.c = counts.c),
+b AS (SELECT *, floor(upto::DOUBLE * 0.7::DOUBLE + 0.5::DOUBLE) - floor((upto - n)::DOUBLE * 0.7::DOUBLE + 0.5::DOUBLE) AS train FROM a),
+d AS (SELECT *, n - train AS rest, sum(n - train) OVER (ORDER BY r IS NULL, r, c) AS upto2 FROM b),
+e AS (SELECT c, train, floor(upto2::DOUBLE * 0.5::DOUBLE + 0.5::DOUBLE) - floor((upto2 - rest)::DOUBLE * 0.5::DOUBLE + 0.5::DOUBLE) AS val FROM d),
+placed AS (SELECT doc_id, items.c, row_number() OVER (PARTITION BY items.c ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id) - 1 AS k FROM items)
+SELECT doc_id, CASE WHEN k < train THEN 'train' WHEN k < train + val THEN 'val' ELSE 'test' END AS split FROM placed JOIN e ON e.c = placed.c""")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language, quality and toxicity; iterative, so tests hold its properties."""
+    """Documents by language, quality and toxicity; those without label count as a kind of their own."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
     flags = [F.when(F.col("lang") == lang, 1).otherwise(0) for lang in ("en", "fr", "de", "es")] + [F.coalesce(c, F.lit(0)) for c in ("q", "t")] + [F.when(F.col("q").isNull(), 1).otherwise(0)]
