@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from gridloom.jobs import config, runs
-from gridloom.operators import audit
+from gridloom.operators import audit, prediction
 from gridloom.operators.prediction import Detector
 from gridloom.plans import jobs
 from gridloom.session import ship
@@ -61,7 +61,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> Any:
     if not args.source:
         raise config.ConfigError("--source: is needed")
     out = jobs.new_folder(config.resolved(settings["outputs"]["prediction_root"], root), f"{settings['experiment']['name']}_predict")
-    return jobs.predict_free(spark, args.source, load, names, out)
+    return jobs.predict_free(spark, args.source, load, names, out, prediction.Options.of(settings["prediction"]))
 
 
 def arguments(given: Sequence[str] | None = None) -> argparse.Namespace:

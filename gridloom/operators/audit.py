@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +155,21 @@ def seeded_sample(rows: DataFrame, key: str, n: int = 6, seed: int = 42) -> Data
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
+def profile(sized: DataFrame, measured_boxes: DataFrame, objects: DataFrame) -> DataFrame:
+    """``figure, key, n``: all counts of an audit at once; figures without parts have an empty key.
+
+    ``sized``: is_background, width (-1 where unreadable), height, mode; ``measured_boxes``: of ``measured``; ``objects``: of ``objects_per_image``. Every row
+    names the counts that it adds to, and these are summed before anything is shuffled: each input is read once.
+    """
+    mark = lambda figure, key="": F.struct(F.lit(figure).alias("figure"), (F.lit(key) if isinstance(key, str) else key.cast("string")).alias("key"), F.lit(1).cast("long").alias("n"))
+    readable, size = F.col("width") >= 0, F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string"))
+    image = [mark("total_images"), F.when(F.col("is_background"), mark("background_images")).otherwise(mark("positive_images")), F.when(readable, mark("readable_images")), F.when(readable, mark("dimension_counts", size)), F.when(readable, mark("mode_counts", F.col("mode")))]
+    box = [mark("class_counts", F.col("class_id")), F.when(F.col("is_valid"), mark("total_objects")), F.when(F.col("is_valid"), mark("size_counts", F.col("size")))]
+    marks = [df.select(F.explode(F.array_compact(F.array(*own))).alias("m")).select("m.*") for df, own in ((sized, image), (measured_boxes, box))]
+    marks.append(objects.select(F.lit("objects_per_image").alias("figure"), F.col("objects").cast("string").alias("key"), F.col("images").alias("n")))
+    return reduce(DataFrame.unionByName, marks).groupBy("figure", "key").agg(F.sum("n").alias("n"))
+
+
 def summary(report: dict) -> str:
     """A report's totals, classes and sizes as text for a console."""
     # What a report is known by, and how that is said.

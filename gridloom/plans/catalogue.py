@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import geometry, text
-from gridloom.operators import audit, constraints, evaluation, matching, splits, suppression
+from gridloom.operators import audit, constraints, evaluation, matching, prediction, splits, suppression
+from gridloom.sinks import files as sinks
 from gridloom.sources import files as sources
 
 W, H = 200, 200
@@ -360,6 +361,34 @@ def suffix_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.suffix_histogram(table(spark, sf_dir, "pages"), "url")
 
 
+@query(f"""WITH {LINES_SQL}, i AS (SELECT l.doc_id IS NULL AS bg, CASE WHEN n_chars > 300 THEN n_chars % 50 ELSE -1 END AS w, doc_id % 3 AS h, lang FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),
+b AS (SELECT class_id, xmax <= 60 AND ymax <= 60 AS ok, (xmax - xmin) * (ymax - ymin) / 3600.0::DOUBLE AS area FROM boxes)
+SELECT 'total_images' AS figure, '' AS key, count(*) AS n FROM i UNION ALL SELECT CASE WHEN bg THEN 'background_images' ELSE 'positive_images' END, '', count(*) FROM i GROUP BY 1
+UNION ALL SELECT 'readable_images', '', count(*) FROM i WHERE w >= 0 UNION ALL SELECT 'dimension_counts', w || 'x' || h, count(*) FROM i WHERE w >= 0 GROUP BY 2 UNION ALL SELECT 'mode_counts', lang, count(*) FROM i WHERE w >= 0 GROUP BY 2
+UNION ALL SELECT 'class_counts', class_id::VARCHAR, count(*) FROM b GROUP BY 2 UNION ALL SELECT 'total_objects', '', count(*) FROM b WHERE ok
+UNION ALL SELECT 'size_counts', CASE WHEN area < 0.01::DOUBLE THEN 'small' WHEN area <= 0.05::DOUBLE THEN 'medium' ELSE 'large' END, count(*) FROM b WHERE ok GROUP BY 2
+UNION ALL SELECT 'objects_per_image', n::VARCHAR, count(*) FROM (SELECT o, count(l_orderkey) AS n FROM (SELECT DISTINCT o_orderkey AS o FROM orders) LEFT JOIN lineitem ON l_orderkey = o GROUP BY o) GROUP BY 2""")
+def audit_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counts of an audit in one pass: documents are its images, line items its boxes in images of 60 by 60."""
+    lang, readable = F.col("lang").alias("mode"), F.col("n_chars") > 300
+    sized = items(spark, sf_dir).select("is_background", F.when(readable, F.col("n_chars") % 50).otherwise(-1).alias("width"), (F.col("doc_id") % 3).alias("height"), lang)
+    small = boxes(spark, sf_dir).withColumns({"width": F.lit(60).cast("long"), "height": F.lit(60).cast("long")})
+    return audit.profile(sized, audit.measured(small), objects_per_image(spark, sf_dir))
+
+
+@query("""WITH i AS (SELECT doc_id, l.doc_id IS NULL AS bg, d.lang, d.n_chars FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id))
+SELECT doc_id::VARCHAR AS image, CASE WHEN n_chars <= 300 THEN 'unreadable_image' WHEN lang = 'fr' THEN 'missing_annotation' ELSE 'annotation_parse_error' END AS type,
+    CASE WHEN n_chars <= 300 THEN 'image cannot be decoded' WHEN lang = 'fr' THEN 'positive image without an annotation file' ELSE 'bad ' || doc_id END AS message
+FROM i WHERE n_chars <= 300 OR (NOT bg AND (lang = 'fr' OR doc_id % 4 = 0))""")
+def item_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short documents are unreadable images, labelled French ones lack their annotation, and a quarter of annotations don't parse."""
+    path = F.col("doc_id").cast("string")
+    own = items(spark, sf_dir).select(path.alias("image_path"), "is_background", F.when(~F.col("is_background") & (F.col("lang") != "fr"), path).alias("annotation_path"), "n_chars", "doc_id")
+    images = own.filter("n_chars is not null").select("image_path", F.when(F.col("n_chars") > 300, 10).otherwise(-1).alias("width"))
+    bad = own.filter("doc_id % 4 = 0").select(F.col("image_path").alias("annotation_path"), F.concat(F.lit("bad "), "image_path").alias("error"))
+    return audit.item_issues(own.select("image_path", "is_background", "annotation_path"), images, bad)
+
+
 # -- splits ---------------------------------------------------------------------------------
 
 
@@ -458,6 +487,86 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified(docs.select("doc_id", F.array(*[f.cast("int") for f in flags]).alias("targets")), key="doc_id")
 
 
+ORDER_SPLIT = "CASE WHEN o_orderkey % 20 < 14 THEN 'train' WHEN o_orderkey % 20 < 17 THEN 'val' ELSE 'test' END"
+
+
+@query(f"WITH {LINES_SQL} SELECT split, class_id - 1 AS class_id, count(*) AS n FROM boxes JOIN (SELECT DISTINCT o_orderkey, {ORDER_SPLIT} AS split FROM orders) o ON o_orderkey = image_id GROUP BY ALL")
+def objects_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("image_path"), rule_split(F.col("o_orderkey")).alias("split")).distinct()
+    return splits.objects_by_class(images, boxes(spark, sf_dir))
+
+
+@query(f"""SELECT CASE WHEN l.doc_id IS NULL THEN 'background_' ELSE 'positive_' END || doc_id AS image_id, source || '/' || doc_id || '.v1.png' AS image_path, CASE WHEN l.doc_id IS NULL THEN '' ELSE 'truth/' || doc_id || '.txt' END AS annotation_path,
+    l.doc_id IS NULL AS is_background, {SPLIT} AS split, 42 AS seed, 0.7::DOUBLE AS train_ratio, 0.15::DOUBLE AS val_ratio, 0.15::DOUBLE AS test_ratio FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""".replace("|| doc_id AS image_id", "|| doc_id || '.v1' AS image_id"))
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths below the data set's root, and ids by kind and stem."""
+    key = F.col("doc_id").cast("string")
+    rows = items(spark, sf_dir).select(F.concat(F.lit("/set/"), "source", F.lit("/"), key, F.lit(".v1.png")).alias("image_path"), F.when(~F.col("is_background"), F.concat(F.lit("/set/truth/"), key, F.lit(".txt"))).alias("annotation_path"), "is_background", rule_split(F.col("doc_id")).alias("split"))
+    return sinks.manifest(rows, "/set", splits.SplitConfig())
+
+
+@query(f"""WITH {LINES_SQL}, labels_of AS (
+    SELECT image_id, count(*)::INT AS n, string_agg(printf('%d %.8f %.8f %.8f %.8f', class_id % 10, (xmin + xmax) / 2::DOUBLE / 200, (ymin + ymax) / 2::DOUBLE / 200, (xmax - xmin)::DOUBLE / 200, (ymax - ymin)::DOUBLE / 200), chr(10) ORDER BY box_number) || chr(10) AS label FROM boxes GROUP BY image_id
+), o AS (SELECT DISTINCT o_orderkey AS k, {ORDER_SPLIT} AS split FROM orders)
+SELECT printf('%s_%04d_%s_%d', split, row_number() OVER (PARTITION BY split ORDER BY k) - 1, CASE WHEN n IS NULL THEN 'background' ELSE 'positive' END, k) AS output_id, split, '/set/' || k || '.png' AS source_image,
+    CASE WHEN n IS NULL THEN '' ELSE k::VARCHAR END AS source_annotation, n IS NULL AS is_background, coalesce(n, 0) AS object_count, coalesce(label, '') AS label FROM o LEFT JOIN labels_of ON image_id = k""")
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, counts and label texts of an export: orders are images, and those without line items backgrounds."""
+    own = boxes(spark, sf_dir).select(F.col("image_path").alias("annotation_path"), "box_number", (F.col("class_id") % 10 + 1).alias("class_id"), "xmin", "ymin", "xmax", "ymax")
+    key = F.col("o_orderkey").cast("string")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").distinct().join(own.select(F.col("annotation_path").cast("long").alias("o_orderkey")).distinct().withColumn("has", F.lit(True)), "o_orderkey", "left")
+    rows = orders.select(F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("/set/"), key, F.lit(".png")).alias("image_path"), F.when(F.col("has"), key).alias("annotation_path"), F.col("has").isNull().alias("is_background"), rule_split(F.col("o_orderkey")).alias("split"))
+    images = rows.select(F.col("image_path").alias("path"), F.lit(W).alias("width"), F.lit(H).alias("height"))
+    return sinks.export_rows(rows, own, images)
+
+
+# -- predictions ----------------------------------------------------------------------------
+
+NAMES = {k: f"class {k}" for k in range(12)}
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT detection_id, image_id::VARCHAR AS image_id, predicted_class_id::INT AS predicted_class_id, 'class ' || predicted_class_id AS predicted_class_name, confidence,
+    least(xmin, 50)::DOUBLE AS xmin, least(ymin, 50)::DOUBLE AS ymin, least(xmax, 50)::DOUBLE AS xmax, least(ymax, 50)::DOUBLE AS ymax FROM det""")
+def detection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a detector gave for images of 50 by 50, as rows: moved inside, named and numbered."""
+    box = F.struct(F.col("ordinal"), F.struct(*[F.col(c).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.col("predicted_class_id").cast("int").alias("class_id"), "confidence").alias("b"))
+    raw = detections(spark, sf_dir).select(F.col("image_id").cast("string").alias("image_id"), box.alias("box")).groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list("box")), lambda x: x["b"]).alias("boxes"))
+    return prediction.detection_table(raw.withColumns({"width": F.lit(50), "height": F.lit(50)}), NAMES)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT ground_truth_id, image_id::VARCHAR AS image_id, class_id::INT AS class_id, 'class ' || class_id AS class_name, xmin, ymin, xmax, ymax FROM gt")
+def ground_truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth named by the model's classes, all of which it knows."""
+    own = boxes(spark, sf_dir).select(F.col("image_id").cast("string").alias("image_id"), (F.col("box_number") - 1).alias("index"), "class_id", "xmin", "ymin", "xmax", "ymax")
+    return prediction.ground_truth_table(own, NAMES)
+
+
+PATHS_SQL = "SELECT rtrim(url, '/') || '/' || page_id || ['.PNG', '.txt', '.tiff', '.jpeg', '', '.gif', '.b.Bmp'][page_id % 7 + 1] AS path FROM pages"
+
+
+@query(f"""WITH p AS ({PATHS_SQL}), i AS (SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS ordinal FROM p WHERE lower(path) SIMILAR TO '.*\\.(jpg|jpeg|png|bmp|tif|tiff)')
+SELECT ordinal, path, printf('%s_%06d_%s', 'my_set', ordinal, regexp_replace(list_last(string_split(path, '/')), '\\.[^.]*$', '')) AS image_id FROM i""")
+def image_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images among paths, by suffix of any case, numbered in path order, with the ids of a run."""
+    suffix = F.element_at(F.array(*map(F.lit, [".PNG", ".txt", ".tiff", ".jpeg", "", ".gif", ".b.Bmp"])), (F.col("page_id") % 7 + 1).cast("int"))
+    files = table(spark, sf_dir, "pages").select(F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/"), F.col("page_id").cast("string"), suffix).alias("path"))
+    return prediction.with_image_id(sources.discover_images(files), "my set!")
+
+
+@query("""WITH o AS (SELECT DISTINCT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM orders)
+SELECT split AS place, 'image/label stem mismatch' AS message FROM o WHERE (k % 3 = 0) <> (k % 5 = 0) GROUP BY split
+UNION ALL SELECT '/out/labels/' || split || '/' || k || '.txt:2', 'invalid class' FROM o WHERE k % 5 <> 0 AND k % 7 = 0""")
+def label_tree_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third order lacks its image, every fifth its label; the second line that isn't blank of every seventh label has an unknown class."""
+    key, split = F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "train").otherwise("val")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").distinct()
+    path = lambda kind, suffix: F.concat(F.lit(f"/out/{kind}/"), split, F.lit("/"), key, F.lit(suffix))
+    tree = orders.filter("o_orderkey % 3 <> 0").select(path("images", ".png").alias("path")).unionByName(orders.filter("o_orderkey % 5 <> 0").select(path("labels", ".txt").alias("path")))
+    said = F.when(F.col("o_orderkey") % 7 == 0, "1 0.5 0.5 0.2 0.2\n\n10 0.5 0.5 0.2 0.2\n").otherwise("\n1 0.5 0.5 0.2 0.2")
+    labels = orders.filter("o_orderkey % 5 <> 0").select(path("labels", ".txt").alias("path"), F.encode(said, "UTF-8").alias("content"))
+    return sinks.label_tree_issues(sources.label_tree(tree), labels)
+
+
 # -- constraints ----------------------------------------------------------------------------
 
 

@@ -4,22 +4,41 @@ from __future__ import annotations
 
 import json
 import shutil
-from collections.abc import Iterable
-from pathlib import Path
+import uuid
+from collections.abc import Callable, Iterable
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom import staging
 from gridloom.functions import geometry, text
 from gridloom.operators import audit, constraints, matching, splits
 from gridloom.schemas import CLASSES, SPLITS
+from gridloom.sources import archives, walk
 from gridloom.sources import files as sources
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A folder of CSV files with headers; empty and null are both written as nothing."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("header", "true").option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+    """One CSV file of that very name, with a header, in the order of ``df``; empty and null are both written as nothing.
+
+    It is written beside its place and renamed once it is whole, in any store: nobody reads half a file. The Parquet tables beside such files are the form for large ones.
+    """
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(context._jsc.hadoopConfiguration())
+    if store.exists(at) and not overwrite:
+        raise FileExistsError(f"already there: {path}")
+    beside = context._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+    try:
+        df.coalesce(1).write.option("header", "true").option("lineSep", "\r\n").option("emptyValue", "").csv(beside.toString())
+        part = next(f.getPath() for f in store.listStatus(beside) if f.getPath().getName().startswith("part-"))
+        store.delete(at, True)
+        if not store.rename(part, at):
+            raise OSError(f"cannot write {path}")
+    finally:
+        store.delete(beside, True)
 
 
 def relative_to(path, root: str):
@@ -44,7 +63,7 @@ def manifest(split: DataFrame, root: str, config: splits.SplitConfig) -> DataFra
 def save_manifest(split: DataFrame, path: str, root: str, config: splits.SplitConfig | None = None, overwrite: bool = False) -> None:
     """Validate the splits, then write one file: a manifest is read in its order."""
     constraints.raise_first(constraints.split_violations(split))
-    write_csv(manifest(split, root, config or splits.SplitConfig()).coalesce(1), path, overwrite)
+    write_csv(manifest(split, root, config or splits.SplitConfig()), path, overwrite)
 
 
 def export_rows(split: DataFrame, boxes: DataFrame, images: DataFrame) -> DataFrame:
@@ -52,8 +71,10 @@ def export_rows(split: DataFrame, boxes: DataFrame, images: DataFrame) -> DataFr
 
     ``split`` has an ordinal, ``boxes`` annotation_path and box_number, ``images`` path, width and height. A background's label is empty.
     """
-    index = F.row_number().over(Window.partitionBy("split").orderBy("ordinal")) - 1
-    named = split.withColumn("output_id", F.format_string("%s_%04d_%s_%s", "split", index, text.kind_of(F.col("is_background")), text.stem(F.col("image_path"))))
+    placed = sources.with_ordinal(split, [F.col("split"), F.col("ordinal")], "_place")
+    starts = placed.groupBy("split").agg(F.min("_place").alias("_first"))  # a row per split
+    index = F.col("_place") - F.col("_first")
+    named = placed.join(starts, "split").withColumn("output_id", F.format_string("%s_%04d_%s_%s", "split", index, text.kind_of(F.col("is_background")), text.stem(F.col("image_path"))))
     sized = named.filter("not is_background").join(boxes, "annotation_path").join(images.select(F.col("path").alias("image_path"), F.col("width").alias("_w"), F.col("height").alias("_h")), "image_path")
     columns = geometry.to_normalised_strict(geometry.box(), F.col("class_id"), F.col("_w"), F.col("_h"))
     line = geometry.label_line(columns.pop("class_id"), columns)
@@ -66,43 +87,60 @@ def export_rows(split: DataFrame, boxes: DataFrame, images: DataFrame) -> DataFr
 def export_labels(split: DataFrame, boxes: DataFrame, images: DataFrame, out: str, class_names: Iterable[str]) -> dict:
     """Write the tree: images copied, label files, dataset.yaml, export_manifest.csv, export_summary.json; returns the summary.
 
-    ``out`` is a folder that driver and executors share. It must be empty, names must be ten, positives need annotations.
+    The tree is built beside its place and renamed when it is whole: ``out`` is a complete export or isn't there. Files of it are renamed
+    into place, too, so that a task that runs twice does no harm. Images come from any store that tasks can open, and ``out`` may lie in
+    one. It must be empty, names must be ten, positives need annotations.
     """
-    names = [*class_names]
+    names, spark = [*class_names], split.sparkSession
     if len(names) != CLASSES:
         raise ValueError(f"expected {CLASSES} class names")
     constraints.raise_first(constraints.split_violations(split))
     lacking = split.filter("not is_background and annotation_path is null").select("image_path").first()
     if lacking:
         raise ValueError(f"positive image without annotation: {lacking.image_path}")
-    root = Path(out).resolve()
-    if root.exists() and any(root.iterdir()):
+    root = out.rstrip("/") if "://" in out else str(Path(out).resolve())
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(path(root)) and len(store.listStatus(path(root))):
         raise FileExistsError(f"not empty: {root}")
-    for kind in ("images", "labels"):
-        for s in SPLITS:
-            (root / kind / s).mkdir(parents=True, exist_ok=True)
-    rows = export_rows(split, boxes, images)
-    target = str(root)
+    partial = f"{root}.partial-{uuid.uuid4().hex}"
+    try:
+        with staging.scratch(spark) as held:
+            rows = staging.staged(export_rows(split, boxes, images), f"{held}/rows")
+            rows.repartition(max(1, -(-rows.count() // walk.TASK_FILES), spark.sparkContext.defaultParallelism)).foreachPartition(_copies(partial))
+            write_csv(rows.drop("label").orderBy("split", "output_id"), f"{partial}/export_manifest.csv")
+        named, own = split.withColumn("path", F.col("annotation_path")), boxes.withColumnRenamed("annotation_path", "path")
+        per, classes = splits.split_summary(named, own, "path").collect(), splits.objects_by_class(named.filter("path is not null"), own, "path").collect()
+        by_class = lambda s: {str(c.class_id): c.n for c in sorted(classes, key=lambda c: c.class_id) if c.split == s}
+        summary = {"dataset_yaml": f"{root}/dataset.yaml", "export_manifest": f"{root}/export_manifest.csv", "splits": {r.split: {"images": r.images, "backgrounds": r.backgrounds, "objects": r.objects, "objects_by_class": by_class(r.split)} for r in per}}
+        described = [f"path: {root}", *(f"{s}: images/{s}" for s in SPLITS), "names:", *(f"  {k}: {n}" for k, n in enumerate(names))]
+        target, inner, _ = walk.opened(partial)
+        for name, said in (("dataset.yaml", "\n".join(described) + "\n"), ("export_summary.json", json.dumps(summary, indent=2) + "\n")):
+            archives.put(target, f"{inner}/{name}", lambda file, said=said: file.write(said.encode()))
+        store.delete(path(root), True)  # empty, or not there
+        if not store.rename(path(partial), path(root)):
+            raise OSError(f"cannot write {root}")
+    finally:
+        store.delete(path(partial), True)
+    return summary
+
+
+def _copies(root: str) -> Callable[[Iterable[Row]], None]:
+    """For foreachPartition over ``export_rows``: images copied as a stream, labels written."""
 
     def write(part: Iterable[Row]) -> None:
+        store, inner, _ = walk.opened(root)
+        for s in SPLITS:
+            for kind in ("images", "labels"):
+                store.create_dir(f"{inner}/{kind}/{s}", recursive=True)
         for r in part:
-            source = Path(r.source_image)
-            shutil.copyfile(source, Path(target, "images", r.split, r.output_id + source.suffix.lower()))
-            Path(target, "labels", r.split, r.output_id + ".txt").write_text(r.label, encoding="utf-8")
-
-    rows.foreachPartition(write)
-    (root / "dataset.yaml").write_text("\n".join([f"path: {root.as_posix()}", *(f"{s}: images/{s}" for s in SPLITS), "names:", *(f"  {k}: {n}" for k, n in enumerate(names))]) + "\n", encoding="utf-8")
-    write_csv(rows.drop("label").orderBy("split", "output_id").coalesce(1), f"{target}/export_manifest.csv")
-    named = split.withColumn("path", F.col("annotation_path"))
-    per = splits.split_summary(named, boxes.withColumnRenamed("annotation_path", "path"), "path")
-    classes = splits.objects_by_class(named.filter("path is not null"), boxes.withColumnRenamed("annotation_path", "path"), "path").collect()
-    summary = {
-        "dataset_yaml": str(root / "dataset.yaml"),
-        "export_manifest": f"{target}/export_manifest.csv",
-        "splits": {r.split: {"images": r.images, "backgrounds": r.backgrounds, "objects": r.objects, "objects_by_class": {str(c.class_id): c.n for c in sorted(classes, key=lambda c: c.class_id) if c.split == r.split}} for r in per.collect()},
-    }
-    (root / "export_summary.json").write_text(json.dumps(summary, indent=2) + "\n", encoding="utf-8")
-    return summary
+            source, image, _ = walk.opened(r.source_image)
+            suffix = PurePosixPath(image).suffix.lower()
+            with source.open_input_file(image) as file:
+                archives.put(store, f"{inner}/images/{r.split}/{r.output_id}{suffix}", lambda to, file=file: shutil.copyfileobj(file, to, 1 << 20))
+            archives.put(store, f"{inner}/labels/{r.split}/{r.output_id}.txt", lambda to, r=r: to.write(r.label.encode()))
+
+    return write
 
 
 def label_tree_issues(tree: DataFrame, labels: DataFrame) -> DataFrame:
@@ -133,7 +171,7 @@ def validate_label_tree(tree: DataFrame, labels: DataFrame, expected_images: int
 
 
 def write_inference_tables(out: str, images: DataFrame, detections: DataFrame, ground_truth: DataFrame | None = None, compared: DataFrame | None = None) -> dict:
-    """Validate, then write the tables of a prediction run; returns their counts, with all four statuses if there is a comparison."""
+    """Validate, then write the tables of a prediction run, each as CSV and as Parquet; returns their counts, with all four statuses if there is a comparison."""
     constraints.raise_first(constraints.inference_violations(images, detections))
     summary = constraints.inference_totals(images, detections).first().asDict()
     tables = {"inference_images.csv": images.orderBy("image_id"), "detections.csv": detections.orderBy("detection_id")}
@@ -144,6 +182,7 @@ def write_inference_tables(out: str, images: DataFrame, detections: DataFrame, g
         tables["prediction_comparison.csv"] = compared.orderBy("comparison_id")
         summary |= {r.status: r.n for r in matching.status_counts(compared).collect()}
     for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{out.rstrip('/')}/{name.removesuffix('.csv')}.parquet")
         write_csv(df, f"{out.rstrip('/')}/{name}")
     return summary
 

@@ -3,70 +3,47 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom import staging
 from gridloom.functions import geometry, text
 from gridloom.operators.constraints import ConstraintError
 from gridloom.schemas import CLASSES, FIRST_CLASS, IMAGE_SUFFIXES, SPLITS
+from gridloom.sources import walk
 
 #: Folder names of the source layout, and the form of a line of its annotations.
 POSITIVE, NEGATIVE, TRUTH = "positive image set", "negative image set", "ground truth"
 ANNOTATION = r"^\(\s*(\d+)\s*,\s*(\d+)\s*\),\(\s*(\d+)\s*,\s*(\d+)\s*\),\s*(\d+)\s*$"
 
 
-def _named(spark: SparkSession, root: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """All paths of Spark's file index, and the rows that its scan gives: that leaves out empty files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    paths = [(re.sub("^file:/+", "/", unquote(p)),) for p in found.inputFiles()]  # the index is on the driver anyway
-    return spark.createDataFrame(paths, "path string"), found.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+def listing(spark: SparkSession, source: str, pattern: str = "*") -> DataFrame:
+    """``path`` of all files below a folder, of those that a glob names, or one file, without opening them."""
+    return walk.listing(spark, source, pattern).select("path")
 
 
-def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path`` of all files below a folder, without opening them; names that begin with ``_`` or ``.`` aren't listed."""
-    return _named(spark, root, pattern)[0]
-
-
-def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def contents(spark: SparkSession, source: str, pattern: str = "*") -> DataFrame:
     """``path, content``; a file is one row, and an empty one has empty content."""
-    paths, found = _named(spark, root, pattern)
-    return paths.join(found.select("path", "content"), "path", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
+    return walk.contents(spark, source, pattern)
 
 
 def is_image(path: Column) -> Column:
     return text.suffix(path).isin(*IMAGE_SUFFIXES)
 
 
-def _literal(value) -> Column:
-    return F.array(*map(_literal, value)) if isinstance(value, list) else F.lit(value)
-
-
-def with_ordinal(df: DataFrame, order: list[Column], column: str = "ordinal", rows: int = 100_000, most: int = 256) -> DataFrame:
-    """Numbers from 0 in a global order, ranked range by range, so that no task sees all rows.
-
-    Bounds of ranges come from a sample by hash and are literals: a row's range depends on the row alone, however
-    often a part is computed. There are ``most`` ranges at most; large ones are sorted on disk.
-    """
+def with_ordinal(df: DataFrame, order: list[Column], column: str = "ordinal", rows: int = 100_000) -> DataFrame:
+    """Numbers from 0 in a global order. More than ``rows`` rows are dealt by ranges and staged; each range is numbered after those before it."""
     keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{k}") for k, c in enumerate(order)]))
     n = keyed.count()
-    ranges = min(most, n // rows + 1)
-    bounds: list[Column] = []
-    if ranges > 1:
-        share = min(1 << 30, int((1 << 30) * 40 * ranges / n) + 1)
-        sample = keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < share).select("_key").orderBy("_key").collect()
-        step = max(1, len(sample) // ranges)
-        bounds = [F.struct(*[_literal(v).alias(f"k{k}") for k, v in enumerate(r._key)]) for r in sample[step::step]]
-    place = F.lit(0)
-    for b in bounds:
-        place = place + (F.col("_key") >= b).cast("int")
-    ranged = keyed.withColumn("_range", place)
+    if n <= rows:
+        return keyed.withColumn(column, (F.row_number().over(Window.orderBy("_key")) - 1).cast("long")).drop("_key")
+    ranged = staging.staged(keyed.repartitionByRange(-(-n // rows) + 1, "_key").withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per range
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
     local = F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1
-    return ranged.withColumn(column, local).join(F.broadcast(before), "_range").withColumn(column, (F.col(column) + F.col("_before")).cast("long")).drop("_key", "_range", "_before")
+    return ranged.withColumn(column, local).join(before, "_range").withColumn(column, (F.col(column) + F.col("_before")).cast("long")).drop("_key", "_range", "_before")
 
 
 def discover_items(files: DataFrame) -> DataFrame:
@@ -88,6 +65,16 @@ def discover_items(files: DataFrame) -> DataFrame:
     return with_ordinal(both, [F.col("is_background"), text.components(F.col("path"))]).select("ordinal", F.col("path").alias("image_path"), "annotation_path", "is_background")
 
 
+def has_items(spark: SparkSession, root: str) -> bool:
+    """Whether a source tree is there: all three folders, by names alone."""
+    try:
+        files = listing(spark, root)
+    except FileNotFoundError:
+        return False
+    kind = F.lower(text.parent(F.col("path")))
+    return files.filter(kind.isin(POSITIVE, NEGATIVE, TRUTH)).select(kind.alias("kind")).distinct().count() == 3
+
+
 def discover_images(files: DataFrame) -> DataFrame:
     """``ordinal, path`` of the images of a listing, in path order; none is an error."""
     images = files.filter(is_image(F.col("path"))).select("path")
@@ -97,17 +84,15 @@ def discover_images(files: DataFrame) -> DataFrame:
 
 
 def source_images(spark: SparkSession, source: str) -> DataFrame:
-    """``ordinal, path`` of a source: one image, all images below a folder, or those that a glob names, in path order.
+    """``ordinal, path`` of a source: one image, all images below a folder, those that a glob names, in path order, or a URL, which the detector fetches.
 
     A source that isn't there, holds no image or is a file of another kind raises.
     """
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = store.globStatus(at)
-    if not found:
-        raise FileNotFoundError(f"no source at {source}")
-    if len(found) == 1 and found[0].isFile():
-        path = re.sub("^file:/+", "/", unquote(found[0].getPath().toString()))
+    if re.match("https?://", source):
+        return spark.createDataFrame([(0, source)], "ordinal long, path string")
+    found = walk.roots(spark, source)
+    if len(found) == 1 and not found[0][2]:
+        path = found[0][0]
         if not path.lower().endswith(IMAGE_SUFFIXES):
             raise ValueError(f"not a supported image: {path}")
         return spark.createDataFrame([(0, path)], "ordinal long, path string")
@@ -116,20 +101,20 @@ def source_images(spark: SparkSession, source: str) -> DataFrame:
 
 def is_file(spark: SparkSession, path: str) -> bool:
     """Whether a path of any store is a file; one that doesn't exist raises."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(at):
-        raise FileNotFoundError(f"nothing at {path}")
-    return store.getFileStatus(at).isFile()
+    return not walk.roots(spark, path)[0][2]
 
 
-def image_headers(spark: SparkSession, root: str) -> DataFrame:
-    """``path, width, height, mode, sha256``; width and height are -1 where an image can't be decoded, and mode is the decoder's name of the channels."""
-    decoded = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
-    mode = F.when(F.col("image.nChannels") == 1, "L").when(F.col("image.nChannels") == 3, "RGB").when(F.col("image.nChannels") == 4, "RGBA")
-    sizes = decoded.select(F.url_decode(F.regexp_replace("image.origin", "^file:/+", "/")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), mode.alias("mode"))
-    hashes = contents(spark, root).select("path", F.sha2("content", 256).alias("sha256"))
-    return hashes.filter(is_image(F.col("path"))).join(sizes, "path", "left").withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("width", "height")})
+def absolute(spark: SparkSession, path: str) -> str:
+    """A path as listings give it, relative ones below the working folder; one that doesn't exist raises."""
+    return walk.roots(spark, path)[0][0]
+
+
+def image_headers(spark: SparkSession, root: str, digest: bool = True) -> DataFrame:
+    """``path, width, height, mode, sha256, error`` of the images below a folder, read once; width and height are -1 where a file is no image.
+
+    Without ``digest`` only their first bytes are read.
+    """
+    return walk.heads_below(spark, root, is_image, digest)
 
 
 def annotation_lines(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
@@ -198,14 +183,19 @@ def source_ground_truth(boxes: DataFrame, width: Column, height: Column) -> Data
     return boxes.withColumn("class_id", guard).withColumns({c: F.col(c).cast("double") for c in ("xmin", "ymin", "xmax", "ymax")})
 
 
-def label_of(images: DataFrame, labels: DataFrame, root: str, truth_root: str, source_layout: bool) -> DataFrame:
-    """``images`` with ``annotation_path``: the label with the image's relative path, or else with its stem; none for negatives of the source layout."""
+def label_of(images: DataFrame, labels: DataFrame, root: str, truth_root: str, source_layout: bool, one: bool = False) -> DataFrame:
+    """``images`` with ``annotation_path``: the label with the image's relative path, or else with its stem; none for negatives of the source layout.
+
+    With ``one`` the file ``truth_root`` is the label, whatever its name.
+    """
     relative = F.regexp_replace(F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 30), r"\.[^./]*$", "")
     keyed = labels.filter(text.suffix(F.col("path")) == ".txt").select(F.regexp_replace(F.substring(F.col("path"), len(truth_root.rstrip("/")) + 2, 1 << 30), r"\.txt$", "").alias("_key"), F.col("path").alias("_label"))
     by_path = keyed.select(F.col("_key").alias("_rel"), F.col("_label").alias("_a"))
     by_stem = keyed.filter(~F.col("_key").contains("/")).select(F.col("_key").alias("_stem"), F.col("_label").alias("_b"))
-    joined = images.withColumns({"_rel": relative, "_stem": text.stem(F.col("path"))}).join(by_path, "_rel", "left").join(by_stem, "_stem", "left")
     negative = F.exists(F.split(F.lower("path"), "/"), lambda p: p == NEGATIVE) if source_layout else F.lit(False)
+    if one:
+        return images.withColumn("annotation_path", F.when(~negative, F.lit(truth_root)))
+    joined = images.withColumns({"_rel": relative, "_stem": text.stem(F.col("path"))}).join(by_path, "_rel", "left").join(by_stem, "_stem", "left")
     return joined.withColumn("annotation_path", F.when(~negative, F.coalesce("_a", "_b"))).drop("_rel", "_stem", "_a", "_b")
 
 

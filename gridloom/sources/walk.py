@@ -14,11 +14,10 @@ import fnmatch
 import io
 import re
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import staging
@@ -65,7 +64,7 @@ def roots(spark: SparkSession, source: str) -> list[tuple[str, int, bool]]:
     found = [store.getFileStatus(at)] if store.exists(at) else store.globStatus(at)
     if not found:
         raise FileNotFoundError(f"nothing at {source}")
-    return [(plain(unquote(f.getPath().toUri().toString())) if f.getPath().toUri().getScheme() == "file" else f.getPath().toString(), f.getLen(), f.isDirectory()) for f in found]
+    return [(plain(f.getPath().toString()), f.getLen(), f.isDirectory()) for f in found]
 
 
 def listing(spark: SparkSession, source: str, pattern: str = "*", entries: int | None = None) -> DataFrame:
@@ -86,7 +85,8 @@ def listing(spark: SparkSession, source: str, pattern: str = "*", entries: int |
 def _named(found: DataFrame, pattern: str) -> DataFrame:
     files = found.filter("not is_folder")
     if pattern != "*":
-        files = files.filter(F.element_at(F.split("path", "/"), -1).rlike(fnmatch.translate(pattern).replace("\\z", "$").replace("\\Z", "$")))
+        whole = "^" + re.sub(r"\\[zZ]$", "$", fnmatch.translate(pattern))
+        files = files.filter(F.element_at(F.split("path", "/"), -1).rlike(whole))
     return files.select("path", "size")
 
 
@@ -129,12 +129,8 @@ def _read(files: DataFrame, use: Callable[[str, int, object], tuple], schema: pa
     """``use(path, size, open)`` for every file, in tasks of a bounded number of files."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stores: dict[str, pafs.FileSystem] = {}
-
         def open_file(path: str) -> pa.NativeFile:
-            kind = path.split(":", 1)[0] if ":/" in path else ""
-            store, inner, _ = opened(path) if kind not in stores or kind else (stores[kind], path, "")
-            stores[kind] = store
+            store, inner, _ = opened(path)
             return store.open_input_file(inner)
 
         rows: list[tuple] = []
@@ -205,3 +201,10 @@ def heads_of_contents(files: DataFrame, digest: bool = True) -> DataFrame:
                 yield _batch([(path, *imageheads.inspected(io.BytesIO(content), len(content), digest))], HEAD_SCHEMA)
 
     return files.select("path", "content").mapInArrow(run, HEADS)
+
+
+def heads_below(spark: SparkSession, source: str, wanted: Callable[[Column], Column], digest: bool = True) -> DataFrame:
+    """``heads`` of the files below ``source`` whose path is ``wanted``."""
+    if not is_open(roots(spark, source)[0][0]):
+        return heads_of_contents(_by_spark(spark, source, "*").filter(wanted(F.col("path"))), digest)
+    return heads(listing(spark, source).filter(wanted(F.col("path"))), digest)
