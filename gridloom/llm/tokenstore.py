@@ -5,7 +5,9 @@ a bounded sample of serialized arrays. Shards hold documents in ascending ``doc_
 shard names its dictionary by hash and has an index of frame offsets, so that one document is
 read without touching its neighbours.
 
-Shard layout, little-endian: magic (8 bytes), dictionary hash (8), bytes per id (1), documents n (4),
+Documents without ``doc_id`` come last.
+
+Shard layout, little-endian: magic (8 bytes), dictionary hash (8), bytes per id (1), documents n (4), of these with a ``doc_id`` (4),
 then ``doc_id`` int64[n], ids per document uint32[n], frame offsets uint64[n + 1], frames.
 Shards are rows of a Parquet table and so live in any store that Spark writes; the dictionary is
 a one-row table beside them.
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.bpe import byte_symbols
 from gridloom.llm.common import SLICE, arrow_schema, by_slices, kept, shared_dir, texts_of, written
 
-MAGIC = b"GLTOKEN1"
-HEAD = struct.Struct("<8sQBI")
+MAGIC = b"GLTOKEN2"
+HEAD = struct.Struct("<8sQBII")
 #: Documents sampled for the dictionary, its size, and a shard's limits.
 SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES = 1000, 65536, 16384, 4 << 20
 LEVEL = 3
@@ -182,25 +184,26 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_
         return b""
 
 
-def pack(dictionary: bytes, width: int, ids: list[int], counts: list[int], frames: list[bytes]) -> bytes:
-    """One shard from frames in ascending document order."""
+def pack(dictionary: bytes, width: int, ids: list[int | None], counts: list[int], frames: list[bytes]) -> bytes:
+    """One shard from frames in ascending document order, those without id last."""
     offsets = np.zeros(len(frames) + 1, "<u8")
     np.cumsum([len(f) for f in frames], out=offsets[1:])
-    head = HEAD.pack(MAGIC, xxhash.xxh64_intdigest(dictionary), width, len(frames))
-    return b"".join([head, np.array(ids, "<i8").tobytes(), np.array(counts, "<u4").tobytes(), offsets.tobytes(), *frames])
+    head = HEAD.pack(MAGIC, xxhash.xxh64_intdigest(dictionary), width, len(frames), len(ids) - ids.count(None))
+    return b"".join([head, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(counts, "<u4").tobytes(), offsets.tobytes(), *frames])
 
 
 class Shard:
     """Reads single documents of a shard."""
 
     def __init__(self, blob: bytes, dictionary: bytes):
-        magic, digest, width, n = HEAD.unpack_from(blob)
+        magic, digest, width, n, self.named = HEAD.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         if digest != xxhash.xxh64_intdigest(dictionary):
             raise ValueError("the shard was written with another dictionary")
         self.blob, self.dtype, at = blob, np.dtype(f"<u{width}"), HEAD.size
         self.doc_ids = np.frombuffer(blob, "<i8", n, at)
+        self.nameless = np.arange(n) >= self.named
         self.counts = np.frombuffer(blob, "<u4", n, at + 8 * n)
         self.offsets = np.frombuffer(blob, "<u8", n + 1, at + 12 * n).astype(np.int64)
         self.base = at + 12 * n + 8 * (n + 1)
@@ -215,7 +218,7 @@ class Shard:
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
     """Encode whole texts (null: empty), end each with ``end_id``, and write shards in ascending ``doc_id``.
 
-    Rows that share an id keep one row each, ordered by their frames; a null id is refused.
+    Rows that share an id keep one row each, ordered by a hash of their frames, by which many of them are dealt, too; those without id come last.
     Encoding is done once, into a table of frames; only frames travel to their range of ids.
     """
     spark, docs = docs.sparkSession, texts_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -229,8 +232,6 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=given)
 
         def frames(rows: dict[str, list]) -> dict[str, list]:
-            if None in rows["doc_id"]:
-                raise ValueError("a document without doc_id has no place in the order")
             arrays = [a + end for a in own.arrays(rows["text"])]
             return {"doc_id": rows["doc_id"], "n_tokens": [len(a) // own.dtype.itemsize for a in arrays], "frame": [zstd.compress(a) for a in arrays]}
 
@@ -266,7 +267,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
         if ids:
             yield full()
 
-    ordered = table.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "frame")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("frame")]
+    ordered = table.repartitionByRange(parts, *order).sortWithinPartitions(*order, "frame")
     ordered.mapInArrow(shards, shard_ddl).write.mode("overwrite").parquet(f"{path}/shards")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
 
@@ -299,7 +301,8 @@ def read(spark: SparkSession, path: str, digests_only: bool = False) -> DataFram
                     arrays = [shard.ids(k).astype("<u4") for k in span]
                     last = [zlib.crc32(a.tobytes()) for a in arrays] if digests_only else [a.astype(np.int64) for a in arrays]
                     cut = slice(span.start, span.stop)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([shard.doc_ids[cut], first[cut], counts[cut], last], schema, strict=True)], schema=schema)
+                    ids = pa.array(shard.doc_ids[cut], pa.int64(), mask=shard.nameless[cut])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([ids, first[cut], counts[cut], last], schema, strict=True)], schema=schema)
 
     return store.select("part", "before", "blob").mapInArrow(documents, ddl)
 

@@ -258,7 +258,8 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, p
     A query's own row is every row with its id. Repeated rows are candidates each, and one query: of rows that share an id but not the
     vector the least vector asks. Scaled components and scores beyond a long's range count as its ends. Other columns are not read.
 
-    Every pack meets every chunk of queries, as a plain product would; bounds spare most of the products, and whole chunks of
+    Every pack meets every chunk of queries; bounds spare the products of blocks that can't reach a query's k-th score. How many that are is up to the
+    data: vectors that point in all directions alike leave every bound above it, and then this is a plain product in blocks. Whole chunks of
     ``chunk_rows`` queries share one journey of a pack, whose components travel in as few bytes as they need.
     """
     spark = table.sparkSession

@@ -26,10 +26,10 @@ def test_chunks_encode_as_whole_texts():
 def test_round_trip_in_order(spark, monkeypatch):
     monkeypatch.setattr(tokenstore, "SHARD_DOCS", 7)
     library = Tokenizer.from_file(PATH)
-    rows = [(k * 3 % 101, f"text number {k} " * (k % 5), "x") for k in range(101)] + [(5, None, "x"), (5, "again", "x")]
+    rows = [(k * 3 % 101, f"text number {k} " * (k % 5), "x") for k in range(101)] + [(5, None, "x"), (5, "again", "x")] + [(None, f"nameless {k}", "x") for k in range(20)] + [(None, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     out = tokenstore.round_trip(docs, PATH).orderBy("start").collect()
-    assert [r.doc_id for r in out] == sorted(r[0] for r in rows)
+    assert [r.doc_id for r in out] == sorted((r[0] for r in rows), key=lambda i: (i is None, i or 0))
     at = 0
     expected = {}
     for doc_id, text, _ in rows:
