@@ -288,7 +288,7 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = ROUNDS
     by_size: dict[int, list[int]] = {}
     for k, word in enumerate(words):
         by_size.setdefault(len(word), []).append(k)
-    model = Model(vocabulary, langs, np.full((pieces.n, len(langs)), 1 / pieces.n), pieces)
+    model = Model(vocabulary, langs, np.full((pieces.n, len(langs)), 1 / pieces.n), _pieces=pieces)
     for turn in range(rounds + 1):
         uses = np.zeros((pieces.n + 1, len(langs)))
         for rows in by_size.values():
@@ -324,7 +324,7 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = ROUNDS
 def train(docs: DataFrame, vocabulary: str, use: Column | None = None, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> Model:
     """Fit on about ``per_lang`` documents of each language: rows where ``use`` holds, and text and lang aren't null.
 
-    The sample is stratified by a hash of ``doc_id``, so only its words reach the driver. More than MAX_LANGS languages raise.
+    The sample is stratified by a hash of ``doc_id`` and text, so that rows without id or with one id are sampled like others, and only its words reach the driver. More than MAX_LANGS languages raise.
     """
     labelled = texts_of(docs, "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if use is None else use))
     totals = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
@@ -334,7 +334,7 @@ def train(docs: DataFrame, vocabulary: str, use: Column | None = None, per_lang:
         return Model(vocabulary, [], np.zeros((Pieces(vocabulary).n, 0)))
     span = 1 << 30
     share = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(span, int(span * per_lang / n) + 1)))])
-    picked = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(span)) < share[F.col("lang")])
+    picked = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(span)) < share[F.col("lang")])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, str]] = Counter()

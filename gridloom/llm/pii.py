@@ -34,7 +34,7 @@ NUMBER = re.compile(
     r"|(?<![\w.\-/])(?P<dmy>(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?!(?!T\d\d)\w|[\-/])"
     r"|(?<![\w\-])(?P<ssn>(?P<area>\d{3})-(?P<group>\d{2})-(?P<serial>\d{4}))(?![\w\-])"
     r"|(?<!\w)(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
-    r"|(?<!\w)(?P<phone>(?P<country>\+\d{1,3}[ .-]?)?(?P<rest>\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<!\d\d\d[ \-])\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?![ \-]\d{3})|(?<=\+)\d{8,14}))(?!\w)"
+    r"|(?<!\w)(?P<phone>(?P<country>\+\d{1,3}[ .-]?)?(?P<rest>\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?:(?<!\d\d\d[ \-])|(?<=\+\d\d\d[ \-]))\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?![ \-]\d{3})|(?<=\+)\d{8,14}))(?!\w)"
     r"|(?<!\w)(?P<e164>\+\d{8,15})(?!\w)"
 )
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -112,11 +112,22 @@ def card(value: str, key: bytes) -> str | None:
     return like(value, body + str(-luhn(body + "0") % 10))
 
 
+#: Calling codes of two digits; of one digit there are 1 and 7, all others have three.
+CODES_OF_TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def calling_code(digits: str) -> str:
+    """The country's code at the start of an international number."""
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in CODES_OF_TWO else digits[:3]
+
+
 def phone(country: str, rest: str, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", rest)
-    if not 7 <= len(digits) <= 14:
+    """The country stays, and what follows its code is permuted: one number is one pseudonym, however it is spaced."""
+    digits = re.sub(r"\D", "", country + rest)
+    code = calling_code(digits) if country else ""
+    if not 7 <= len(digits) - len(code) <= 14:
         return None
-    return country + like(rest, in_format(digits, key, "phone"))
+    return like(country + rest, code + in_format(digits[len(code) :], key, "phone"))
 
 
 def ssn(area: str, group: str, serial: str, key: bytes) -> str | None:
@@ -194,7 +205,7 @@ def number(found: tuple[tuple[str, str], ...], key: bytes) -> str | None:
     if "card" in g:
         return card(g["card"], key)
     if "e164" in g:
-        return phone(g["e164"][:2], g["e164"][2:], key)
+        return phone("+", g["e164"][1:], key)
     return phone(g.get("country", ""), g["rest"], key)
 
 

@@ -4,6 +4,8 @@ import random
 import re
 import time
 
+import pytest
+
 from gridloom.llm import pii
 
 KEY = b"test"
@@ -110,3 +112,13 @@ def test_whole_rows_against_what_was_planted(spark):
             else:
                 assert there == text
     assert len({*names.values()}) == len(names) >= 10
+
+
+@pytest.mark.parametrize("spellings", [("+44 20 7946 0958", "+442079460958", "+44 (20) 7946 0958", "+44-20-7946-0958"), ("+49 30 1234 5678", "+493012345678"), ("+1 (476) 555-6291", "+14765556291", "+1-476-555-6291"), ("+353 1234 567 890", "+3531234567890")])
+def test_one_number_is_one_pseudonym(spellings):
+    new = {pii.replaced(f"call {s} now", KEY)[0][5:-4] for s in spellings}
+    digits = {re.sub(r"\D", "", n) for n in new}
+    assert len(new) == len(spellings) and len(digits) == 1
+    own, was = digits.pop(), re.sub(r"\D", "", spellings[0])
+    assert own != was and len(own) == len(was) and own.startswith(pii.calling_code(was))
+    assert {re.sub(r"\d", "0", n) for n in new} == {re.sub(r"\d", "0", s) for s in spellings}
