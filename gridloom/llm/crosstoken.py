@@ -12,7 +12,6 @@ blocks' pairs by id pair, and then their documents by block, so no key has more
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
 
@@ -32,8 +31,6 @@ BLOCK_DOCS, BLOCK_PAIRS, STRETCH, CACHED, STRIPES, ROW_PAIRS = 4096, 2 << 20, 1
 TOGETHER = 1 << 19
 #: How B writes a space.
 MARK = "▁"
-#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A document's row, or (with ``codes``) a part of its block's pairs. ``own`` are places in the block's sorted pairs.
 LINKS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, own array<int>, times array<int>, codes array<long>, counts array<long>"
@@ -53,7 +50,6 @@ class Aligner(dict):
     def __init__(self, a_path: str, b_path: str):
         super().__init__()
         import sentencepiece
-        import tiktoken
 
         self.a = ChunkEncoder(a_path)
         special = set(self.a.special)
@@ -62,11 +58,7 @@ class Aligner(dict):
         self.n_a, self.n_b = self.a.tokenizer.get_vocab_size(), self.b.get_piece_size()
         symbol = {c: b for b, c in enumerate(byte_symbols())}
         known = {bytes(symbol[c] for c in token): k for token, k in self.a.tokenizer.get_vocab().items() if token not in special}
-        with open(a_path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
-        ranked = merged == sorted(merged)
-        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}) if ranked else None
+        self.fast = self.a.fast
         pieces = [self.b.id_to_piece(k) for k in range(self.n_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
         if any(MARK in p.lstrip(MARK) for p in pieces):

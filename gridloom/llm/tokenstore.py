@@ -26,6 +26,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -42,6 +43,8 @@ SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_DOCS, SHARD_BYTES = 1000, 65536, 16384, 4 <
 LEVEL = 3
 #: Entries that the lookup of chunks may hold before it starts anew.
 CACHED = 400_000
+#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Marks that are a pre-token of their own between letters and the end or a line. Letters below this have been letters for long.
 MARKS, LATIN = ".,\n", "\u0250"
 
@@ -88,13 +91,20 @@ class ChunkEncoder:
         self.special = [t["content"] for t in said.get("added_tokens", ())]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
-        self.model = self.tokenizer.model
+        self.model, self.fast = self.tokenizer.model, self._merges(said["model"])
         self.symbols = {b: c for b, c in enumerate(byte_symbols()) if chr(b) != c}
         self.marks = {m: self._whole(m) for m in MARKS}
         self.known = Chunks(self._chunk)
         self.odd = Chunks(lambda chunk: self._whole(" " + chunk))
         self.heads = Chunks(self._whole)
 
+    def _merges(self, model: dict) -> tiktoken.Encoding | None:
+        """The file's own merges for tiktoken, which ranks them by id; None where ids aren't in the order of merges."""
+        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        symbol = {c: b for b, c in enumerate(byte_symbols())}
+        known = {bytes(symbol[c] for c in token): k for token, k in model["vocab"].items() if token not in self.special}
+        return tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}) if merged == sorted(merged) else None
+
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
@@ -103,7 +113,9 @@ class ChunkEncoder:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str, space: str) -> bytes:
-        """Ids of a word of Latin letters, which is one pre-token: the library's merges alone, after its byte symbols."""
+        """Ids of a word of Latin letters, which is one pre-token: the merges alone, after its byte symbols."""
+        if self.fast is not None and len(word) < 500:
+            return self._bytes(self.fast.encode_ordinary(" " + word if space else word))
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.symbols)
         return self._bytes([t.id for t in self.model.tokenize(space + word)])
