@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
@@ -33,41 +34,6 @@ BLOCK, BLOCKS, PERIOD, BUCKET = 32, 1 << 20, 1000, 4096
 SMALL = 1 << 20
 
 
-def whole_shares(weights: list[float], period: int) -> list[int]:
-    """Slots of a period for each source, at least 1, largest remainders first: for a fixed period, which ``mix`` doesn't use."""
-    period = max(period, len(weights))
-    total = sum(weights)
-    exact = [w / total * period for w in weights]
-    shares = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(weights)), key=lambda k: (-(exact[k] - shares[k]), k))
-    k = 0
-    while sum(shares) < period:
-        shares[order[k % len(order)]] += 1
-        k += 1
-    while sum(shares) > period:
-        largest = max(range(len(shares)), key=lambda i: (shares[i] - exact[i] if shares[i] > 1 else -1e18, -i))
-        shares[largest] -= 1
-    return shares
-
-
-def one_period(shares: list[int]) -> list[int]:
-    """The source of each slot: earliest deadline first among released blocks, ties to the earlier source."""
-    period = sum(shares)
-    waiting = [(0, -(-period // a), k, 1) for k, a in enumerate(shares)]  # release, deadline, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, due, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, k, j))
-        due, k, j = heapq.heappop(ready)
-        out.append(k)
-        if j < shares[k]:
-            heapq.heappush(waiting, (j * period // shares[k], -(-(j + 1) * period // shares[k]), k, j + 1))
-    return out
-
-
 @dataclass(frozen=True)
 class Span:
     """A source's blocks: first.. of a source take slots start + (n // share) * period + offsets[n % share]."""
@@ -108,12 +74,13 @@ def dealt(blocks: Sequence[int], weights: Sequence[float | Fraction]) -> list[ar
 
     def window(k: int, j: int) -> tuple[int, int, int, int]:
         """Release and deadline of block j; its piece is sought from that of the block before, where it is released."""
-        w, p = weigh[k], at[k]
-        gone, rate, _, _ = pieces[p]
+        w, low = weigh[k], at[k]
+        gone, rate, _, _ = pieces[low]
         release = gone + rate * (j - 1) // w
-        while j * pieces[p][3] > pieces[p][2] * w:
-            p += 1
-        at[k] = p
+        step, high = 1, low  # mostly the same piece; else steps double until one is passed, and halves find the first that lasts long enough
+        while j * pieces[high][3] > pieces[high][2] * w:
+            low, high, step = high + 1, min(high + step, len(pieces) - 1), 2 * step
+        p = at[k] = bisect_left(pieces, True, low, high, key=lambda piece: j * piece[3] <= piece[2] * w)
         gone, rate, _, _ = pieces[p]
         return release, gone - (-rate * j // w), k, j
 
