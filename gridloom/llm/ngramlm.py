@@ -12,7 +12,8 @@ after a context sum to one (but for the rounding of codes, 1 part in 4000).
 
 Counts travel as compressed blocks of sorted keys, one per task and shard; a shard is built by one task and
 holds a bounded number of n-grams: contexts with many followers are cut by follower. Shards
-are files of the shared folder, which workers map into memory and load page by page as lookups need them.
+are files of the shared folder, which workers map into memory and load page by page as lookups need them. In a store that isn't mounted
+shards are read whole, into memory and never to a worker's disk.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from __future__ import annotations
 import json
 import math
 import mmap
-import shutil
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -46,6 +46,8 @@ SMOOTHING = ((5.0, 2.0), (3.0, 1.0), (3.0, 1.0), (3.0, 1.0))
 SHARD, GATHERED = 3_000_000, 2_000_000
 #: Documents, and characters of theirs, that are looked up together: the more, the fewer visits to each shard.
 TOGETHER, CHARACTERS = 1024, 6 << 20
+#: Shards that a worker keeps open, and bytes of them in its memory where the shared folder can't be mapped.
+OPEN, HELD = 4096, 512 << 20
 #: The hash of a text's end.
 END = np.uint64(0xE11D0F7E87)
 
@@ -125,21 +127,19 @@ def save(uri: str, meta: dict, arrays: dict[str, np.ndarray]) -> None:
     store.move(part, path)
 
 
-def load(uri: str) -> tuple[dict, dict[str, np.ndarray]]:
-    """Map a file into memory; one of a remote store is copied to a nameless local file first."""
+def load(uri: str) -> tuple[dict, dict[str, np.ndarray], int]:
+    """A file's fields, and how many bytes of it are in memory: none of a mounted store's, which is mapped, and all of another one's."""
     store, path = fs.FileSystem.from_uri(uri)
     if isinstance(store, fs.LocalFileSystem):
         with open(path, "rb") as file:
-            mapped = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+            held, taken = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), 0
     else:
-        with tempfile.TemporaryFile() as file:
-            with store.open_input_stream(path) as source:
-                shutil.copyfileobj(source, file)
-            file.flush()
-            mapped = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-    size = int.from_bytes(mapped[:8], "little")
-    head = json.loads(mapped[8 : 8 + size])
-    return head["meta"], {name: np.frombuffer(mapped, np.dtype(kind), n, 8 + size + at) for name, (at, n, kind) in head["arrays"].items()}
+        with store.open_input_stream(path) as file:
+            held = file.read()
+        taken = len(held)
+    size = int.from_bytes(held[:8], "little")
+    head = json.loads(held[8 : 8 + size])
+    return head["meta"], {name: np.frombuffer(held, np.dtype(kind), n, 8 + size + at) for name, (at, n, kind) in head["arrays"].items()}, taken
 
 
 def fields(name: str, ef: EliasFano) -> tuple[dict, dict[str, np.ndarray]]:
@@ -215,13 +215,20 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
-        self._shards: dict[tuple[int, int], tuple[dict, dict, EliasFano]] = {}
+        self._shards: OrderedDict[tuple[int, int], tuple[dict, dict, EliasFano, int]] = OrderedDict()
+        self._taken = 0
 
     def shard(self, level: int, k: int) -> tuple[dict, dict[str, np.ndarray], EliasFano]:
-        if (level, k) not in self._shards:
-            meta, arrays = load(f"{self.model.root}/level-{level}/{k}")
-            self._shards[level, k] = meta, arrays, restored("keys", meta, arrays)
-        return self._shards[level, k]
+        """A shard's fields and keys; those used least lately go when there are more than OPEN, or more than HELD bytes in memory."""
+        if (level, k) in self._shards:
+            self._shards.move_to_end((level, k))
+        else:
+            meta, arrays, taken = load(f"{self.model.root}/level-{level}/{k}")
+            self._taken += taken
+            while self._shards and (len(self._shards) >= OPEN or self._taken > HELD):
+                self._taken -= self._shards.popitem(last=False)[1][3]
+            self._shards[level, k] = meta, arrays, restored("keys", meta, arrays), taken
+        return self._shards[level, k][:3]
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1 if unknown) and count of distinct words, by hash."""

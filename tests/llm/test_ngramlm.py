@@ -2,9 +2,11 @@
 
 import math
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from gridloom.llm import ngramlm
@@ -75,3 +77,21 @@ def test_nothing_to_learn_from(spark):
     row = ngramlm.score(docs, ngramlm.train(docs, F.lit(False))).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.score == row.base_score == 0.0
     assert ngramlm.score(docs.limit(0), ngramlm.train(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_few_shards_are_held(spark, monkeypatch, mounted):
+    model = ngramlm.train(spark.createDataFrame(DOCS, "doc_id long, text string"), shard=50)
+    texts = [text for _, text in DOCS]
+    whole, few = ngramlm.Reader(model), ngramlm.Reader(model)
+    expected = [x.tolist() for x in whole.of_texts(texts)]
+    if mounted:
+        monkeypatch.setattr(ngramlm, "OPEN", 2)
+    else:  # a store that Python can't map: files are read into memory, of which there is little
+        monkeypatch.setattr(ngramlm, "fs", SimpleNamespace(FileSystem=fs.FileSystem, LocalFileSystem=()))
+        monkeypatch.setattr(ngramlm, "HELD", 1)
+    assert [x.tolist() for x in few.of_texts(texts)] == expected
+    for level, cut in enumerate(model.levels, 2):
+        children = [few.shard(level, k)[2].n for k in range(cut.shards) if cut.first[k] < cut.first[k + 1]]
+        assert sum(children) == cut.nodes and len(few._shards) <= 2 and few._taken >= 0
+    assert (few._taken == 0) == mounted
