@@ -89,7 +89,8 @@ def most_common(counts: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def mode_histogram(images: DataFrame) -> DataFrame:
-    return images.groupBy("mode").agg(F.count("*").alias("n"))
+    """How many images have which mode; those that can't be read have none and aren't counted."""
+    return images.filter("mode is not null").groupBy("mode").agg(F.count("*").alias("n"))
 
 
 def objects_per_image(images: DataFrame, boxes: DataFrame, key: str = "image_path") -> DataFrame:

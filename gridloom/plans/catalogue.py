@@ -19,6 +19,7 @@ from gridloom.sinks import files as sinks
 from gridloom.sources import files as sources
 
 W, H = 200, 200
+CORNERS = ("xmin", "ymin", "xmax", "ymax")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -567,6 +568,114 @@ def label_tree_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.label_tree_issues(sources.label_tree(tree), labels)
 
 
+# -- source trees ---------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT doc_id, l.doc_id IS NULL AS bg FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE doc_id % 5 <> 0),
+i AS (SELECT '/set/' || CASE WHEN bg THEN 'Negative image set/' ELSE 'positive image set/' END || doc_id || CASE WHEN doc_id % 5 = 1 THEN '.JPG' ELSE '.png' END AS image_path,
+    CASE WHEN NOT bg AND doc_id % 3 <> 0 THEN '/set/Ground Truth/' || doc_id || '.txt' END AS annotation_path, bg AS is_background FROM d)
+SELECT row_number() OVER (ORDER BY is_background, image_path) - 1 AS ordinal, * FROM i""")
+def dataset_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a source tree: every fifth is no image, every third has no annotation, and names that aren't numbers or lie deeper don't count."""
+    key = F.col("doc_id").cast("string")
+    kind = F.when(F.col("is_background"), "Negative image set").otherwise("positive image set")
+    suffix = F.when(F.col("doc_id") % 5 == 0, ".gif").when(F.col("doc_id") % 5 == 1, ".JPG").otherwise(".png")
+    docs = items(spark, sf_dir)
+    images = docs.select(F.concat(F.lit("/set/"), kind, F.lit("/"), key, suffix).alias("path"))
+    deeper = docs.select(F.concat(F.lit("/set/"), kind, F.lit("/more/"), key, F.lit(".png")).alias("path"))
+    truth = docs.select(F.concat(F.lit("/set/Ground Truth/"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("v"), key)).otherwise(key), F.lit(".txt")).alias("path"))
+    return sources.discover_items(images.unionByName(deeper).unionByName(truth))
+
+
+LABEL_FILES_SQL = (
+    LINES_SQL
+    + """, truth AS (
+    SELECT image_id, '/out/labels/' || CASE WHEN image_id % 2 = 0 THEN 'train' ELSE 'val' END || '/' || image_id || '.txt' AS path, box_number, class_id, xmin, ymin, xmax, ymax FROM boxes
+)"""
+)
+
+
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content`` of label files that hold the boxes of each order, with a blank line after the first; orders without line items have an empty file."""
+    own = boxes(spark, sf_dir)
+    shares = geometry.to_normalised(geometry.box(), F.col("width"), F.col("height"))
+    line = geometry.label_line(F.col("class_id"), shares)
+    texts = own.groupBy(F.col("image_id").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("box_number", line.alias("line")))).alias("all"))
+    said = F.concat(F.get("all", F.lit(0))["line"], F.lit("\n\n"), F.array_join(F.transform(F.slice("all", 2, 1 << 30), lambda x: x["line"]), "\n"))
+    split = F.when(F.col("o_orderkey") % 2 == 0, "train").otherwise("val")
+    every = table(spark, sf_dir, "orders").select("o_orderkey").distinct().join(texts, "o_orderkey", "left")
+    return every.select("o_orderkey", F.concat(F.lit("/out/labels/"), split, F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce(said, F.lit("")), "UTF-8").alias("content"))
+
+
+@query(f"WITH {LABEL_FILES_SQL} SELECT path, (box_number - 1)::INT AS index, class_id, xmin::DOUBLE AS xmin, ymin::DOUBLE AS ymin, xmax::DOUBLE AS xmax, ymax::DOUBLE AS ymax FROM truth")
+def label_file_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes written as label files and read back as ground truth in pixels: classes from 0 that a detector may know or not."""
+    lines_of = sources.parsed_labels(sources.annotation_lines(label_files(spark, sf_dir)))
+    back = sources.label_boxes(lines_of, F.lit(W), F.lit(H))
+    return back.select("path", "index", F.col("class_id").cast("long").alias("class_id"), *[F.round(c, 4).alias(c) for c in CORNERS])
+
+
+@query(f"WITH {LINES_SQL} SELECT image_id, box_number, class_id % 10 AS class_id, xmin::DOUBLE AS xmin, ymin::DOUBLE AS ymin, xmax::DOUBLE AS xmax, ymax::DOUBLE AS ymax FROM boxes")
+def source_truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source annotations with classes from 1 as ground truth with classes from 0."""
+    own = boxes(spark, sf_dir).withColumn("class_id", F.col("class_id") % 10 + 1)
+    return sources.source_ground_truth(own, F.col("width"), F.col("height")).select("image_id", "box_number", "class_id", *CORNERS)
+
+
+@query(f"""WITH {LABEL_FILES_SQL}, o AS (SELECT DISTINCT o_orderkey AS k FROM orders)
+SELECT 'images' AS figure, '' AS key, count(*) AS n FROM o WHERE k % 4 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'labels', '', count(*) FROM o HAVING count(*) > 0
+UNION ALL SELECT 'backgrounds', '', count(*) FROM o WHERE k NOT IN (SELECT image_id FROM boxes) HAVING count(*) > 0 UNION ALL SELECT 'class', class_id::VARCHAR, count(*) FROM truth GROUP BY class_id""")
+def label_tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of an exported tree in which every fourth image is lacking; classes beyond the known ones count, too."""
+    labels = label_files(spark, sf_dir)
+    image = F.regexp_replace(F.regexp_replace("path", "/labels/", "/images/"), r"\.txt$", ".png")
+    tree = labels.select("path").unionByName(labels.filter("o_orderkey % 4 <> 0").select(image.alias("path")))
+    return sinks.label_tree_totals(sources.label_tree(tree), labels.select("path", "content"))
+
+
+@query("""WITH n AS (SELECT CASE page_id % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'jpg' WHEN 2 THEN 'txt' ELSE 'other' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'named' ELSE 'numeric' END AS stem FROM pages)
+SELECT kind, stem, count(*) AS n FROM n GROUP BY kind, stem""")
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of four suffixes, every third with a letter in its stem."""
+    suffix = F.element_at(F.array(*map(F.lit, [".JPG", ".jpeg", ".txt", ".png"])), (F.col("page_id") % 4 + 1).cast("int"))
+    stem = F.concat(F.when(F.col("page_id") % 3 == 0, "p").otherwise(""), F.col("page_id").cast("string"))
+    return audit.inventory(table(spark, sf_dir, "pages").select(F.concat(F.lit("/site/"), stem, suffix).alias("path")))
+
+
+@query("SELECT CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'L' ELSE 'RGB' END AS mode, count(*) AS n FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1")
+def mode_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as images of two modes, every fourth unreadable."""
+    key = F.col("doc_id") % 4
+    return audit.mode_histogram(table(spark, sf_dir, "documents").select(F.when(key == 1, "L").when(key != 0, "RGB").alias("mode")))
+
+
+class Ruled:
+    """A detector whose boxes follow from the number that names an image: three apart from each other and one that mostly covers the first."""
+
+    names = {k: f"class {k}" for k in range(12)}
+    device = "rule"
+
+    def predict(self, paths: list[str]) -> list[prediction.Found]:
+        return [self._one(int(path.rsplit("/", 1)[1].split(".")[0])) for path in paths]
+
+    def _one(self, k: int) -> prediction.Found:
+        boxes = [(60.0 * j, 10.0, 60.0 * j + 50, 60.0) for j in range(3)] + [(2.0, 10.0, 52.0, 60.0)]
+        return prediction.Found(W, H, boxes, [(k + j) % 12 for j in range(3)] + [k % 12], [(k + 31 * j) % 100 / 100 for j in range(4)])
+
+
+@query("""WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders), b AS (
+    SELECT k, j, CASE WHEN j = 3 THEN k % 12 ELSE (k + j) % 12 END AS c, ((k + 31 * j) % 100) / 100.0::DOUBLE AS p, CASE WHEN j = 3 THEN 2 ELSE 60 * j END AS x FROM o, range(4) r(j)
+), strong AS (SELECT * FROM b WHERE p > 0.25::DOUBLE), kept AS (
+    SELECT * FROM strong s WHERE NOT (j IN (0, 3) AND EXISTS (SELECT 1 FROM strong t WHERE t.k = s.k AND t.j = 3 - s.j AND t.p > s.p))
+) SELECT printf('%d_det_%04d', k, row_number() OVER (PARTITION BY k ORDER BY p DESC) - 1) AS detection_id, k::VARCHAR AS image_id, c::INT AS predicted_class_id, 'class ' || c AS predicted_class_name, p AS confidence,
+    x::DOUBLE AS xmin, 10::DOUBLE AS ymin, (x + 50)::DOUBLE AS xmax, 60::DOUBLE AS ymax FROM kept""")
+def predicted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as images through a detector, with the thresholds of a run: weak boxes go, then those that a stronger one of their class covers."""
+    images = table(spark, sf_dir, "orders").select("o_orderkey").distinct().select(F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("/set/"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("path"))
+    raw = prediction.predict(images, Ruled, prediction.Options(confidence=0.25, overlap=0.7))
+    return prediction.detection_table(raw.withColumn("image_id", text.stem(F.col("path"))), Ruled.names)
+
+
 # -- constraints ----------------------------------------------------------------------------
 
 

@@ -203,7 +203,7 @@ def export_predictions(spark: SparkSession, source: str, dataset_id: str, load:
 
 def evaluate(detections: DataFrame, ground_truth: DataFrame, split: str, confirm_test: bool = False) -> dict:
     """AP50 and AP50-95; a test split needs confirmation."""
-    if split == "test" and not confirm_test:
+    if constraints.split_name(split) == "test" and not confirm_test:
         raise constraints.ConstraintError("evaluating the test split needs confirm_test")
     return evaluation.mean_average_precision(detections, ground_truth)
 

@@ -153,14 +153,23 @@ def label_tree_issues(tree: DataFrame, labels: DataFrame) -> DataFrame:
     return stems.select(F.col("split").alias("place"), F.lit("image/label stem mismatch").alias("message")).unionByName(per_line)
 
 
+def label_tree_totals(tree: DataFrame, labels: DataFrame) -> DataFrame:
+    """``figure, key, n`` of an exported tree: images, labels, backgrounds (labels without a line) and the objects of each class, in one job. Figures of nothing have no row."""
+    nothing = text.stripped(text.decoded(F.col("content"))) == ""
+    files = tree.select(F.col("kind").alias("figure"), F.lit("").alias("key"))
+    backgrounds = labels.filter(nothing).select(F.lit("backgrounds").alias("figure"), F.lit("").alias("key"))
+    usable = sources.parsed_labels(sources.annotation_lines(labels)).filter("usable")
+    objects = usable.select(F.lit("class").alias("figure"), F.col("class_id").cast("string").alias("key"))
+    return files.unionByName(backgrounds).unionByName(objects).groupBy("figure", "key").agg(F.count("*").alias("n"))
+
+
 def validate_label_tree(tree: DataFrame, labels: DataFrame, expected_images: int | None = None, expected_objects: int | None = None, expected_backgrounds: int | None = None) -> dict:
     """Totals of an exported tree; raises with the first 20 issues if there are any. Totals of nothing are left out, as no file counted them."""
-    kinds = {r.kind: r.n for r in tree.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    lines = sources.parsed_labels(sources.annotation_lines(labels))
-    backgrounds = labels.filter(text.stripped(text.decoded(F.col("content"))) == "").count()
-    classes = {r.class_id: r.n for r in audit.class_counts(lines.filter("usable")).orderBy("class_id").collect()}
-    totals = {"images": kinds.get("images", 0), "labels": kinds.get("labels", 0)}
-    totals |= {k: n for k, n in (("backgrounds", backgrounds), ("objects", sum(classes.values()))) if n}
+    rows = label_tree_totals(tree, labels).collect()  # a row per kind and class
+    classes = {int(r.key): r.n for r in sorted((r for r in rows if r.figure == "class"), key=lambda r: int(r.key))}
+    counts = {r.figure: r.n for r in rows if r.figure != "class"}
+    totals = {"images": counts.get("images", 0), "labels": counts.get("labels", 0)}
+    totals |= {k: n for k, n in (("backgrounds", counts.get("backgrounds", 0)), ("objects", sum(classes.values()))) if n}
     issues = [f"{r.place}: {r.message}" for r in label_tree_issues(tree, labels).orderBy("place", "message").limit(20).collect()]
     issues += [f"expected {want} {k}, found {totals.get(k, 0)}" for k, want in (("images", expected_images), ("objects", expected_objects), ("backgrounds", expected_backgrounds)) if want is not None and totals.get(k, 0) != want]
     if totals["images"] != totals["labels"]:

@@ -114,3 +114,9 @@ def test_safe_components():
     assert runs.safe_component(" a b/c. ") == "a_b_c"
     with pytest.raises(ValueError, match="folder"):
         runs.safe_component("..")
+
+
+@pytest.mark.parametrize("spelled", ["test", "TEST", " Test "])
+def test_evaluation_of_test_images_needs_confirmation_however_it_is_spelled(spelled):
+    with pytest.raises(ConstraintError, match="confirm_test"):
+        jobs.evaluate(None, None, spelled)
