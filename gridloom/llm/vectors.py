@@ -6,8 +6,9 @@ the first table where it meets. Equal vectors are one for all of this. Buckets l
 into tiles of block against block; a bucket gives counts and a few links, never all its pairs.
 
 Top-k: vectors are packed into blocks that know the least and greatest value of each dimension.
-A query visits a pack's blocks by descending bound, the sum of each dimension's best product, and stops
-where bounds fall below its k-th score. Queries travel in chunks, so that each task holds one of each.
+A query visits only blocks whose bound, the sum of each dimension's best product, reaches its k-th score.
+Queries travel in chunks, packs in lanes of a few; every chunk meets every lane in a task of its own, which holds one
+pack and one chunk at a time. Only numbers of chunks and lanes are broadcast.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from gridloom.llm.components import components, forest
 TABLES, SIGNS = 20, 16
 #: Vectors of one side of a tile.
 TILE = 1024
-#: Vectors per pack and per block of a pack, and queries per chunk.
-PACK, BLOCK, CHUNK = 4096, 64, 4096
+#: Vectors per pack and per block of a pack, queries per chunk, and packs per lane.
+PACK, BLOCK, CHUNK, LANE = 4096, 64, 16384, 16
+#: Components of a pack or chunk at most, so that long vectors travel in smaller ones.
+CELLS = 1 << 20
 
 
 def usable(vector: str) -> Column:
@@ -176,7 +179,9 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of whole numbers, exactly: in doubles while no sum can leave their exact range, else in whole numbers of 64 bits, else of any size."""
+    """a @ b.T of whole numbers, exactly: in floats or doubles while no sum can leave their exact range, else in whole numbers of 64 bits, else of any size."""
+    if a.dtype == b.dtype == np.float32:  # as ``light`` found
+        return a @ b.T
     most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
@@ -185,6 +190,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(a.astype(object) @ b.astype(object).T, LOWEST + 1, HIGHEST).astype(np.int64)
 
 
+def light(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as floats if none of their products, partial sums too, leaves the whole numbers that these hold; else as they are."""
+    longest = lambda v: float(np.sqrt(np.square(v.astype(float)).sum(1).max(initial=0)))
+    return (a.astype(np.float32), b.astype(np.float32)) if longest(a) * longest(b) < 2**24 - 1 else (a, b)
+
+
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sums of longs that stay at the ends of their range."""
     out = a.astype(float) + b.astype(float)
@@ -228,29 +239,46 @@ class Best:
 
 
 def search(pack_: Pack, queries: np.ndarray, best: Best) -> int:
-    """Offer to each query what the pack may add, blocks by descending bound; returns how many block visits that took."""
+    """Offer to each query what the pack may add; returns how many block visits that took.
+
+    A query's first visit is the block with its highest bound. Then blocks come one by one, for the queries whose k-th score their bound
+    reaches, and only scores that enter a query's best are offered.
+    """
     if not len(pack_.begins) or not len(queries):
         return 0
     bounds = pack_.bounds(queries)
-    order = np.argsort(-bounds, axis=1, kind="stable")
+    first = bounds.argmax(1)
+    asked, values = light(queries, pack_.values)
     visits = 0
-    for turn in range(order.shape[1]):
-        block = order[:, turn]
-        live = np.flatnonzero(bounds[np.arange(len(queries)), block] >= best.scores[:, -1])
-        if not len(live):
-            break
+
+    def visit(b: int, live: np.ndarray) -> None:
+        nonlocal visits
         visits += len(live)
-        for b in np.unique(block[live]):
-            rows = live[block[live] == b]
-            cut = slice(pack_.begins[b], pack_.ends[b])
-            ids, scores = pack_.ids[cut], products(queries[rows], pack_.values[cut])
-            own = ids[None, :] == best.queries[rows][:, None]
-            scores = np.where(own, LOWEST, scores)
-            best.offer(rows, np.where(own, NO_ID, np.broadcast_to(ids, own.shape)), scores)
+        cut = slice(pack_.begins[b], pack_.ends[b])
+        ids, scores = pack_.ids[cut], products(asked[live], values[cut])
+        worst = best.scores[live, -1]
+        # floats hold all scores that they came from; what is below these stands below -(1 << 24)
+        least = np.maximum(worst, -(1 << 25)).astype(np.float32) if scores.dtype == np.float32 else worst
+        rows, columns = np.nonzero(scores >= least[:, None])
+        enters = (scores[rows, columns] > least[rows]) | (worst[rows] == LOWEST) | (ids[columns] < best.ids[live[rows], -1])
+        enters &= ids[columns] != best.queries[live[rows]]
+        some = np.unique(rows[enters])
+        if len(some):
+            offered, own = scores[some].astype(np.int64), ids[None, :] == best.queries[live[some]][:, None]
+            best.offer(live[some], np.where(own, NO_ID, ids[None, :]), np.where(own, LOWEST, offered))
+
+    for b in np.unique(first):
+        live = np.flatnonzero((first == b) & (bounds[:, b] >= best.scores[:, -1]))
+        if len(live):
+            visit(b, live)
+    for b in range(len(pack_.begins)):
+        live = np.flatnonzero((first != b) & (bounds[:, b] >= best.scores[:, -1]))
+        if len(live):
+            visit(b, live)
     return visits
 
 
-def top_k(table: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, pack_rows: int = PACK, chunk_rows: int = CHUNK) -> DataFrame:
+def top_k(table: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, pack_rows: int = PACK, chunk_rows: int = CHUNK, lane_packs: int = LANE) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row where ``queries`` holds, the ``k`` other rows with the highest inner
     product of components floor(scale * x), ties to the smaller id; fewer if there are no more.
 
@@ -259,32 +287,45 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, p
     vector the least vector asks. Scaled components and scores beyond a long's range count as its ends. Other columns are not read.
 
     Every pack meets every chunk of queries; bounds spare the products of blocks that can't reach a query's k-th score. How many that are is up to the
-    data: vectors that point in all directions alike leave every bound above it, and then this is a plain product in blocks. Whole chunks of
-    ``chunk_rows`` queries share one journey of a pack, whose components travel in as few bytes as they need.
+    data: vectors that point in all directions alike leave every bound above it, and then this is a plain product in blocks. A chunk of
+    ``chunk_rows`` queries meets a lane of ``lane_packs`` packs in one task; components travel in as few bytes as they need.
     """
     spark = table.sparkSession
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("long"))
     rows = table.filter("vec_id is not null").filter(usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), queries.alias("q"))
-    ddl = "number int, raw binary"
+    ddl = "lane long, raw binary"
+
+    def packed(size: int, packs: int):
+        """Packs as rows; each ``packs`` of a task have a number, from 0, of their own."""
 
-    def packed(size: int):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, values = [], []
+            ids, values, held, wide, done = [], [], 0, 0, 0
 
             def full() -> pa.RecordBatch:
-                wide = max(map(len, values))
-                raw = pack(np.array(ids, np.int64), np.array([[*v, *[0] * (wide - len(v))] for v in values], np.int64).reshape(len(ids), wide))
+                nonlocal held, wide, done
+                raw = pack(np.concatenate(ids), np.concatenate([np.pad(v, ((0, 0), (0, wide - v.shape[1]))) for v in values]))
                 ids.clear()
                 values.clear()
-                return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([raw])], schema=arrow_schema(ddl))
+                held, wide, done = 0, 0, done + 1
+                return pa.RecordBatch.from_arrays([pa.array([(done - 1) // packs]), pa.array([raw])], schema=arrow_schema(ddl))
 
             for batch in batches:
-                for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids.append(i)
-                    values.append(v)
-                    if len(ids) >= size:
-                        yield full()
-            if ids:
+                names, ends, flat = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+                if not len(names):
+                    continue
+                cuts = [0, *(np.flatnonzero(np.diff(ends, 2)) + 1).tolist(), len(names)]  # stretches of vectors of one length
+                for at, to in zip(cuts, cuts[1:], strict=False):
+                    same = flat[ends[at] : ends[to]].reshape(to - at, int(ends[at + 1] - ends[at]))
+                    while at < to:
+                        most = min(size, max(1, CELLS // max(1, wide, same.shape[1])))
+                        if held >= most:
+                            yield full()
+                            continue
+                        take = min(to - at, most - held)
+                        ids.append(names[at : at + take])
+                        values.append(same[len(same) - (to - at) :][:take])
+                        at, held, wide = at + take, held + take, max(wide, same.shape[1])
+            if held:
                 yield full()
 
         return run
@@ -292,37 +333,41 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, p
     root = shared_dir(spark)
     n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
     spread = F.xxhash64("vec_id")
-    docs = rows.select("vec_id", "v").repartition(max(1, -(-n // pack_rows)), spread).mapInArrow(packed(pack_rows), ddl)
-    chunks = rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v")).repartition(max(1, -(-asked // chunk_rows)), spread).mapInArrow(packed(chunk_rows), ddl)
-    numbered = F.monotonically_increasing_id()
-    docs = written(docs.select(numbered.alias("pack"), "raw"), "packs", root)
-    chunks = written(chunks.select(numbered.alias("chunk"), "raw"), "chunks", root)
-    # each chunk goes to each pack: packs are dealt into as many lanes as there are packs, and every chunk visits every lane
-    names = [r[0] for r in docs.select("pack").orderBy("pack").collect()]  # a number per pack
-    lanes = spark.createDataFrame([(p, k) for k, p in enumerate(names)], "pack long, lane int")
-    sent = chunks.select("chunk", F.col("raw").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(max(0, len(names) - 1)))).alias("lane"))
-    pairs = docs.join(lanes, "pack").join(sent, "lane").repartition("chunk", "lane").sortWithinPartitions("chunk", "lane").select("chunk", "raw", "asked")
+    # a task makes the packs of about a lane, fewer where cores would idle
+    tasks = lambda m, size: max(1, -(-m // (size * lane_packs)), min(-(-m // size), spark.sparkContext.defaultParallelism))
+    docs = rows.select("vec_id", "v").repartition(tasks(n, pack_rows), spread).mapInArrow(packed(pack_rows, lane_packs), ddl)
+    chunks = rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v")).repartition(max(1, -(-asked // (chunk_rows * lane_packs))), spread).mapInArrow(packed(chunk_rows, 1), ddl)
+    number = (F.spark_partition_id().cast("long") * (1 << 32) + F.col("lane"))
+    docs = written(docs.select(number.alias("lane"), "raw"), "packs", root)
+    chunks = written(chunks.select(number.alias("chunk"), "raw"), "chunks", root)
+    # every chunk goes to every lane once, every pack to every chunk; numbers alone are broadcast
+    lanes, numbers = docs.select("lane").distinct(), chunks.select("chunk").distinct()
+    meetings = lanes.count() * numbers.count()
+    sent = chunks.crossJoin(F.broadcast(lanes)).select("chunk", "lane", F.lit(True).alias("asks"), "raw")
+    came = docs.crossJoin(F.broadcast(numbers)).select("chunk", "lane", F.lit(False).alias("asks"), "raw")
+    # more tasks than meetings, so that few share one
+    pairs = sent.unionByName(came).repartition(max(1, 4 * meetings), "chunk", "lane").sortWithinPartitions("chunk", "lane", F.desc("asks"))
     found_ddl = "query_id long, vec_id long, score long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(found_ddl)
-        now, best, values = None, None, None
+        best, values = None, None
 
         def done() -> pa.RecordBatch:
             some = best.ids != NO_ID
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.queries, some.sum(1))), pa.array(best.ids[some]), pa.array(best.scores[some])], schema=schema)
 
         for batch in batches:
-            for chunk, raw, asked in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True):
-                if chunk != now:
+            for asks, raw in zip(batch.column(2), batch.column(3), strict=True):
+                ids, own = unpack(raw.as_buffer())
+                if asks.as_py():  # the chunk comes first, then the packs of its lane
                     if best is not None:
                         yield done()
-                    ids, values = unpack(asked)
-                    now, best = chunk, Best(ids, k)
-                own_ids, own_values = unpack(raw)
-                wide = max(values.shape[1], own_values.shape[1])
+                    values, best = own, Best(ids, k)
+                    continue
+                wide = max(values.shape[1], own.shape[1])
                 pad = lambda a: np.pad(a, ((0, 0), (0, wide - a.shape[1])))  # noqa: E731, B023
-                search(Pack(own_ids, pad(own_values)), pad(values), best)
+                search(Pack(ids, pad(own)), pad(values), best)
         if best is not None:
             yield done()
 

@@ -66,6 +66,30 @@ def test_top_k(spark):
     assert vectors.top_k(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_broadcasts_numbers_only(spark):
+    """What a broadcast holds passes the driver; vectors of every meeting of a chunk with a lane are the square of the table."""
+    rows = [(i, [float((i // 3 * k) % 7 - 3) / 8 for k in range(6)]) for i in range(90)]  # three of each, so that ties cross lanes
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    out = vectors.top_k(table, F.col("vec_id") % 4 == 0, k=5, pack_rows=7, chunk_rows=5)
+    found = {}
+    for r in sorted(out.collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    whole = {i: np.array([math.floor(256 * x) for x in v]) for i, v in rows}
+    assert found == {q: sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5] for q in whole if q % 4 == 0}
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines()
+    broadcast = [plan[k + 1] for k, line in enumerate(plan) if ") BroadcastExchange" in line]
+    assert broadcast
+    assert not [line for line in broadcast if "raw" in line or "asked" in line]
+
+
+def test_products_are_exact_at_the_end_of_floats():
+    for most in (2047, 2048, 4095, 1 << 20, 1 << 33):
+        a = np.array([[most, most - 1, 1], [-most, 1, 0], [1, 0, 0]])
+        asked, values = vectors.light(a, a)
+        assert vectors.products(asked, values).astype(object).tolist() == (a.astype(object) @ a.astype(object).T).clip(-(1 << 63) + 1, (1 << 63) - 1).tolist()
+        assert (asked.dtype == np.float32) == (most < 4095 and 2 * most * most < 2**24)
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(0)
     centres = rng.integers(-100, 100, (8, 12))
