@@ -38,8 +38,9 @@ def stripped(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; a last line end begins no further line."""
-    cut = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    whole = lambda cut: F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    # a text is cut once: in a generator each mention of an expression is work of its own
+    return F.get(F.transform(F.array(F.split(text, LINE_END, -1)), whole), F.lit(0))
 
 
 def decoded(content: Column) -> Column:

@@ -17,6 +17,8 @@ from gridloom.sources import walk
 #: Folder names of the source layout, and the form of a line of its annotations.
 POSITIVE, NEGATIVE, TRUTH = "positive image set", "negative image set", "ground truth"
 ANNOTATION = r"^\(\s*(\d+)\s*,\s*(\d+)\s*\),\(\s*(\d+)\s*,\s*(\d+)\s*\),\s*(\d+)\s*$"
+#: A label line of five numbers without exponents, nan or inf.
+PLAIN_LABEL = r"^[0-9]+(?:\s+-?[0-9]+\.[0-9]+){4}$"
 
 
 def listing(spark: SparkSession, source: str, pattern: str = "*") -> DataFrame:
@@ -120,7 +122,8 @@ def image_headers(spark: SparkSession, root: str, digest: bool = True) -> DataFr
 def annotation_lines(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     """``path, line, said``: non-blank lines, stripped, with their number from 1; blank ones count."""
     rows = files.select(F.col(path).alias("path"), F.posexplode(text.lines(text.decoded(F.col(content)))).alias("k", "raw"))
-    return rows.select("path", (F.col("k") + 1).alias("line"), text.stripped(F.col("raw")).alias("said")).filter("said != ''")
+    # of white space only these can end a line that is cut already
+    return rows.select("path", (F.col("k") + 1).alias("line"), F.trim("raw", F.lit(" \t")).alias("said")).filter("said != ''")
 
 
 def parsed_annotations(lines: DataFrame) -> DataFrame:
@@ -146,30 +149,36 @@ def annotation_boxes(parsed: DataFrame) -> DataFrame:
 
 def parsed_labels(lines: DataFrame) -> DataFrame:
     """Label lines with class, centre and size, and ``issues``: everything that is wrong with a line."""
-    f = F.split("said", r"\s+")
-    five = F.size(f) == 5
-    values = [F.when(five, text.integer(F.get(f, F.lit(0)))).alias("class_id")] + [F.when(five, text.number(F.get(f, F.lit(k)))).alias(c) for k, c in enumerate(("x_center", "y_center", "width", "height"), 1)]
-    # the generator keeps the optimiser from copying the parsing into each of the checks below
-    out = lines.select("*", F.explode(F.array(F.struct(*values))).alias("_v")).select(*lines.columns, "_v.*")
+    f, five = F.col("_f"), F.size("_f") == 5
+    # one lambda for the four numbers: with all of them written out, the method that Spark generates for a stage passes 8000 bytes and the JVM only interprets it.
+    # most lines are plain decimals, which one look at the line tells
+    shares = F.when(F.col("said").rlike(PLAIN_LABEL), F.slice(f, 2, 4).try_cast("array<double>")).otherwise(F.transform(F.slice(f, 2, 4), text.number))
+    values = [F.when(five, text.integer(F.get(f, F.lit(0)))).alias("class_id"), F.when(five, shares).alias("shares")]
+    # fields are cut once, and the generator keeps the optimiser from copying the parsing into each of the checks below
+    cut = lines.withColumn("_f", F.split(F.regexp_replace("said", r"\s+", " "), " ")).select(*lines.columns, five.alias("_five"), F.explode(F.array(F.struct(*values))).alias("_v"))
+    out = cut.select(*lines.columns, "_five", "_v.class_id", *[F.get("_v.shares", F.lit(k)).alias(c) for k, c in enumerate(("x_center", "y_center", "width", "height"))])
     x, y, w, h = (F.col(c) for c in ("x_center", "y_center", "width", "height"))
     numeric = F.col("class_id").isNotNull() & x.isNotNull() & y.isNotNull() & w.isNotNull() & h.isNotNull()
     finite = text.is_finite(x) & text.is_finite(y) & text.is_finite(w) & text.is_finite(h)
     in_range = x.between(0, 1) & y.between(0, 1) & (w > 0) & (w <= 1) & (h > 0) & (h <= 1)
     said = lambda test, message: F.when(test, message)
+    five = F.col("_five")
     usable = five & numeric & finite
     issues = (
         F.when(~five, F.array(F.lit("expected 5 fields")))
         .when(~numeric, F.array(F.lit("non-numeric value")))
         .when(~finite, F.array(F.lit("non-finite value")))
+        .when(F.col("class_id").between(0, CLASSES - 1) & in_range & geometry.in_unit_square(x, y, w, h), F.array().cast("array<string>"))
         .otherwise(F.array_compact(F.array(said(~F.col("class_id").between(0, CLASSES - 1), "invalid class"), said(~in_range, "normalized value outside range"), said(~geometry.in_unit_square(x, y, w, h), "box outside image"))))
     )
-    return out.withColumns({"usable": usable, "issues": issues})
+    return out.withColumns({"usable": usable, "issues": issues}).drop("_five")
 
 
 def label_boxes(parsed: DataFrame, width: Column, height: Column) -> DataFrame:
     """``path, index, class_id`` and corners in pixels; any issue but an unusual class raises, as does a class below 0."""
     wrong = F.array_except("issues", F.array(F.lit("invalid class")))
-    guard = F.when((F.size(wrong) > 0) | (F.col("class_id") < 0), F.raise_error(F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), F.coalesce(F.get(wrong, F.lit(0)), F.lit("class below 0")))).cast("long")).otherwise(F.col("class_id"))
+    some = F.when(F.size("issues") > 0, F.size(wrong) > 0).otherwise(F.lit(False))
+    guard = F.when(some | (F.col("class_id") < 0), F.raise_error(F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), F.coalesce(F.get(wrong, F.lit(0)), F.lit("class below 0")))).cast("long")).otherwise(F.col("class_id"))
     corners = geometry.from_normalised(F.col("x_center"), F.col("y_center"), F.col("width"), F.col("height"), width, height)
     index = F.row_number().over(Window.partitionBy("path").orderBy("line")) - 1
     return parsed.select("path", index.alias("index"), guard.alias("class_id"), *[c.alias(n) for n, c in corners.items()])

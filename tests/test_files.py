@@ -1,5 +1,6 @@
 """Sources and sinks on small trees of real files."""
 
+import re
 import struct
 import zlib
 from pathlib import Path
@@ -126,3 +127,30 @@ def test_ordinals_over_many_ranges(spark):
     out = sources.with_ordinal(spark.createDataFrame(paths, "path string").repartition(5), [F.split("path", "/")], rows=40).collect()
     assert [r.path for r in sorted(out, key=lambda r: r.ordinal)] == sorted((p for (p,) in paths), key=lambda p: p.split("/"))
     assert sorted(r.ordinal for r in out) == [*range(500)]
+
+
+def explained(df, mode):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+
+
+def test_label_parsing_stays_in_compiled_methods(spark, tmp_path):
+    """The JVM only interprets methods of more than 8000 bytes, whole stages of Spark among them."""
+    said = ["1 0.5 0.5 0.2 0.2", "+1 .5 5e-1 0.2 0.2", "1 -0.5 0.5 0.2 0.2", "1 inf 0.5 0.2 0.2", "x 0.5 0.5 0.2 0.2", "1 0.5 0.5 0.2", "12\t0.9 0.5  0.4 0.2", "1 0.5 0.5 0.2 0.2d"]
+    spark.createDataFrame([("p", k, s) for k, s in enumerate(said)], "path string, line int, said string").write.parquet(str(tmp_path / "lines"))
+    parsed = sources.parsed_labels(spark.read.parquet(str(tmp_path / "lines")))
+    assert [(r.class_id, r.x_center, r.usable, r.issues) for r in parsed.orderBy("line").collect()] == [
+        (1, 0.5, True, []),
+        (1, 0.5, True, []),
+        (1, -0.5, True, ["normalized value outside range", "box outside image"]),
+        (1, float("inf"), False, ["non-finite value"]),
+        (None, 0.5, False, ["non-numeric value"]),
+        (None, None, False, ["expected 5 fields"]),
+        (12, 0.9, True, ["invalid class", "box outside image"]),
+        (1, 0.5, False, ["non-numeric value"]),
+    ]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # code is shown for plans that are final
+    try:
+        code = explained(sources.label_boxes(sources.parsed_labels(sources.annotation_lines(spark.createDataFrame([("p", bytearray(b"1"))], "path string, content binary"))), F.lit(200), F.lit(200)), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 4000
