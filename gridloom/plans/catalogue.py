@@ -595,6 +595,12 @@ LABEL_FILES_SQL = (
 )
 
 
+def label_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``o_orderkey, path`` of the label file of each order."""
+    split = F.when(F.col("o_orderkey") % 2 == 0, "train").otherwise("val")
+    return table(spark, sf_dir, "orders").select("o_orderkey").distinct().select("o_orderkey", F.concat(F.lit("/out/labels/"), split, F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".txt")).alias("path"))
+
+
 def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content`` of label files that hold the boxes of each order, with a blank line after the first; orders without line items have an empty file."""
     own = boxes(spark, sf_dir)
@@ -602,9 +608,8 @@ def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = geometry.label_line(F.col("class_id"), shares)
     texts = own.groupBy(F.col("image_id").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("box_number", line.alias("line")))).alias("all"))
     said = F.concat(F.get("all", F.lit(0))["line"], F.lit("\n\n"), F.array_join(F.transform(F.slice("all", 2, 1 << 30), lambda x: x["line"]), "\n"))
-    split = F.when(F.col("o_orderkey") % 2 == 0, "train").otherwise("val")
-    every = table(spark, sf_dir, "orders").select("o_orderkey").distinct().join(texts, "o_orderkey", "left")
-    return every.select("o_orderkey", F.concat(F.lit("/out/labels/"), split, F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce(said, F.lit("")), "UTF-8").alias("content"))
+    every = label_paths(spark, sf_dir).join(texts, "o_orderkey", "left")
+    return every.select("o_orderkey", "path", F.encode(F.coalesce(said, F.lit("")), "UTF-8").alias("content"))
 
 
 @query(f"WITH {LABEL_FILES_SQL} SELECT path, (box_number - 1)::INT AS index, class_id, xmin::DOUBLE AS xmin, ymin::DOUBLE AS ymin, xmax::DOUBLE AS xmax, ymax::DOUBLE AS ymax FROM truth")
@@ -627,10 +632,10 @@ SELECT 'images' AS figure, '' AS key, count(*) AS n FROM o WHERE k % 4 <> 0 HAVI
 UNION ALL SELECT 'backgrounds', '', count(*) FROM o WHERE k NOT IN (SELECT image_id FROM boxes) HAVING count(*) > 0 UNION ALL SELECT 'class', class_id::VARCHAR, count(*) FROM truth GROUP BY class_id""")
 def label_tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of an exported tree in which every fourth image is lacking; classes beyond the known ones count, too."""
-    labels = label_files(spark, sf_dir)
+    paths = label_paths(spark, sf_dir)  # a listing knows no contents
     image = F.regexp_replace(F.regexp_replace("path", "/labels/", "/images/"), r"\.txt$", ".png")
-    tree = labels.select("path").unionByName(labels.filter("o_orderkey % 4 <> 0").select(image.alias("path")))
-    return sinks.label_tree_totals(sources.label_tree(tree), labels.select("path", "content"))
+    tree = paths.select("path").unionByName(paths.filter("o_orderkey % 4 <> 0").select(image.alias("path")))
+    return sinks.label_tree_totals(sources.label_tree(tree), label_files(spark, sf_dir).select("path", "content"))
 
 
 @query("""WITH n AS (SELECT CASE page_id % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'jpg' WHEN 2 THEN 'txt' ELSE 'other' END AS kind, CASE WHEN page_id % 3 = 0 THEN 'named' ELSE 'numeric' END AS stem FROM pages)

@@ -154,13 +154,18 @@ def label_tree_issues(tree: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_tree_totals(tree: DataFrame, labels: DataFrame) -> DataFrame:
-    """``figure, key, n`` of an exported tree: images, labels, backgrounds (labels without a line) and the objects of each class, in one job. Figures of nothing have no row."""
-    nothing = text.stripped(text.decoded(F.col("content"))) == ""
-    files = tree.select(F.col("kind").alias("figure"), F.lit("").alias("key"))
-    backgrounds = labels.filter(nothing).select(F.lit("backgrounds").alias("figure"), F.lit("").alias("key"))
-    usable = sources.parsed_labels(sources.annotation_lines(labels)).filter("usable")
-    objects = usable.select(F.lit("class").alias("figure"), F.col("class_id").cast("string").alias("key"))
-    return files.unionByName(backgrounds).unionByName(objects).groupBy("figure", "key").agg(F.count("*").alias("n"))
+    """``figure, key, n`` of an exported tree: images, labels, backgrounds (labels without a line) and the objects of each class, in one job. Figures of nothing have no row.
+
+    Label files are read once: a file's blank lines stay, so that one without objects still has a row that tells a background.
+    """
+    nothing = ~text.decoded(F.col("content")).rlike(r"\S")
+    rows = labels.select(nothing.alias("nothing"), F.posexplode_outer(text.lines(text.decoded(F.col("content")))).alias("line", "raw"))
+    lines = sources.parsed_labels(rows.select("nothing", "line", F.trim("raw", F.lit(" \t")).alias("said")))
+    background = F.col("nothing") & (F.coalesce("line", F.lit(0)) == 0)
+    found = lines.select(F.when(background, "backgrounds").when(F.col("usable"), "class").alias("figure"), F.when(F.col("usable"), F.col("class_id")).alias("key"))
+    files = tree.select(F.col("kind").alias("figure"), F.lit(None).cast("long").alias("key"))
+    counts = files.unionByName(found.filter("figure is not null")).groupBy("figure", "key").agg(F.count("*").alias("n"))
+    return counts.select("figure", F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "n")
 
 
 def validate_label_tree(tree: DataFrame, labels: DataFrame, expected_images: int | None = None, expected_objects: int | None = None, expected_backgrounds: int | None = None) -> dict:

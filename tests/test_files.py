@@ -133,6 +133,18 @@ def explained(df, mode):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
 
 
+def test_totals_read_label_files_once(spark, tmp_path):
+    """The text of a file with none, blank and several lines; one line isn't usable."""
+    texts = {"a": "", "b": " \n\t\n", "c": "\n1 0.5 0.5 0.2 0.2\n\n12 0.5 0.5 0.2 0.2", "d": "1 0.5 0.5 0.2 1e-1\n1 nan 0.5 0.2 0.2\n3 0.5 0.5 0.2", "e": "\u0085", "f": None}
+    rows = [(f"/out/labels/train/{k}.txt", v if v is None else bytearray(v.encode())) for k, v in texts.items()]
+    spark.createDataFrame(rows, "path string, content binary").write.parquet(str(tmp_path / "labels"))
+    labels = spark.read.parquet(str(tmp_path / "labels"))
+    tree = spark.createDataFrame([(p,) for p, _ in rows[:4]] + [("/out/images/val/a.png",)], "path string")
+    totals = sinks.label_tree_totals(sources.label_tree(tree), labels)
+    assert explained(totals, "simple").count("FileScan parquet") == 1
+    assert {(r.figure, r.key): r.n for r in totals.collect()} == {("labels", ""): 4, ("images", ""): 1, ("backgrounds", ""): 2, ("class", "1"): 2, ("class", "12"): 1}
+
+
 def test_label_parsing_stays_in_compiled_methods(spark, tmp_path):
     """The JVM only interprets methods of more than 8000 bytes, whole stages of Spark among them."""
     said = ["1 0.5 0.5 0.2 0.2", "+1 .5 5e-1 0.2 0.2", "1 -0.5 0.5 0.2 0.2", "1 inf 0.5 0.2 0.2", "x 0.5 0.5 0.2 0.2", "1 0.5 0.5 0.2", "12\t0.9 0.5  0.4 0.2", "1 0.5 0.5 0.2 0.2d"]
