@@ -4,8 +4,9 @@ Within an image and class, detections are taken by falling confidence (ties by i
 overlaps most, if that is enough (ties to the smaller id), and is then a hit. Average precision is the area under the precision
 envelope. These formulas are ours.
 
-One join by image and class finds all overlaps, and every threshold is a fold over an image's pairs. Ranks run within a
-class over ranges of confidence, each a task, with sums of the ranges before and maxima of those after, so a frequent class is many tasks.
+One join by image and class finds all overlaps, and every threshold is a fold over an image's pairs. Ranks run within stretches of
+the order by class, confidence and ids, with sums of the stretches before and maxima of those after. A stretch has a bounded number of rows, and
+tasks are as many as the rows ask for, so neither a frequent class or confidence nor the session's number of partitions makes a task large.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from gridloom.functions import geometry
 CORNERS = ("xmin", "ymin", "xmax", "ymax")
 #: Overlaps at which metrics are averaged.
 THRESHOLDS = tuple(0.5 + 0.05 * k for k in range(10))
-#: Stretches of equal width that confidences from 0 to 1 are ranked in.
-RANGES = 1024
+#: Detections of a task, about.
+ROWS = 200_000
 
 
 def _confidence(c: Column) -> Column:
@@ -49,7 +50,9 @@ def hits(detections: DataFrame, ground_truth: DataFrame, thresholds: tuple[float
     corners = lambda: [c.cast("double").alias(n) for c, n in zip(geometry.box(), CORNERS, strict=True)]
     named = detections.select("image_id", F.col("predicted_class_id").alias("class_id"), F.col("detection_id").cast("string").alias("id"), "confidence", *corners())
     whole = F.col("image_id").isNotNull() & F.col("class_id").isNotNull()
-    d, g = named.filter(whole).alias("d"), ground_truth.filter(whole).select("image_id", "class_id", F.col("ground_truth_id").cast("string").alias("truth"), *corners()).alias("g")
+    truth = ground_truth.filter(whole).select("image_id", "class_id", F.col("ground_truth_id").cast("string").alias("truth"), *corners())
+    parts = _tasks(detections.count() + ground_truth.count())
+    d, g = (side.repartition(parts, "image_id", "class_id").alias(name) for side, name in ((named.filter(whole), "d"), (truth, "g")))
     overlap = geometry.iou(geometry.box("d."), geometry.box("g."))
     met = d.join(g, (F.col("d.image_id") == F.col("g.image_id")) & (F.col("d.class_id") == F.col("g.class_id")) & (overlap >= min(thresholds)), "left")
     pair = F.struct((-_confidence(F.col("confidence"))).alias("minus"), "id", F.when(F.col("truth").isNotNull(), -overlap).alias("less"), "truth", "confidence")
@@ -62,20 +65,32 @@ def hits(detections: DataFrame, ground_truth: DataFrame, thresholds: tuple[float
     return first.select("image_id", F.col("p.id").alias("detection_id"), "class_id", "p.confidence", found.alias("hits")).unionByName(bare)
 
 
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // ROWS))
+
+
 def _ranked(scored: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """Every detection of a class with its rank, hits so far ``t0..`` and precisions ``p0..``; and ``class_id, range, n, s0..`` of each range.
 
-    A range is a stretch of confidence, a task of its own. Ranks and envelopes read a staged table, so matching runs once.
+    A range is a class's part of a stretch of the whole order. Matching is staged, so it runs once, and so are stretches, whose bounds are sampled.
+    Hits travel as the bits of one number, and counts of all thresholds are made where they are summed.
     """
+    if count > 63:
+        raise ValueError("63 thresholds at most")
     least = _confidence(F.col("confidence"))
-    stretch = -F.floor(F.least(F.greatest(least, F.lit(0.0)), F.lit(1.0)) * RANGES)
-    key = staging.staged(scored.filter("class_id is not null").select("class_id", stretch.cast("int").alias("range"), (-least).alias("minus"), F.col("detection_id").cast("string").alias("id"), F.col("image_id").cast("string").alias("image"), "hits"))
+    mask = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a * 2 + x)  # the first threshold is the highest bit
+    rows = staging.staged(scored.filter("class_id is not null").select("class_id", (-least).alias("minus"), F.col("detection_id").cast("string").alias("id"), F.col("image_id").cast("string").alias("image"), mask.alias("mask")))
+    parts = _tasks(rows.count())
+    key = staging.staged(rows.repartitionByRange(parts, "class_id", "minus", "id", "image").withColumn("range", F.spark_partition_id()))
     here = Window.partitionBy("class_id", "range").orderBy("minus", "id", "image").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = key.select("*", F.count("*").over(here).alias("r"), *[F.sum(F.get("hits", F.lit(k))).over(here).alias(f"l{k}") for k in range(count)])
-    sums = local.groupBy("class_id", "range").agg(F.max("r").alias("n"), *[F.max(f"l{k}").alias(f"s{k}") for k in range(count)])
-    before = Window.partitionBy("class_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range, RANGES + 1 at most
+    hit = lambda k: F.getbit("mask", F.lit(count - 1 - k)).cast("long")
+    # a range is whole in a task, and a task has a few of them, however many partitions the session asks for
+    dealt = key.repartition(parts, "class_id", "range")
+    local = dealt.withColumns({"r": F.count("*").over(here)} | {f"l{k}": F.sum(hit(k)).over(here) for k in range(count)}).drop("minus", "id", "image")
+    sums = key.groupBy("class_id", "range").agg(F.count("*").alias("n"), *[F.sum(hit(k)).alias(f"s{k}") for k in range(count)])
+    before = Window.partitionBy("class_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = sums.select("class_id", "range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b_{c}") for c in ("n", *(f"s{k}" for k in range(count)))])
-    whole = local.join(starts, ["class_id", "range"]).withColumns({"rank": F.col("r") + F.col("b_n")} | {f"t{k}": F.col(f"l{k}") + F.col(f"b_s{k}") for k in range(count)})
+    whole = local.join(F.broadcast(starts), ["class_id", "range"]).withColumns({"rank": F.col("r") + F.col("b_n")} | {f"t{k}": F.col(f"l{k}") + F.col(f"b_s{k}") for k in range(count)})
     return whole.withColumns({f"p{k}": F.col(f"t{k}") / F.col("rank") for k in range(count)}), sums
 
 
@@ -95,8 +110,8 @@ def _areas(points: DataFrame, count: int) -> DataFrame:
     after = Window.partitionBy("class_id").orderBy("range").rowsBetween(1, Window.unboundedFollowing)  # a row per range
     best = points.groupBy("class_id", "range").agg(*[F.max(f"p{k}").alias(f"m{k}") for k in range(count)])
     later = best.select("class_id", "range", *[F.coalesce(F.max(f"m{k}").over(after), F.lit(0.0)).alias(f"m{k}") for k in range(count)])
-    steps = points.select("class_id", "range", "hits", *[F.max(f"p{k}").over(onward).alias(f"e{k}") for k in range(count)]).join(later, ["class_id", "range"])
-    return steps.groupBy("class_id").agg(F.array(*[F.sum(F.get("hits", F.lit(k)) * F.greatest(f"e{k}", f"m{k}")) for k in range(count)]).alias("areas"))
+    steps = points.select("class_id", "range", "mask", *[F.max(f"p{k}").over(onward).alias(f"e{k}") for k in range(count)]).join(F.broadcast(later), ["class_id", "range"])
+    return steps.groupBy("class_id").agg(F.array(*[F.sum(F.getbit("mask", F.lit(count - 1 - k)) * F.greatest(f"e{k}", f"m{k}")) for k in range(count)]).alias("areas"))
 
 
 def average_precision(scored: DataFrame, ground_truth: DataFrame, count: int = 1) -> DataFrame:
