@@ -41,31 +41,32 @@ def _walk(pairs: Column, threshold: float) -> Column:
     return F.aggregate(F.filter(pairs, lambda p: p["less"] <= -threshold), state, take)["ids"]
 
 
-def hits(detections: DataFrame, ground_truth: DataFrame, thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
+def hits(detections: DataFrame, ground_truth: DataFrame, thresholds: tuple[float, ...] = (0.5,), rows: int | None = None) -> DataFrame:
     """``image_id, detection_id, class_id, confidence, hits``: for each threshold 1 where the detection takes a ground truth, else 0.
 
     Ids need be unique within an image only, and come back as text. A detection without image or class takes none.
-    One join finds all overlaps; it deals both sides by image and class, as the folds need them.
+    One join finds all overlaps; it deals both sides by image and class, as the folds need them. ``rows`` are those of both sides, which are counted unless given.
     """
     corners = lambda: [c.cast("double").alias(n) for c, n in zip(geometry.box(), CORNERS, strict=True)]
     named = detections.select("image_id", F.col("predicted_class_id").alias("class_id"), F.col("detection_id").cast("string").alias("id"), "confidence", *corners())
     whole = F.col("image_id").isNotNull() & F.col("class_id").isNotNull()
     truth = ground_truth.filter(whole).select("image_id", "class_id", F.col("ground_truth_id").cast("string").alias("truth"), *corners())
-    parts = _tasks(detections.count() + ground_truth.count())
+    parts = tasks(detections.count() + ground_truth.count() if rows is None else rows)
     d, g = (side.repartition(parts, "image_id", "class_id").alias(name) for side, name in ((named.filter(whole), "d"), (truth, "g")))
     overlap = geometry.iou(geometry.box("d."), geometry.box("g."))
     met = d.join(g, (F.col("d.image_id") == F.col("g.image_id")) & (F.col("d.class_id") == F.col("g.class_id")) & (overlap >= min(thresholds)), "left")
     pair = F.struct((-_confidence(F.col("confidence"))).alias("minus"), "id", F.when(F.col("truth").isNotNull(), -overlap).alias("less"), "truth", "confidence")
     grouped = met.select("d.image_id", "d.class_id", pair.alias("pair")).groupBy("image_id", "class_id").agg(F.array_sort(F.collect_list("pair")).alias("pairs"))
     walked = grouped.select("image_id", "class_id", "pairs", *[_walk(F.col("pairs"), t).alias(f"w{k}") for k, t in enumerate(thresholds)])
-    rows = walked.select("image_id", "class_id", "pairs", *[f"w{k}" for k in range(len(thresholds))], F.posexplode("pairs").alias("k", "p"))
-    first = rows.filter((F.col("k") == 0) | (F.get("pairs", F.col("k") - 1)["id"] != F.col("p.id")))
+    each = walked.select("image_id", "class_id", "pairs", *[f"w{k}" for k in range(len(thresholds))], F.posexplode("pairs").alias("k", "p"))
+    first = each.filter((F.col("k") == 0) | (F.get("pairs", F.col("k") - 1)["id"] != F.col("p.id")))
     found = F.array(*[F.array_contains(f"w{k}", F.col("p.id")).cast("int") for k in range(len(thresholds))])
     bare = named.filter(~whole).select("image_id", F.col("id").alias("detection_id"), "class_id", "confidence", F.array_repeat(F.lit(0), len(thresholds)).alias("hits"))
     return first.select("image_id", F.col("p.id").alias("detection_id"), "class_id", "p.confidence", found.alias("hits")).unionByName(bare)
 
 
-def _tasks(rows: int) -> int:
+def tasks(rows: int) -> int:
+    """How many tasks these rows ask for."""
     return max(1, -(-rows // ROWS))
 
 
@@ -80,12 +81,11 @@ def _ranked(scored: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     least = _confidence(F.col("confidence"))
     mask = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a * 2 + x)  # the first threshold is the highest bit
     rows = staging.staged(scored.filter("class_id is not null").select("class_id", (-least).alias("minus"), F.col("detection_id").cast("string").alias("id"), F.col("image_id").cast("string").alias("image"), mask.alias("mask")))
-    parts = _tasks(rows.count())
+    parts = tasks(rows.count())
     key = staging.staged(rows.repartitionByRange(parts, "class_id", "minus", "id", "image").withColumn("range", F.spark_partition_id()))
     here = Window.partitionBy("class_id", "range").orderBy("minus", "id", "image").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = lambda k: F.getbit("mask", F.lit(count - 1 - k)).cast("long")
-    # a range is whole in a task, and a task has a few of them, however many partitions the session asks for
-    dealt = key.repartition(parts, "class_id", "range")
+    dealt = key.repartitionById(parts, F.col("range"))  # a stretch is a task: dealt by hash, several would meet in one, the more the larger the table
     local = dealt.withColumns({"r": F.count("*").over(here)} | {f"l{k}": F.sum(hit(k)).over(here) for k in range(count)}).drop("minus", "id", "image")
     sums = key.groupBy("class_id", "range").agg(F.count("*").alias("n"), *[F.sum(hit(k)).alias(f"s{k}") for k in range(count)])
     before = Window.partitionBy("class_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
@@ -121,16 +121,21 @@ def average_precision(scored: DataFrame, ground_truth: DataFrame, count: int = 1
 
 
 def per_class(detections: DataFrame, ground_truth: DataFrame, names: dict[int, str] | None = None, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """The metrics of classes after one matching for all thresholds."""
+    return class_metrics(hits(detections, ground_truth, thresholds), ground_truth, len(thresholds), names)
+
+
+def class_metrics(scored: DataFrame, ground_truth: DataFrame, count: int = 1, names: dict[int, str] | None = None) -> DataFrame:
     """``class_id, class_name, instances, precision, recall, AP50, AP50_95`` of the classes that have ground truth or detections; ``instances`` is null without ground truth.
 
-    Precision and recall are those at the first threshold with all detections; ``AP50`` is at the first, ``AP50_95`` the mean of all. One matching for all thresholds.
+    Precision and recall are those at the first of ``count`` thresholds with all detections; ``AP50`` is at the first, ``AP50_95`` the mean of all.
     """
-    points, sums = _ranked(hits(detections, ground_truth, thresholds), len(thresholds))
+    points, sums = _ranked(scored, count)
     found = sums.groupBy("class_id").agg(F.sum("s0").alias("tp"), F.sum("n").alias("n"))
-    rows = _positives(ground_truth).join(found, "class_id", "full").join(_areas(points, len(thresholds)), "class_id", "left")
+    rows = _positives(ground_truth).join(found, "class_id", "full").join(_areas(points, count), "class_id", "left")
     name = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("class_id")) if names else F.lit(None).cast("string")
     ratio = lambda above, below: F.coalesce(above / F.nullif(F.col(below), F.lit(0)), F.lit(0.0))
-    mean = F.aggregate("areas", F.lit(0.0), lambda a, x: a + x / F.col("positives")) / len(thresholds)
+    mean = F.aggregate("areas", F.lit(0.0), lambda a, x: a + x / F.col("positives")) / count
     return rows.select("class_id", name.alias("class_name"), F.col("positives").cast("int").alias("instances"), ratio(F.col("tp"), "n").alias("precision"), ratio(F.col("tp"), "positives").alias("recall"), ratio(F.get("areas", F.lit(0)), "positives").alias("AP50"), F.coalesce(mean, F.lit(0.0)).alias("AP50_95"))
 
 

@@ -30,17 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # -- stand-ins ------------------------------------------------------------------------------
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their number from 1 within the order."""
+def lines(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """Line items, unless told otherwise with their number from 1 within the order.
+
+    Orders are dealt to as many tasks as rows ask for, where these are more than the session would run; so numbering needs no more memory the larger the table.
+    """
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    if not numbered:
+        return own
+    parts = evaluation.tasks(own.count())
+    if parts > min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        own = own.repartition(parts, "l_orderkey")
     return own.withColumn("box_number", F.row_number().over(order))
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``image_id, image_path, box_number, class_id, xmin, ymin, xmax, ymax, width, height``."""
+def boxes(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """``image_id, image_path, box_number, class_id, xmin, ymin, xmax, ymax, width, height``; without numbers, line items needn't be dealt by order."""
     x, y, side = F.col("l_partkey") % 20, F.col("l_suppkey") % 20, F.lit(10) + F.col("l_quantity").cast("long")
-    return lines(spark, sf_dir).select(F.col("l_orderkey").alias("image_id"), F.col("l_orderkey").cast("string").alias("image_path"), "box_number", (F.col("l_partkey") % 12).alias("class_id"), x.alias("xmin"), y.alias("ymin"), (x + side).alias("xmax"), (y + side).alias("ymax"), F.lit(W).cast("long").alias("width"), F.lit(H).cast("long").alias("height"))
+    number = ["box_number"] if numbered else []
+    return lines(spark, sf_dir, numbered).select(F.col("l_orderkey").alias("image_id"), F.col("l_orderkey").cast("string").alias("image_path"), *number, (F.col("l_partkey") % 12).alias("class_id"), x.alias("xmin"), y.alias("ymin"), (x + side).alias("xmax"), (y + side).alias("ymax"), F.lit(W).cast("long").alias("width"), F.lit(H).cast("long").alias("height"))
 
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,16 +250,20 @@ HITS_SQL = (
 CURVE_SQL, METRICS_SQL = (f"WITH RECURSIVE thresholds AS (SELECT range AS j FROM range({n})), {HITS_SQL}" for n in (1, 10))
 
 
+def scored(spark: SparkSession, sf_dir: str, thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """Detections with their hits; each line item is a detection and a ground truth."""
+    rows = 2 * table(spark, sf_dir, "lineitem").count()
+    return evaluation.hits(detections(spark, sf_dir), ground_truth(spark, sf_dir), thresholds, rows)
+
+
 @query(f"{CURVE_SQL} SELECT class_id, rank::INT AS rank, precision, recall FROM curve")
 def precision_recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = ground_truth(spark, sf_dir)
-    return evaluation.curve(evaluation.hits(detections(spark, sf_dir), truth), truth)
+    return evaluation.curve(scored(spark, sf_dir), boxes(spark, sf_dir, numbered=False))
 
 
 @query(f"{CURVE_SQL} SELECT class_id, round(ap, 9) AS ap FROM aps")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = ground_truth(spark, sf_dir)
-    found = evaluation.average_precision(evaluation.hits(detections(spark, sf_dir), truth), truth)
+    found = evaluation.average_precision(scored(spark, sf_dir), boxes(spark, sf_dir, numbered=False))
     return found.select("class_id", F.round(F.get("ap", F.lit(0)), 9).alias("ap"))
 
 
@@ -259,7 +272,7 @@ SELECT p.class_id, p.n::INT AS instances, coalesce(tp / f.n, 0)::DOUBLE AS preci
 FROM positives p LEFT JOIN first f ON f.class_id = p.class_id LEFT JOIN per ON per.class_id = p.class_id""")
 def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ten overlaps after one matching."""
-    rows = evaluation.per_class(detections(spark, sf_dir), ground_truth(spark, sf_dir))
+    rows = evaluation.class_metrics(scored(spark, sf_dir, evaluation.THRESHOLDS), boxes(spark, sf_dir, numbered=False), len(evaluation.THRESHOLDS))
     return rows.drop("class_name").withColumns({c: F.round(c, 9) for c in ("AP50", "AP50_95")})
 
 
@@ -287,23 +300,23 @@ def nms_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINES_SQL} SELECT class_id, count(*) AS n FROM boxes GROUP BY class_id")
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.class_counts(boxes(spark, sf_dir))
+    return audit.class_counts(boxes(spark, sf_dir, numbered=False))
 
 
 @query(f"WITH {LINES_SQL} SELECT CASE WHEN {AREA} < 0.01::DOUBLE THEN 'small' WHEN {AREA} <= 0.05::DOUBLE THEN 'medium' ELSE 'large' END AS size, count(*) AS n FROM boxes GROUP BY 1")
 def size_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.size_counts(audit.box_records(audit.measured(boxes(spark, sf_dir))))
+    return audit.size_counts(audit.box_records(audit.measured(boxes(spark, sf_dir, numbered=False))))
 
 
 @query(f"""WITH {LINES_SQL}, c AS (SELECT CASE WHEN {AREA} < 0.01::DOUBLE THEN 'small' WHEN {AREA} <= 0.05::DOUBLE THEN 'medium' ELSE 'large' END AS size, count(*) AS n FROM boxes GROUP BY 1)
 SELECT s.place, s.size, coalesce(n, 0)::BIGINT AS n FROM (VALUES (0, 'small'), (1, 'medium'), (2, 'large')) s(place, size) LEFT JOIN c ON c.size = s.size""")
 def size_counts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.size_counts_in_order(audit.box_records(audit.measured(boxes(spark, sf_dir))))
+    return audit.size_counts_in_order(audit.box_records(audit.measured(boxes(spark, sf_dir, numbered=False))))
 
 
 @query(f"WITH {LINES_SQL}, c AS (SELECT class_id, count(*) AS n FROM boxes GROUP BY class_id) SELECT max(n) AS most, min(n) AS fewest, max(n)::DOUBLE / min(n) AS ratio FROM c")
 def class_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.class_imbalance(audit.class_counts(boxes(spark, sf_dir)))
+    return audit.class_imbalance(audit.class_counts(boxes(spark, sf_dir, numbered=False)))
 
 
 @query("SELECT p_size::VARCHAR || 'x' || p_brand AS dimensions, count(*) AS n FROM part GROUP BY 1")
@@ -324,7 +337,7 @@ def objects_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINES_SQL} SELECT min({AREA}) AS least, max({AREA}) AS most, round(avg({AREA}), 9) AS mean FROM boxes")
 def area_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.area_stats(audit.box_records(audit.measured(boxes(spark, sf_dir)))).withColumn("mean", F.round("mean", 9))
+    return audit.area_stats(audit.box_records(audit.measured(boxes(spark, sf_dir, numbered=False)))).withColumn("mean", F.round("mean", 9))
 
 
 @query("SELECT sha256(text) AS sha256, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -373,7 +386,7 @@ def audit_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All counts of an audit in one pass: documents are its images, line items its boxes in images of 60 by 60."""
     lang, readable = F.col("lang").alias("mode"), F.col("n_chars") > 300
     sized = items(spark, sf_dir).select("is_background", F.when(readable, F.col("n_chars") % 50).otherwise(-1).alias("width"), (F.col("doc_id") % 3).alias("height"), lang)
-    small = boxes(spark, sf_dir).withColumns({"width": F.lit(60).cast("long"), "height": F.lit(60).cast("long")})
+    small = boxes(spark, sf_dir, numbered=False).withColumns({"width": F.lit(60).cast("long"), "height": F.lit(60).cast("long")})
     return audit.profile(sized, audit.measured(small), objects_per_image(spark, sf_dir))
 
 
@@ -467,7 +480,7 @@ def multilabel_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spanish documents without label stand for positives without annotation."""
     found = items(spark, sf_dir).select(F.col("doc_id").alias("image_id"), (F.col("lang") != "es").alias("is_background"), F.when(~F.col("is_background"), "label").alias("annotation_path"))
-    return splits.target_violations(found, boxes(spark, sf_dir), "image_id")
+    return splits.target_violations(found, boxes(spark, sf_dir, numbered=False), "image_id")
 
 
 @query("""WITH l AS (SELECT doc_id AS i, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id), items AS (
@@ -494,7 +507,7 @@ ORDER_SPLIT = "CASE WHEN o_orderkey % 20 < 14 THEN 'train' WHEN o_orderkey % 20
 @query(f"WITH {LINES_SQL} SELECT split, class_id - 1 AS class_id, count(*) AS n FROM boxes JOIN (SELECT DISTINCT o_orderkey, {ORDER_SPLIT} AS split FROM orders) o ON o_orderkey = image_id GROUP BY ALL")
 def objects_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("image_path"), rule_split(F.col("o_orderkey")).alias("split")).distinct()
-    return splits.objects_by_class(images, boxes(spark, sf_dir))
+    return splits.objects_by_class(images, boxes(spark, sf_dir, numbered=False))
 
 
 @query(f"""SELECT CASE WHEN l.doc_id IS NULL THEN 'background_' ELSE 'positive_' END || doc_id AS image_id, source || '/' || doc_id || '.v1.png' AS image_path, CASE WHEN l.doc_id IS NULL THEN '' ELSE 'truth/' || doc_id || '.txt' END AS annotation_path,

@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from gridloom.operators import evaluation
+from gridloom.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_one_confidence_is_many_tasks(spark, monkeypatch):
@@ -22,3 +25,23 @@ def test_one_confidence_is_many_tasks(spark, monkeypatch):
         hit = [[taken[r.class_id, k][t] for k in order[r.class_id]] for t in (0, 1)]
         precision = [[sum(h[: n + 1]) / (n + 1) for n in range(len(h))] for h in hit]
         assert [round(a, 9) for a in r.ap] == [round(sum(x * max(p[n:]) for n, x in enumerate(h)) / 60, 9) for h, p in zip(hit, precision, strict=True)]
+
+
+def test_a_stretch_is_a_task(spark, monkeypatch):
+    """Stretches don't meet in a task, so its rows are bounded whatever the size of the table."""
+    monkeypatch.setattr(evaluation, "ROWS", 25, raising=False)
+    scored = spark.range(500).select(F.lit("i").alias("image_id"), F.col("id").alias("detection_id"), F.lit(1).alias("class_id"), (F.col("id") % 10 / 10).alias("confidence"), F.array(F.lit(1)).alias("hits"))
+    points, _ = evaluation._ranked(scored, 1)
+    tasks = points.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("range").alias("stretches")).collect()
+    assert len(tasks) > 10
+    assert {t.stretches for t in tasks} == {1}
+
+
+def test_numbering_has_tasks_as_rows_ask_for(spark, monkeypatch):
+    """Line items are numbered in more tasks than the session has partitions, with the same numbers; what needs no numbers deals nothing."""
+    whole = sorted(catalogue.lines(spark, SF).collect())
+    monkeypatch.setattr(evaluation, "ROWS", 200, raising=False)
+    dealt = catalogue.lines(spark, SF)
+    assert sorted(dealt.collect()) == whole
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 600
+    assert "Exchange" not in catalogue.boxes(spark, SF, numbered=False)._jdf.queryExecution().toString()
